@@ -37,6 +37,8 @@ HEAD = 0.3
 #: Shingles in a fragment, about.
 FRAGMENT = 2_000_000
 STAR_ROUNDS = 3
+#: Pivots of a document that a fragment reports in a pivot round.
+PIVOTS = 2
 
 _U = np.uint64
 
@@ -166,10 +168,11 @@ def _segments(fragments: int):
     return run
 
 
-def _partial_overlaps(every_pair: bool):
-    """Partial overlaps of one fragment: of each document with its lists' pivots, or of every pair in different components.
+def _partial_overlaps(every_pair: bool, round_: int = 0):
+    """Partial overlaps of one fragment: of each document with the pivots it meets most, or of every pair in different components.
 
-    Rows with b = a hold the number of a's shingles that a document of another component has.
+    Rows with b = a hold the number of a's shingles that a document of another component has. The first
+    round's pivots are the documents with the most common shingles, later ones' are others by a hash.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -177,7 +180,7 @@ def _partial_overlaps(every_pair: bool):
         segments = [np.frombuffer(x, _U) for x in t["s"].to_pylist()]
         s, owner = np.concatenate(segments), np.repeat(np.arange(len(sid)), [len(x) for x in segments])
         rank = np.empty(len(sid), np.int64)
-        rank[np.lexsort((sid, -weight))] = np.arange(len(sid))
+        rank[np.lexsort((sid, -weight)) if not round_ else np.argsort(mix(sid.view(_U) + _U(round_)))] = np.arange(len(sid))
         order = np.lexsort((rank[owner], s))
         s, owner = s[order], owner[order]
         start = np.r_[True, s[1:] != s[:-1]]
@@ -212,6 +215,11 @@ def _partial_overlaps(every_pair: bool):
                 add(owner[i], owner[at[which[i]]])
         k, c = grouped_sum(np.concatenate(keys), np.concatenate(sums).astype(np.int64))
         a, b = k // m, k % m
+        if not every_pair:
+            order = np.lexsort((rank[b], -c, a == b, a))  # a document's pivots, best first; its own row last
+            place = np.arange(len(a)) - np.repeat(*((x := np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])), np.diff(np.r_[x, len(a)])))
+            order = order[(place < PIVOTS) | (a == b)[order]]
+            a, b, c = a[order], b[order], c[order]
         flip = sid[a] > sid[b]
         a, b = np.where(flip, b, a), np.where(flip, a, b)
         return pa.table({"a": sid[a], "b": sid[b], "na": n[a], "nb": n[b], "overlap": c})
@@ -264,7 +272,7 @@ def _links(segments: DataFrame, alive: DataFrame) -> DataFrame | None:
     links = None
     for round_ in range(STAR_ROUNDS + 1):
         last = round_ == STAR_ROUNDS
-        counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(last), "a long, b long, na long, nb long, overlap long")
+        counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(last, round_), "a long, b long, na long, nb long, overlap long")
         counted = store(counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap")), "overlaps")
         new = store(counted.where(f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b"), "links")
         any_new = bool(new.take(1))
