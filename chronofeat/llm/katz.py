@@ -201,7 +201,7 @@ def _count(parts: int, shared):
             n = int(runs.sum())
             w1.append(ones[read(o, len(ones))])
             w2.append(np.repeat(np.frombuffer(twos, _U), runs))
-            doc.append((read(d, len(uid)) + base).astype(np.uint32))
+            doc.append((read(d, len(uid)).astype(np.int64) + base).astype(np.uint32))
             times.append(np.frombuffer(m, "<u2" if len(m) == 2 * n else "<u4").astype(np.uint32))
             uids.append(uid)
             train.append(np.frombuffer(tr, np.uint8))
