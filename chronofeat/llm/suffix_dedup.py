@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from chronofeat.llm._common import chunks, fit_for_broadcast, out_schema, release, store, with_row
 
 WIDTH, GRAM = 400, 128
-HOT = 500
+HOT = 4000
 #: Bytes of spans in one suffix array, about.
 BUCKET = 800_000
 #: A longer text is read in overlapping pieces of so many bytes.
