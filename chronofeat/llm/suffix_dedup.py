@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, fit_for_broadcast, out_schema, release, store, with_row
+from chronofeat.llm._common import chunks, out_schema, release, store, with_row
 
 WIDTH, GRAM = 400, 128
 HOT = 4000
@@ -220,17 +220,17 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, keep_first: bool = False
     spark = rows.sparkSession
     anchors = store(rows.select("uid", "doc_id", "text").mapInArrow(_anchors(width), "h long, dig long, uid long, doc_id long, i0 long, i1 long"), "anchors")
     shared = store(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared")
-    found = store(anchors.join(fit_for_broadcast(shared), "h"), "found")
+    found = store(anchors.join(shared, "h"), "found")
     release(anchors)
     classes = store(found.groupBy("h", "dig").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "uid", "i0", "i1")).alias("r")).select("h", "dig", "c", F.col("r.doc_id").alias("doc_id"), F.col("r.uid").alias("uid"), F.col("r.i0").alias("i0"), F.col("r.i1").alias("i1")), "classes")
     several = store(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
-    tested = store(classes.join(fit_for_broadcast(several), "h"), "tested")
+    tested = store(classes.join(several, "h"), "tested")
     size = tested.agg(F.sum(F.col("i1") - F.col("i0") + width)).first()[0]
     verdict = classes.where("c > 1").select("h", "dig", "c", "doc_id", "uid", "i0").withColumn("later", F.lit(None).cast("binary")).withColumn("either", F.lit(None).cast("binary"))
     if size:
         buckets = max(2 * spark.sparkContext.defaultParallelism, size // BUCKET)
         wanted = store(tested.groupBy("uid").agg(F.collect_list(F.struct("h", "dig", "doc_id", "i0", "i1", (F.col("k") > HOT).alias("hot"))).alias("spans")), "wanted")
-        texts = rows.select("uid", "text").join(fit_for_broadcast(wanted, 100_000), "uid")
+        texts = rows.select("uid", "text").join(wanted, "uid")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches):
@@ -277,7 +277,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, keep_first: bool = False
     verdict = store(verdict.select("h", "dig", "c", F.col("doc_id").alias("d0"), F.col("uid").alias("u0"), F.col("i0").alias("s0"), "later", "either"), "verdict")
     if not verdict.take(1):
         return None
-    hit = found.join(fit_for_broadcast(verdict), ["h", "dig"])
+    hit = found.join(verdict, ["h", "dig"])
     if keep_first:
         first = F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("uid") == F.col("u0")) & (F.col("i0") == F.col("s0"))
         hit = hit.withColumn("runs", F.when(first, F.coalesce("later", F.lit(b"")))).where("runs is null or length(runs) > 0")
@@ -310,7 +310,7 @@ def _with_spans(docs: DataFrame, width: int, keep_first: bool) -> DataFrame:
     spans = repeated_spans(rows, width, keep_first)
     if spans is None:
         return rows.withColumn("spans", F.lit(None).cast("array<struct<i0:bigint,i1:bigint,runs:binary>>"))
-    return rows.join(fit_for_broadcast(spans, 100_000), "uid", "left")
+    return rows.join(spans, "uid", "left")
 
 
 def repeat_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
