@@ -36,20 +36,21 @@ def contexts(df: DataFrame) -> DataFrame:
     return df
 
 
-def trailing_ranks(df: DataFrame, windows_d: tuple[int, ...] = RANK_WINDOWS_D) -> DataFrame:
+def trailing_ranks(df: DataFrame, windows_d: tuple[int, ...] = RANK_WINDOWS_D, base: DataFrame | None = None) -> DataFrame:
     """Place of the amount in the quantiles of the days before, once a day.
 
     A day's window reaches so many days back from its first row and ends with the day before. Amounts of whole
     days are counted before they are lent to the days they serve; only the day that the window's start cuts
     is lent row by row.
     """
-    df = df.withColumn("__day", F.floor(F.col("ts_epoch") / 86_400).cast("long"))
-    days = df.groupBy("__day").agg(F.min("ts_epoch").alias("__first"))
+    day = F.floor(F.col("ts_epoch") / 86_400).cast("long")
+    base, df = (df if base is None else base).withColumn("__day", day), df.withColumn("__day", day)
+    days = base.groupBy("__day").agg(F.min("ts_epoch").alias("__first"))
     grid = F.percentile("amount", [i / (RANK_GRID - 1) for i in range(RANK_GRID)], F.col("__n"))
-    counts = df.groupBy("__day", "amount").agg(F.count(F.lit(1)).alias("__n"))
+    counts = base.groupBy("__day", "amount").agg(F.count(F.lit(1)).alias("__n"))
     for w in windows_d:
         whole = counts.withColumn("__for", F.explode(F.sequence(F.col("__day") + 1, F.col("__day") + w - 1))).join(days.select(F.col("__day").alias("__for")), "__for").select("__for", "amount", "__n")
-        edge = df.select((F.col("__day") + w).alias("__for"), "amount", "ts_epoch").join(days.select(F.col("__day").alias("__for"), "__first"), "__for").where(F.col("ts_epoch") >= F.col("__first") - w * 86_400)
+        edge = base.select((F.col("__day") + w).alias("__for"), "amount", "ts_epoch").join(days.select(F.col("__day").alias("__for"), "__first"), "__for").where(F.col("ts_epoch") >= F.col("__first") - w * 86_400)
         reach = whole.union(edge.select("__for", "amount", F.lit(1).cast("long")))
         grids = reach.groupBy("__for").agg(F.sum("__n").alias("__rows"), grid.alias("__grid")).where(F.col("__rows") >= RANK_LEAST_ROWS)
         df = df.join(grids.select(F.col("__for").alias("__day"), "__grid"), "__day", "left")
@@ -64,4 +65,4 @@ def roundness(df: DataFrame) -> DataFrame:
 
 
 def build(df: DataFrame) -> DataFrame:
-    return roundness(trailing_ranks(contexts(ratios(df))))
+    return roundness(trailing_ranks(contexts(ratios(df)), base=df))

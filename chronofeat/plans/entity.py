@@ -28,14 +28,16 @@ def novelty(df: DataFrame) -> DataFrame:
     return df.drop("__n")
 
 
-def sharing(df: DataFrame) -> DataFrame:
+def sharing(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
     df = running_nunique(df, ("dev",), ("cust",), "dev_prior_ncust")
     df = running_nunique(df, ("dev",), ("loc",), "dev_prior_nloc")
     for w in ("24h", "168h"):
         df = new_pairs_in_window(df, ("dev",), ("cust",), WINDOWS_S[w], f"dev_new_cust_{w}")
     df = df.withColumn("dev_cust_churn", safe_div(F.col("dev_prior_ncust"), prior_count("dev")))
-    df = df.withColumns({"__fc": first_occurrence("merch", "cust"), "__fd": first_occurrence("merch", "dev")})
-    df = prefix_scan(df, ["merch"], {"merch_prior_ncust": F.col("__fc"), "merch_prior_ndev": F.col("__fd")}).drop("__fc", "__fd")
+    firsts = {"__fc": first_occurrence("merch", "cust"), "__fd": first_occurrence("merch", "dev")}
+    df = df.withColumns(firsts)
+    df = prefix_scan(df, ["merch"], {"merch_prior_ncust": F.col("__fc"), "merch_prior_ndev": F.col("__fd")}, base=base.withColumns(firsts)).drop("__fc", "__fd")
     return df.withColumns({c: F.col(c).cast("long") for c in ("merch_prior_ncust", "merch_prior_ndev")})
 
 
@@ -55,11 +57,12 @@ def movement(df: DataFrame) -> DataFrame:
     return df.withColumn("time_since_loc_change", (F.col("ts_epoch") - F.last(change, ignorenulls=True).over(w.rowsBetween(-(2**63), 0))).cast("double"))
 
 
-def age(df: DataFrame) -> DataFrame:
-    df = global_min_epoch(df, "__start")
+def age(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
+    df = global_min_epoch(df, "__start", base)
     span = F.greatest((F.col("ts_epoch") - F.col("__start")) / 86_400.0, F.lit(1e-6))
     for k, label in (("dev", "dev"), ("merch", "merch"), ("cust", "cust_stream")):
-        df = first_epoch(df, [k], "__first")
+        df = first_epoch(df, [k], "__first", base)
         df = df.withColumn(f"{label}_age_days", (F.col("ts_epoch") - F.col("__first")) / 86_400.0)
         df = df.withColumn(f"{label}_age_frac", clip(F.col(f"{label}_age_days") / span, 0.0, 1.0))
         if k != "cust":
@@ -71,5 +74,6 @@ def age(df: DataFrame) -> DataFrame:
     return df.withColumn("cust_txn_per_active_day", per_day).drop("__start")
 
 
-def build(df: DataFrame) -> DataFrame:
-    return age(movement(diversity(sharing(novelty(df)))))
+def build(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
+    return age(movement(diversity(sharing(novelty(df), base))), base)

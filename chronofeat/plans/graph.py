@@ -33,10 +33,10 @@ def week_start(epoch):
     return (F.floor((epoch - FIRST_SUNDAY_S) / WEEK_S) * WEEK_S + FIRST_SUNDAY_S).cast("long")
 
 
-def assign_snapshots(df: DataFrame, least_rows: int = GRAPH_LEAST_ROWS) -> DataFrame:
+def assign_snapshots(df: DataFrame, least_rows: int = GRAPH_LEAST_ROWS, base: DataFrame | None = None) -> DataFrame:
     """Adds snap: the row's snapshot in epoch seconds; null before the first Sunday and with too few earlier rows."""
     df = df.withColumn("__week", week_start(F.col("ts_epoch")))
-    weeks = df.groupBy("__week").agg(F.count(F.lit(1)).alias("n"), F.min("ts_epoch").alias("t"))
+    weeks = (df if base is None else base.withColumn("__week", week_start(F.col("ts_epoch")))).groupBy("__week").agg(F.count(F.lit(1)).alias("n"), F.min("ts_epoch").alias("t"))
     start = weeks.agg((F.floor(F.min("t") / 86_400) * 86_400).alias("first_day"))
     earlier = weeks.alias("a").join(F.broadcast(weeks.select(F.col("__week").alias("w"), "n")).alias("b"), F.col("b.w") < F.col("a.__week"), "left")  # a row for each week of the stream
     hist = earlier.groupBy("__week").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("hist")).crossJoin(F.broadcast(start))
@@ -70,8 +70,9 @@ def _attach(df: DataFrame, table: DataFrame, keys: list[str], names: dict[str, f
     return df.withColumns({n: F.when(F.col("snap").isNotNull(), F.coalesce(F.col(n).cast("double"), F.lit(float(v)))) for n, v in names.items()})
 
 
-def degrees(df: DataFrame) -> DataFrame:
-    cd, cm = lifetime_edges(df, "cust", "dev"), lifetime_edges(df, "cust", "merch")
+def degrees(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
+    cd, cm = lifetime_edges(base, "cust", "dev"), lifetime_edges(base, "cust", "merch")
     df = _attach(df, _degree(cd, "cust", "g_cust_degree_dev"), ["cust"], {"g_cust_degree_dev": 0})
     df = _attach(df, _degree(cd, "dev", "g_dev_degree_cust"), ["dev"], {"g_dev_degree_cust": 0})
     df = _attach(df, _degree(cm, "cust", "g_cust_degree_merch"), ["cust"], {"g_cust_degree_merch": 0})
@@ -83,8 +84,8 @@ def _two_hop(edges: DataFrame, key: str, other: str, name: str) -> DataFrame:
     return edges.join(_degree(edges, other, "__d"), ["snap", other]).groupBy("snap", key).agg(F.sum(F.col("__d") - 1).alias(name))
 
 
-def two_hops(df: DataFrame) -> DataFrame:
-    cd = lifetime_edges(df, "cust", "dev")
+def two_hops(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    cd = lifetime_edges(df if base is None else base, "cust", "dev")
     df = _attach(df, _two_hop(cd, "cust", "dev", "g_cust_2hop"), ["cust"], {"g_cust_2hop": 0})
     return _attach(df, _two_hop(cd, "dev", "cust", "g_dev_2hop"), ["dev"], {"g_dev_2hop": 0})
 
@@ -111,19 +112,21 @@ def _component_columns(df: DataFrame, edges: DataFrame, prefix: str) -> DataFram
     return df.drop("__id", "__did", "__lc", "__ld", "__size", "__nc")
 
 
-def components(df: DataFrame) -> DataFrame:
-    nodes = df.agg(F.countDistinct("cust").alias("c"), F.countDistinct("dev").alias("d")).select((F.col("c") + F.col("d")).alias("__nodes"))
-    df = _component_columns(df, lifetime_edges(df, "cust", "dev"), "g_").crossJoin(F.broadcast(nodes))  # one row
+def components(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
+    nodes = base.agg(F.countDistinct("cust").alias("c"), F.countDistinct("dev").alias("d")).select((F.col("c") + F.col("d")).alias("__nodes"))
+    df = _component_columns(df, lifetime_edges(base, "cust", "dev"), "g_").crossJoin(F.broadcast(nodes))  # one row
     return df.withColumn("g_comp_size_frac", F.col("g_comp_size") / F.greatest("__nodes", F.lit(1))).drop("__nodes")
 
 
-def recent(df: DataFrame) -> DataFrame:
-    r = recent_edges(df)
+def recent(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
+    r = recent_edges(base)
     df = _component_columns(df, r, "gr_")
     df = _attach(df, _degree(r, "cust", "gr_cust_degree_dev"), ["cust"], {"gr_cust_degree_dev": 0})
     df = _attach(df, _degree(r, "dev", "gr_dev_degree_cust"), ["dev"], {"gr_dev_degree_cust": 0})
     df = _attach(df, _two_hop(r, "cust", "dev", "gr_cust_2hop"), ["cust"], {"gr_cust_2hop": 0})
-    life = _degree(lifetime_edges(df, "cust", "dev"), "dev", "__life")
+    life = _degree(lifetime_edges(base, "cust", "dev"), "dev", "__life")
     df = _attach(df, life, ["dev"], {"__life": 0})
     return df.withColumn("gr_dev_degree_ratio", F.col("gr_dev_degree_cust") / F.greatest("__life", F.lit(1.0))).drop("__life")
 
@@ -249,13 +252,15 @@ def _aligned(old: np.ndarray, new: np.ndarray) -> np.ndarray:
     return old @ (u @ vt)
 
 
-def embedded(df: DataFrame, **options) -> DataFrame:
-    e = embeddings(df, **options)
+def embedded(df: DataFrame, base: DataFrame | None = None, **options) -> DataFrame:
+    e = embeddings(df if base is None else base, **options)
     df = df.join(e, ["snap", "cust", "dev", "merch"], "left")
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (*SPECTRAL, *GNN)})
 
 
-def build(df: DataFrame, use_embeddings: bool = True) -> DataFrame:
-    df = recent(components(two_hops(degrees(assign_snapshots(df)))))
+def build(df: DataFrame, use_embeddings: bool = True, base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
+    df, base = assign_snapshots(df, base=base), assign_snapshots(base)
+    df = recent(components(two_hops(degrees(df, base), base), base), base)
     df = df.withColumn("days_since_graph_snapshot", (F.col("ts_epoch") - F.col("snap")) / 86_400.0)
-    return (embedded(df) if use_embeddings else df).drop("snap")
+    return (embedded(df, base) if use_embeddings else df).drop("snap")

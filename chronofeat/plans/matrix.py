@@ -14,12 +14,12 @@ FEATURES = [n for b in BLOCKS.values() for n in b.NAMES]
 
 def build_label_free(df: DataFrame) -> DataFrame:
     """The four blocks that read no label and no snapshot; customers' windows come first and share their exchange."""
-    return temporal.build(entity.build(velocity.build(amount.build(df))))
+    return temporal.build(entity.build(velocity.build(amount.build(df), df), df), df)
 
 
 def build_matrix(df: DataFrame, cutoff: str, use_embeddings: bool = True) -> DataFrame:
     """All 200 features beside the stream's columns; cutoff: the last time whose labels may be read."""
-    return graph.build(encoding.build(build_label_free(df), cutoff), use_embeddings)
+    return graph.build(encoding.build(build_label_free(df), cutoff, base=df), use_embeddings, df)
 
 
 def manifest(df: DataFrame, features: list[str] | None = None) -> list[dict]:

@@ -48,10 +48,11 @@ def circular(df: DataFrame) -> DataFrame:
     return df.withColumn("cust_ang_dev_weighted", F.col("cust_ang_dev") * F.col("cust_time_concentration")).drop("__c", "__s")
 
 
-def volume_share(df: DataFrame) -> DataFrame:
+def volume_share(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Share of all earlier rows that fell in this hour of the day."""
-    df = prefix_scan(df.withColumn("__h", F.hour("ts")), ["__h"], {"__same": F.lit(1)})
-    df = prefix_scan(df, [], {"__all": F.lit(1)})
+    base = (df if base is None else base).withColumn("__h", F.hour("ts"))
+    df = prefix_scan(df.withColumn("__h", F.hour("ts")), ["__h"], {"__same": F.lit(1)}, base=base)
+    df = prefix_scan(df, [], {"__all": F.lit(1)}, base=base)
     return df.withColumn("hour_volume_share", safe_div(F.col("__same"), F.col("__all"))).drop("__h", "__same", "__all")
 
 
@@ -61,6 +62,6 @@ def signup_inconsistency(df: DataFrame) -> DataFrame:
     return df.withColumn("signup_inconsistency_d", F.abs(day - expanding(("cust",), day, "median"))).drop("implied_signup_day")
 
 
-def build(df: DataFrame, use_signup_inconsistency: bool = False) -> DataFrame:
-    df = volume_share(circular(calendar(df)))
+def build(df: DataFrame, base: DataFrame | None = None, use_signup_inconsistency: bool = False) -> DataFrame:
+    df = volume_share(circular(calendar(df)), df if base is None else base)
     return signup_inconsistency(df) if use_signup_inconsistency else df

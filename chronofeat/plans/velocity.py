@@ -40,12 +40,13 @@ def by_entity(df: DataFrame, k: str) -> DataFrame:
     return df.withColumns(burst)
 
 
-def by_hub(df: DataFrame, k: str) -> DataFrame:
+def by_hub(df: DataFrame, k: str, base: DataFrame | None = None) -> DataFrame:
     """For merchants and locations, a few of which have most rows: scans over buckets of time."""
-    df = prefix_scan(df, [k], {f"{k}_prior_n": F.lit(1)}, last_epoch="__last")
+    base = df if base is None else base
+    df = prefix_scan(df, [k], {f"{k}_prior_n": F.lit(1)}, last_epoch="__last", base=base)
     df = df.withColumns({f"{k}_prior_n": F.col(f"{k}_prior_n").cast("long"), f"{k}_dt": (F.col("ts_epoch") - F.col("__last")).cast("double")}).drop("__last")
     df = df.withColumn(f"{k}_log_dt", F.log1p(f"{k}_dt"))
-    return bucketed_range_count(df, [k], {f"{k}_n_{w}": WINDOWS_S[w] for w in VELOCITY_WINDOWS[k]})
+    return bucketed_range_count(df, [k], {f"{k}_n_{w}": WINDOWS_S[w] for w in VELOCITY_WINDOWS[k]}, base)
 
 
 def pair(df: DataFrame) -> DataFrame:
@@ -54,6 +55,7 @@ def pair(df: DataFrame) -> DataFrame:
     return df.withColumn("custdev_share_24h", safe_div(F.col("custdev_n_24h"), count_in_window(("cust",), WINDOWS_S["24h"])))
 
 
-def build(df: DataFrame) -> DataFrame:
+def build(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
     # coarse keys first: windows over (cust, dev) reuse the exchange by cust
-    return by_hub(by_hub(by_entity(pair(by_entity(df, "cust")), "dev"), "merch"), "loc")
+    return by_hub(by_hub(by_entity(pair(by_entity(df, "cust")), "dev"), "merch", base), "loc", base)

@@ -1,6 +1,7 @@
 """The engine's queries over the canonical streams, each with DuckDB SQL that computes the same rows.
 
-Doubles are rounded alike on both sides.
+Doubles are rounded alike on both sides; a nudge far below the last digit comes first, since the engines round exact
+halves (means of two or eight amounts) differently.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ SQL: dict[str, str] = {}
 CUTOFF = {"a": "2024-01-20 23:59:59", "b": "2000-06-30 23:59:59"}
 
 
+def nudge(digits: int) -> float:
+    return 0.31 * 10.0 ** -(digits + 3)
+
+
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """Doubles to so many places, without negative zero; whole numbers as bigint."""
     kinds = dict(df.dtypes)
-    one = lambda c: F.round(F.col(c).cast("double"), digits) + 0.0 if kinds[c] in ("double", "float") else F.col(c).cast("bigint") if kinds[c] in ("int", "bigint", "tinyint", "smallint") else F.col(c)
+    one = lambda c: F.round(F.col(c).cast("double") + nudge(digits), digits) + 0.0 if kinds[c] in ("double", "float") else F.col(c).cast("bigint") if kinds[c] in ("int", "bigint", "tinyint", "smallint") else F.col(c)
     return df.select(*(one(c).alias(c) for c in columns))
 
 
 def r(x: str, name: str, digits: int = 6) -> str:
-    return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0 AS {name}"
+    return f"round(CAST({x} AS DOUBLE) + {nudge(digits)!r}, {digits}) + 0.0 AS {name}"
 
 
 def i(x: str, name: str) -> str:
@@ -139,14 +144,14 @@ for k_ in ("cust", "dev"):
     order = [o.rsplit(" AS ", 1)[1] for o in out]
     for w_ in "ab":
         add(f"velocity_{k_}_{w_}", w_, lambda df, k=k_: velocity.by_entity(df, k), order,
-            f", g AS (SELECT *, ts_epoch - lag(ts_epoch, 1) OVER {win(k_)} AS g1, ts_epoch - lag(ts_epoch, 2) OVER {win(k_)} AS g2, ts_epoch - lag(ts_epoch, 3) OVER {win(k_)} AS g3 FROM s), w AS ({reach([k_], w_s, True)}) SELECT g.txn_id, {', '.join(o.replace(', 4) + 0.0', ', 3) + 0.0') for o in out)} FROM g JOIN w ON w.txn_id = g.txn_id", digits=3)
+            f", g AS (SELECT *, ts_epoch - lag(ts_epoch, 1) OVER {win(k_)} AS g1, ts_epoch - lag(ts_epoch, 2) OVER {win(k_)} AS g2, ts_epoch - lag(ts_epoch, 3) OVER {win(k_)} AS g3 FROM s), w AS ({reach([k_], w_s, True)}) SELECT txn_id, {', '.join(o.replace(f'{nudge(4)!r}, 4) + 0.0', f'{nudge(3)!r}, 3) + 0.0') for o in out)} FROM g JOIN w USING (txn_id)", digits=3)
 for k_ in ("merch", "loc"):
     w_s = {w: WINDOWS_S[w] for w in VELOCITY_WINDOWS[k_]}
     gap = f"ts_epoch - lag(ts_epoch) OVER {win(k_)}"
     add(f"velocity_{k_}", "a", lambda df, k=k_: velocity.by_hub(df, k), velocity.names(k_),
-        f", w AS ({reach([k_], w_s)}) SELECT s.txn_id, row_number() OVER {win(k_)} - 1 AS {k_}_prior_n, {r(gap, f'{k_}_dt')}, {r(f'ln(1 + ({gap}))', f'{k_}_log_dt')}, {', '.join(f'n_{w} AS {k_}_n_{w}' for w in w_s)} FROM s JOIN w ON w.txn_id = s.txn_id")
+        f", w AS ({reach([k_], w_s)}) SELECT txn_id, row_number() OVER {win(k_)} - 1 AS {k_}_prior_n, {r(gap, f'{k_}_dt')}, {r(f'ln(1 + ({gap}))', f'{k_}_log_dt')}, {', '.join(f'n_{w} AS {k_}_n_{w}' for w in w_s)} FROM s JOIN w USING (txn_id)")
 add("velocity_pair", "b", velocity.pair, velocity.PAIR,
-    f", w AS ({reach(['cust', 'dev'], {'24h': 86400})}), c AS ({reach(['cust'], {'24h': 86400})}) SELECT s.txn_id, row_number() OVER {win('cust', 'dev')} - 1 AS custdev_prior_n, {r(f'ts_epoch - lag(ts_epoch) OVER {win('cust', 'dev')}', 'custdev_dt')}, w.n_24h AS custdev_n_24h, {r(div('w.n_24h', 'c.n_24h'), 'custdev_share_24h')} FROM s JOIN w ON w.txn_id = s.txn_id JOIN c ON c.txn_id = s.txn_id")
+    f", w AS ({reach(['cust', 'dev'], {'24h': 86400})}), c AS ({reach(['cust'], {'24h': 86400})}) SELECT txn_id, row_number() OVER {win('cust', 'dev')} - 1 AS custdev_prior_n, {r(f'ts_epoch - lag(ts_epoch) OVER {win('cust', 'dev')}', 'custdev_dt')}, w.n_24h AS custdev_n_24h, {r(div('w.n_24h', 'c.n_24h'), 'custdev_share_24h')} FROM s JOIN w USING (txn_id) JOIN c USING (txn_id)")
 
 # ---- entity ------------------------------------------------------------------------------------------------
 NOV = ", ".join(
@@ -185,7 +190,7 @@ SNAP = ", k AS (SELECT *, ((ts_epoch - 259200) // 604800) * 604800 + 259200 AS w
 EDGES = ", cd AS (SELECT DISTINCT snap, cust, dev FROM sn JOIN s ON ts_epoch < snap), cm AS (SELECT DISTINCT snap, cust, merch FROM sn JOIN s ON ts_epoch < snap), rd AS (SELECT DISTINCT snap, cust, dev FROM sn JOIN s ON ts_epoch < snap AND ts_epoch >= snap - 604800)"
 with_snap = lambda f: lambda df: f(graph.assign_snapshots(df))
 zero = lambda x, name: r(f"CASE WHEN kk.snap IS NOT NULL THEN coalesce({x}, 0) END", name)
-add("snapshot_assign", "a", graph.assign_snapshots, ["snap"], f"{SNAP} SELECT txn_id, {i('snap', 'snap')} FROM kk")
+add("snapshot_assign", "a", lambda df: graph.assign_snapshots(df).withColumn("snap", F.col("snap").cast("double")), ["snap"], f"{SNAP} SELECT txn_id, {r('snap', 'snap')} FROM kk")
 add("graph_degree", "a", with_snap(graph.degrees), graph.DEGREES,
     f"{SNAP}{EDGES}, c1 AS (SELECT snap, cust, count(*) AS n FROM cd GROUP BY ALL), d1 AS (SELECT snap, dev, count(*) AS n FROM cd GROUP BY ALL), m1 AS (SELECT snap, cust, count(*) AS n FROM cm GROUP BY ALL) SELECT kk.txn_id, {zero('c1.n', 'g_cust_degree_dev')}, {zero('d1.n', 'g_dev_degree_cust')}, {zero('m1.n', 'g_cust_degree_merch')}, {r('CASE WHEN kk.snap IS NOT NULL THEN coalesce(d1.n, 0) / greatest(coalesce(c1.n, 0), 1) END', 'g_dev_share_of_cust')} FROM kk LEFT JOIN c1 ON c1.snap = kk.snap AND c1.cust = kk.cust LEFT JOIN d1 ON d1.snap = kk.snap AND d1.dev = kk.dev LEFT JOIN m1 ON m1.snap = kk.snap AND m1.cust = kk.cust")
 add("graph_2hop", "a", with_snap(graph.two_hops), graph.TWO_HOP,
@@ -228,7 +233,7 @@ add("rank_average", "a", lambda df: metrics.rank_average(df.withColumn("v", F.ro
 add("rank_ordinal", "a", lambda df: metrics.rank_ordinal(df.withColumn("v", F.round("amount", 0)), "v", "txn_id", "rank"), ["rank"], "SELECT txn_id, row_number() OVER (ORDER BY round(amount), txn_id) AS rank FROM s")
 add("recency_weights", "a", lambda df: df.where("not is_test").withColumn("w", metrics.recency_weight((F.unix_timestamp(F.lit(CUTOFF["a"]).cast("timestamp")) - F.col("ts_epoch")) / 86_400.0, 45.0)), ["w"], f"SELECT txn_id, {r(f'pow(0.5, (epoch_us(TIMESTAMP {CUTOFF['a']!r}) // 1000000 - ts_epoch) / 86400.0 / 45.0)', 'w')} FROM s WHERE NOT is_test")
 add("quantile_map", "a", lambda df: metrics.quantile_map(df.where("is_test").select("txn_id", "amount"), "amount", "txn_id", df.where("not is_test").select((F.col("account_age_days") / 500.0).alias("p")), "p", "m"), ["m"],
-    f", rf AS (SELECT account_age_days / 500.0 AS p, row_number() OVER (ORDER BY account_age_days) - 1 AS i FROM s WHERE NOT is_test), q AS (SELECT txn_id, (row_number() OVER (ORDER BY amount, txn_id) - 1) / (count(*) OVER () - 1.0) AS q FROM s WHERE is_test), z AS (SELECT *, q * (SELECT count(*) - 1 FROM rf) AS at FROM q) SELECT txn_id, {r('least(greatest(a.p + (b.p - a.p) * (at - floor(at)) + 1e-9 * q, 0), 1)', 'm')} FROM z JOIN rf a ON a.i = floor(at) JOIN rf b ON b.i = least(floor(at) + 1, (SELECT count(*) - 1 FROM rf))")
+    f", rf AS (SELECT account_age_days / 500.0 AS p, row_number() OVER (ORDER BY account_age_days) - 1 AS i FROM s WHERE NOT is_test), q AS (SELECT txn_id, (row_number() OVER (ORDER BY amount, txn_id) - 1) / (count(*) OVER () - 1.0) AS q FROM s WHERE is_test), z AS (SELECT *, q * (SELECT count(*) - 1 FROM rf) AS pos FROM q) SELECT txn_id, {r('least(greatest(a.p + (b.p - a.p) * (pos - floor(pos)) + 1e-9 * q, 0), 1)', 'm')} FROM z JOIN rf a ON a.i = floor(pos) JOIN rf b ON b.i = least(floor(pos) + 1, (SELECT count(*) - 1 FROM rf))")
 
 # ---- audit -------------------------------------------------------------------------------------------------
 AUDITED = ["amount", "account_age_days", "gap"]
