@@ -234,11 +234,12 @@ def test_texts_without_letters_have_no_language(spark, tables):
 
 
 def test_toxicity_ranks_held_out_documents(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # sf0.01 has 6 labelled toxic rows in the held-out part, too few to judge by
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     rows = [(r.score, truth[r.doc_id]) for r in LLM_QUERIES["op1_toxicity"](spark, d).collect() if r.held_out and truth.get(r.doc_id) is not None]
     good, bad = [s for s, t in rows if t == 0], [s for s, t in rows if t == 1]
-    assert np.mean([b > g for b in bad for g in good]) >= 0.9
+    assert np.mean([b > g for b in bad for g in good]) >= 0.95
+    assert np.mean([s >= 0.5 for s in bad]) >= 0.85 and np.mean([s >= 0.5 for s in good]) <= 0.02
 
 
 def test_top_k_equals_brute_force_with_ties(spark):
