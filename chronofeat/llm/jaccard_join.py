@@ -267,7 +267,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def _links(segments: DataFrame, alive: DataFrame) -> DataFrame | None:
-    """Links (a, b) between set digests that connect what is connected at that similarity."""
+    """Edges (a, b) between set digests that connect what links at that similarity connect, and nothing else."""
     active = alive.select("sid", "n", "weight", F.col("sid").alias("label"))
     links = None
     for round_ in range(STAR_ROUNDS + 1):
@@ -281,6 +281,7 @@ def _links(segments: DataFrame, alive: DataFrame) -> DataFrame | None:
             break
         near = counted.where(f"a = b and 100 * overlap >= {PERCENT} * na").select(F.col("a").alias("sid"))
         labels = components(links).withColumnRenamed("node", "sid")
+        links = labels.select(F.col("sid").alias("a"), F.col("label").alias("b"))  # the same components in fewest edges
         active = store(alive.join(near, "sid").join(labels, "sid", "left").select("sid", "n", "weight", F.coalesce("label", "sid").alias("label")), "active")
         if not active.take(1):
             break
