@@ -12,7 +12,9 @@ Three exact reductions keep that linear:
   can link with nothing and leaves.
 * In a shingle's list, overlaps are first counted against one pivot (the document whose shingles are the
   most common). Such a sum is a lower bound, so what reaches the threshold is a link. Documents already in
-  one component need no further comparison. What is left after the pivot rounds is compared pair by pair.
+  one component need no further comparison. What is left after the pivot rounds is compared pair by pair: the
+  parts' overlaps and unions sum to those of the whole, so a pair that links reaches the similarity in one
+  fragment at least. Only such pairs leave a fragment, and their overlaps are then counted in all fragments.
 
 Results for unusual input: null, empty or blank text: no shingles, linked with nothing; fewer than five
 words: the whole sequence is one shingle; repeated rows: each row is returned; a null doc_id is returned
@@ -40,6 +42,8 @@ STAR_ROUNDS = 3
 #: Pivots of a document that a fragment reports in a pivot round.
 PIVOTS = 2
 
+LINKED = f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)"
+
 _U = np.uint64
 
 
@@ -171,7 +175,7 @@ def _segments(fragments: int):
 def _partial_overlaps(every_pair: bool, round_: int = 0):
     """Partial overlaps of one fragment: of each document with the pivots it meets most, or of every pair in different components.
 
-    Rows with b = a hold the number of a's shingles that a document of another component has. The first
+    With every_pair only pairs that reach the similarity within the fragment are reported. Otherwise rows with b = a hold the number of a's shingles that a document of another component has. The first
     round's pivots are the documents with the most common shingles, later ones' are others by a hash.
     """
 
@@ -215,7 +219,11 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
                 add(owner[i], owner[at[which[i]]])
         k, c = grouped_sum(np.concatenate(keys), np.concatenate(sums).astype(np.int64))
         a, b = k // m, k % m
-        if not every_pair:
+        if every_pair:
+            held = np.array([len(x) for x in segments], np.int64)
+            near = (a != b) & (100 * c >= PERCENT * (held[a] + held[b] - c))
+            a, b, c = a[near], b[near], c[near]
+        else:
             order = np.lexsort((rank[b], -c, a == b, a))  # a document's pivots, best first; its own row last
             place = np.arange(len(a)) - np.repeat(*((x := np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])), np.diff(np.r_[x, len(a)])))
             order = order[(place < PIVOTS) | (a == b)[order]]
@@ -227,6 +235,27 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
     return run
 
 
+def _overlaps_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial overlap of each pair of segments."""
+    for batch in batches:
+        overlap = [len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(overlap, pa.int64())], ["a", "b", "na", "nb", "overlap"])
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
+
+
+def _remaining_links(segments: DataFrame, active: DataFrame) -> DataFrame:
+    """All links (a, b) between active documents of different components."""
+    found = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(True), "a long, b long, na long, nb long, overlap long")
+    pairs = store(found.select("a", "b", "na", "nb").distinct(), "candidates")
+    parts = pairs.join(segments.select(F.col("sid").alias("a"), "frag", F.col("s").alias("sa")), "a")
+    parts = parts.join(segments.select(F.col("sid").alias("b"), "frag", F.col("s").alias("sb")), ["b", "frag"])
+    counted = _summed(parts.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps_of_pairs, "a long, b long, na long, nb long, overlap long"))
+    return store(counted.where(LINKED).select("a", "b"), "links")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -266,28 +295,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
 
 
-def _links(segments: DataFrame, alive: DataFrame) -> DataFrame | None:
+def _links(segments: DataFrame, alive: DataFrame) -> DataFrame:
     """Edges (a, b) between set digests that connect what links at that similarity connect, and nothing else."""
     active = alive.select("sid", "n", "weight", F.col("sid").alias("label"))
     links = None
-    for round_ in range(STAR_ROUNDS + 1):
-        last = round_ == STAR_ROUNDS
-        counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(last, round_), "a long, b long, na long, nb long, overlap long")
-        counted = store(counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap")), "overlaps")
-        new = store(counted.where(f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b"), "links")
-        any_new = bool(new.take(1))
+    for round_ in range(STAR_ROUNDS):
+        counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(False, round_), "a long, b long, na long, nb long, overlap long")
+        counted = store(_summed(counted), "overlaps")
+        new = store(counted.where(LINKED).select("a", "b"), "links")
         links = new if links is None else links.union(new)
-        if last:
-            break
         near = counted.where(f"a = b and 100 * overlap >= {PERCENT} * na").select(F.col("a").alias("sid"))
         labels = components(links).withColumnRenamed("node", "sid")
         links = labels.select(F.col("sid").alias("a"), F.col("label").alias("b"))  # the same components in fewest edges
         active = store(alive.join(near, "sid").join(labels, "sid", "left").select("sid", "n", "weight", F.coalesce("label", "sid").alias("label")), "active")
         if not active.take(1):
+            return links
+        if not new.take(1):  # another pivot round would find nothing
             break
-        if not any_new:  # another pivot round would find nothing: compare the rest pair by pair
-            counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(True), "a long, b long, na long, nb long, overlap long")
-            counted = counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
-            links = links.union(store(counted.where(f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b"), "links"))
-            break
-    return links
+    return links.union(_remaining_links(segments, active))
