@@ -15,6 +15,9 @@ first start to the end of its last string are its span. Spans are grouped by anc
 
 Either every repeated byte goes, or (keep_first) the earliest place, by (doc_id, offset), is kept.
 
+The same is done with words (between white space) in place of bytes where a number of words is asked for: the
+symbols are then the words' 64-bit hashes, and the symbols' intervals are turned into bytes at the end.
+
 Results for unusual input: null or empty text: nothing to remove; texts under WIDTH bytes: kept whole; a text
 that repeats itself: as for two texts; repeated rows: copies of each other; null doc_id: comes before
 all others; an empty table gives an empty result; other columns of the input are ignored.
@@ -23,6 +26,7 @@ all others; an empty table gives an empty result; other columns of the input are
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, out_schema, release, store, with_row
+from chronofeat.llm._common import chunks, out_schema, release, store, with_row, word_hashes
 
 WIDTH, GRAM = 400, 128
+#: Words in an anchor gram where strings of words are looked for (less for short strings).
+WORD_GRAM = 16
 HOT = 4000
 #: Bytes of spans in one suffix array, about.
 BUCKET = 800_000
@@ -44,8 +50,14 @@ _U = np.uint64
 _BYTE = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 
 
+def symbols(text: str | None, words: bool) -> np.ndarray:
+    """A text's bytes, or the hashes of its words."""
+    b = text.encode("utf-8", "surrogatepass") if text else b""
+    return word_hashes(b.split()) if words else np.frombuffer(b, np.uint8)
+
+
 def window_hashes(a: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all strings of `width` bytes, by doubling."""
+    """64-bit hashes of all strings of `width` symbols, by doubling."""
 
     def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         z = x * _U(0x9E3779B97F4A7C15)
@@ -54,7 +66,7 @@ def window_hashes(a: np.ndarray, width: int) -> np.ndarray:
         z *= _U(0xBF58476D1CE4E5B9)
         return z
 
-    h, have = _BYTE[a], 1
+    h, have = _BYTE[a] if a.dtype == np.uint8 else a, 1
     while have * 2 <= width:
         h, have = joined(h[:-have], h[have:]), have * 2
     if have < width:
@@ -86,13 +98,14 @@ def runs_of(raw: np.ndarray, piece_ends: np.ndarray, width: int = WIDTH, gram: i
     return h[place[new]], place[new], start[new], start[last]
 
 
-def _anchors(width: int):
+def _anchors(width: int, words: bool = False):
+    gram = min(WORD_GRAM, width) if words else GRAM
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 1_000_000):
-            pieces = []  # (row, offset in the text, bytes)
+            pieces = []  # (row, offset in the text, symbols)
             for i, t in enumerate(batch.column(2)):
-                b = t.as_py()
-                b = b.encode("utf-8", "surrogatepass") if b else b""
+                b = symbols(t.as_py(), words)
                 if len(b) >= width:
                     pieces += [(i, at, b[at : at + PIECE + width - 1]) for at in range(0, max(1, len(b) - width + 1), PIECE)]
             while pieces:
@@ -100,12 +113,12 @@ def _anchors(width: int):
                 while pieces and (not some or size + len(pieces[0][2]) <= 2 * PIECE):
                     some.append(pieces.pop(0))
                     size += len(some[-1][2])
-                data = b"".join(p[2] for p in some)
+                data = np.concatenate([p[2] for p in some])
                 ends = np.cumsum([len(p[2]) for p in some])
-                h, place, first, last = runs_of(np.frombuffer(data, np.uint8), ends, width)
+                h, place, first, last = runs_of(data, ends, width, gram)
                 if not len(h):
                     continue
-                digest = [xxhash.xxh3_64_intdigest(data[a : b + width], o) for a, b, o in zip(first.tolist(), last.tolist(), (place - first).tolist())]
+                digest = [xxhash.xxh3_64_intdigest(memoryview(data[a : b + width]).cast("B"), o) for a, b, o in zip(first.tolist(), last.tolist(), (place - first).tolist())]
                 of = np.searchsorted(ends, first, "right")
                 row = np.array([p[0] for p in some])[of]
                 shift = np.array([p[1] for p in some])[of] - np.r_[0, ends[:-1]][of]
@@ -184,7 +197,7 @@ def _intervals(starts: np.ndarray) -> bytes:
     return np.stack([np.r_[starts[0], starts[cut + 1]], np.r_[starts[cut], starts[-1]]], 1).astype("<i4").tobytes()
 
 
-def _factors(width: int):
+def _factors(width: int, words: bool = False):
     """Starts, within each span of a bucket, of strings that occur earlier, and of those that occur elsewhere at all."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -196,12 +209,17 @@ def _factors(width: int):
                 size += len(rows[stop][5])
                 stop += 1
             some = rows[at:stop]
-            length = np.array([len(r[5]) for r in some])
+            contents = [np.frombuffer(r[5], np.uint64 if words else np.uint8) for r in some]
+            length = np.array([len(c) for c in contents])
+            ends = 256
+            if words:
+                known, number = np.unique(np.concatenate(contents), return_inverse=True)
+                contents, ends = np.split(number, np.cumsum(length)[:-1]), len(known)
             first = np.r_[0, np.cumsum(length + 1)[:-1]]
             text = np.empty(int((length + 1).sum()), np.int64)
-            for i, (r, f) in enumerate(zip(some, first)):
-                text[f : f + len(r[5])] = np.frombuffer(r[5], np.uint8)
-                text[f + len(r[5])] = 256 + i  # ends match nothing
+            for i, (c, f) in enumerate(zip(contents, first)):
+                text[f : f + len(c)] = c
+                text[f + len(c)] = ends + i  # ends match nothing
             lpf, where = longest_previous_factor(text, width)
             later = lpf >= width
             either = later.copy()
@@ -215,10 +233,10 @@ def _factors(width: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, width: int = WIDTH, keep_first: bool = False) -> DataFrame | None:
-    """(uid, spans) of rows (uid, doc_id, text): the byte intervals to remove, as pairs of 32-bit integers; None if there are none."""
+def repeated_spans(rows: DataFrame, width: int = WIDTH, keep_first: bool = False, words: bool = False) -> DataFrame | None:
+    """(uid, spans) of rows (uid, doc_id, text): the intervals of bytes (or words) to remove, as pairs of 32-bit integers; None if there are none."""
     spark = rows.sparkSession
-    anchors = store(rows.select("uid", "doc_id", "text").mapInArrow(_anchors(width), "h long, dig long, uid long, doc_id long, i0 long, i1 long"), "anchors")
+    anchors = store(rows.select("uid", "doc_id", "text").mapInArrow(_anchors(width, words), "h long, dig long, uid long, doc_id long, i0 long, i1 long"), "anchors")
     shared = store(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "shared")
     found = store(anchors.join(shared, "h"), "found")
     release(anchors)
@@ -236,14 +254,14 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, keep_first: bool = False
             for batch in chunks(batches):
                 out = []
                 for uid, text, spans in zip(*(c for c in batch.columns)):
-                    b = text.as_py().encode("utf-8", "surrogatepass")
+                    b = symbols(text.as_py(), words)
                     for s in spans.as_py():
                         part = b[s["i0"] : s["i1"] + width]
                         if s["hot"]:
-                            for i, w in enumerate(window_hashes(np.frombuffer(part, np.uint8), width).view(np.int64).tolist()):
+                            for i, w in enumerate(window_hashes(part, width).view(np.int64).tolist()):
                                 out.append((s["h"], s["dig"], s["doc_id"], uid.as_py(), s["i0"] + i, None, w, s["i0"]))
                         else:
-                            out.append((s["h"], s["dig"], s["doc_id"], uid.as_py(), s["i0"], part, None, s["i0"]))
+                            out.append((s["h"], s["dig"], s["doc_id"], uid.as_py(), s["i0"], part.tobytes(), None, s["i0"]))
                     if len(out) > 20_000:
                         yield batch_of(out)
                         out = []
@@ -260,7 +278,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, keep_first: bool = False
             parts = store(parts, "parts")
         # rows that are equal in all columns give one text twice
         laid = parts.where("content is not null").select("h", "dig", "doc_id", "uid", "i0", "content")
-        marks = laid.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(_factors(width), "h long, dig long, later binary, either binary")
+        marks = laid.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(_factors(width, words), "h long, dig long, later binary, either binary")
         if any_hot:
             windows = parts.where("w is not null")
             least = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "uid", "i0")).alias("first")).where("n > 1")
@@ -286,15 +304,25 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, keep_first: bool = False
     return store(hit.groupBy("uid").agg(F.collect_list(F.struct("i0", "i1", "runs")).alias("spans")), "spans")
 
 
-def _removed(text: str | None, spans: list[dict] | None, width: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """A text's bytes, and the ascending intervals to remove from them, apart from each other."""
-    b = text.encode("utf-8", "surrogatepass") if text else b""
+def _marked(spans: list[dict] | None, width: int) -> list[tuple[int, int]]:
+    """The intervals of symbols that spans mark."""
     every = []
     for s in spans or ():
         if s["runs"] is None:
             every.append((s["i0"], s["i1"] + width))
         else:
             every += [(s["i0"] + a, s["i0"] + z + width) for a, z in np.frombuffer(s["runs"], "<i4").reshape(-1, 2).tolist()]
+    return every
+
+
+def _removed(text: str | None, spans: list[dict] | None, width: int, word_spans: list[dict] | None = None, n_words: int = 0) -> tuple[bytes, list[tuple[int, int]]]:
+    """A text's bytes, and the ascending intervals to remove from them, apart from each other."""
+    b = text.encode("utf-8", "surrogatepass") if text else b""
+    every = _marked(spans, width)
+    if word_spans:
+        # a word's bytes reach to the next word; what stands before the first word goes with it
+        at = [0, *[m.start() for m in re.finditer(rb"\S+", b)][1:], len(b)]
+        every += [(at[a], at[z]) for a, z in _marked(word_spans, n_words)]
     merged: list[tuple[int, int]] = []
     for a, z in sorted(every):
         if merged and a <= merged[-1][1]:
@@ -304,13 +332,22 @@ def _removed(text: str | None, spans: list[dict] | None, width: int) -> tuple[by
     return b, merged
 
 
-def _with_spans(docs: DataFrame, width: int, keep_first: bool) -> DataFrame:
+def _with_spans(docs: DataFrame, width: int, keep_first: bool, n_words: int = 0) -> DataFrame:
     rows = with_row(docs, keep_first).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    none = F.lit(None).cast("array<struct<i0:bigint,i1:bigint,runs:binary>>")
     spans = repeated_spans(rows, width, keep_first)
+    by_words = repeated_spans(rows, n_words, keep_first, True) if n_words else None
+    if by_words is not None:
+        by_words = by_words.withColumnRenamed("spans", "word_spans")
+        spans = by_words if spans is None else spans.join(by_words, "uid", "full")
     if spans is None:
-        return rows.withColumn("spans", F.lit(None).cast("array<struct<i0:bigint,i1:bigint,runs:binary>>"))
-    return rows.join(spans, "uid", "left")
+        return rows.withColumn("spans", none).withColumn("word_spans", none)
+    out = rows.join(spans, "uid", "left")
+    for c in ("spans", "word_spans"):
+        if c not in spans.columns:
+            out = out.withColumn(c, none)
+    return out
 
 
 def repeat_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -332,22 +369,23 @@ def repeat_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return _with_spans(docs, width, False).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def drop_later_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def drop_later_copies(docs: DataFrame, width: int = WIDTH, n_words: int = 0) -> DataFrame:
     """Each row of docs as a struct `row`, and `kept`: its text without later copies of repeated strings.
 
+    With n_words, later copies of strings of so many words go, too, however few bytes they have.
     Characters that are cut in two go as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                b, cuts = _removed(text, spans, width)
+            for text, spans, word_spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                b, cuts = _removed(text, spans, width, word_spans, n_words)
                 kept, at = [], 0
                 for a, z in cuts:
                     kept.append(b[at:a])
                     at = z
                 out.append(b"".join([*kept, b[at:]]).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(3)], ["kept", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(4)], ["kept", "row"])
 
-    return _with_spans(docs, width, True).select("doc_id", "text", "spans", "row").mapInArrow(run, out_schema(docs, "kept string", True))
+    return _with_spans(docs, width, True, n_words).select("doc_id", "text", "spans", "word_spans", "row").mapInArrow(run, out_schema(docs, "kept string", True))

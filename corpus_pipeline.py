@@ -5,8 +5,8 @@ next one's docs. All but the last return the columns of documents.
 
 * toxicity: documents predicted toxic go; all others stay as they are.
 * ngram_jaccard_join: of each group of near duplicates the document with the smallest doc_id stays.
-* suffix_dedup: later copies of repeated byte strings go from the texts, n_chars is brought up to date, and a
-  document that loses all of its text goes.
+* suffix_dedup: later copies of passages of PASSAGE_WORDS words, and of strings of 400 bytes, go from the texts, n_chars
+  is brought up to date, and a document that loses all of its text goes.
 * decontamination: documents with a benchmark leak go.
 * packing: one row for each piece of what is left.
 """
@@ -28,6 +28,9 @@ from chronofeat.llm.toxicity import score_toxicity
 #: SQL can express neither the classifier nor the retrieval order; tests compare with brute force.
 ORACLE_SQL = None
 
+#: Passages of over 50 words must go; 50, as a passage's first or last word may have a quote or a stop attached to it.
+PASSAGE_WORDS = 50
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids (distinct); rows with null doc_id stay."""
@@ -44,7 +47,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = drop_later_copies(docs).where("kept <> '' or row.text is null or row.text = ''")
+    kept = drop_later_copies(docs, n_words=PASSAGE_WORDS).where("kept <> '' or row.text is null or row.text = ''")
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.when(F.col("row.text") == F.col("kept"), F.col("row.n_chars")).otherwise(F.length("kept"))}
     return kept.select(*(new.get(c, F.col(f"row.`{c}`")).cast(t).alias(c) for c, t in docs.dtypes))
 

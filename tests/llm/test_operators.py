@@ -139,6 +139,22 @@ def test_dropping_later_copies_keeps_the_first(spark):
     assert all(PASSAGE not in out[i] for i in (2, 3)) and prose(11, 30) in out[3]
 
 
+def test_pipeline_drops_later_copies_of_51_words(spark):
+    import corpus_pipeline
+
+    short = " ".join(f"w{i}" for i in range(51))  # 193 bytes
+    under = " ".join(f"v{i}" for i in range(49))
+    long = "".join(f"long{i}" for i in range(80))  # over 400 bytes, one word
+    texts = [(1, f"{prose(20, 30)} {short} {under}"), (2, f'{prose(21, 30)} "{short} {prose(22, 5)} {under}'), (3, f"{prose(23, 9)} {short[:-5]} {long}"), (4, f" {short}\n"), (5, f"{prose(24, 9)}\n{long}"), (6, f"{short} x {short}")]
+    rows = [(i, t, "en", None, len(t)) for i, t in texts]
+    out = {r.doc_id: r for r in corpus_pipeline.suffix_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert out[1].text == rows[0][1]
+    assert "w1 w2" not in out[2].text and prose(22, 5) in out[2].text and under in out[2].text
+    assert out[3].text == rows[2][1] and 4 not in out
+    assert prose(24, 9) in out[5].text and long not in out[5].text
+    assert out[6].text.split() == ["x"] and all(r.n_chars == len(r.text) for r in out.values())
+
+
 @pytest.mark.parametrize("width", [3, 8])
 def test_longest_previous_factors_equal_brute_force(width):
     text = np.random.default_rng(5).integers(0, 2, 120).astype(np.uint8)
