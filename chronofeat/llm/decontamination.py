@@ -5,7 +5,9 @@ Text becomes tokens (runs of letters and digits). A token with a digit becomes `
 that are no placeholders are hash-joined between documents and benchmark items. Matches of one item on one
 diagonal (place in the document minus place in the item) are counted; where they cover COVER of the item's
 windows, the slots are checked: on that diagonal, each value of a slot must stand for one value in the
-document throughout. What passes is a leak; it is re-parameterised if a value differs.
+document throughout. What passes is a leak; it is re-parameterised if a value differs. With partial, only slots
+inside the windows that match are checked and counted, so that what follows a passage's end or an inserted word does
+not count against it. LEAKS_SQL and the query check all slots of the item.
 
 Results for unusual input: null or empty texts, and items or texts under WINDOW tokens: no leak; items
 without a window of LITERAL plain tokens can't be searched; repeated rows of documents or items: reported once
@@ -50,7 +52,7 @@ def window_keys(tokens: Column) -> Column:
     return bound(F.transform(tokens, lambda x: F.xxhash64(x)), keys)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, partial: bool = False) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, reparameterised of every leak."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("i_words")).where("item_id is not null and i_words <> ''").distinct()
     items = items.withColumn("i_uid", F.xxhash64("item_id", "i_words")).withColumn("i_tokens", F.split(template(F.col("i_words")), " "))
@@ -63,16 +65,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> D
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "words"))
     tokens = rows.where("words is not null").select("uid", "doc_id", F.split(template(F.col("words")), " ").alias("tokens"))
     every = tokens.select("uid", "doc_id", F.posexplode(window_keys(F.col("tokens"))).alias("p", "w"))
-    hits = every.join(fit_for_broadcast(windows), "w").groupBy("uid", "doc_id", "item_id", "i_uid", (F.col("p") - F.col("q")).alias("delta")).agg(F.countDistinct("q").alias("n_windows"))
+    diagonals = every.join(fit_for_broadcast(windows), "w").groupBy("uid", "doc_id", "item_id", "i_uid", (F.col("p") - F.col("q")).alias("delta"))
+    if partial:
+        hits = diagonals.agg(F.collect_set("q").alias("matched")).withColumn("n_windows", F.size("matched").cast("long"))
+    else:
+        hits = diagonals.agg(F.countDistinct("q").alias("n_windows"))
     near = store(hits.join(sizes, "i_uid").where(F.col("n_windows") >= F.lit(cover) * F.col("item_windows")), "near")
 
     # the slots of these few, from both texts
     where_ = fit_for_broadcast(near, 100_000)
     both = rows.select("uid", "words").distinct().join(where_, "uid").join(fit_for_broadcast(store(items.select("i_uid", "i_words", "i_tokens"), "items"), 100_000), "i_uid")
-    texts = F.struct(F.split("words", " ").alias("d"), F.split("i_words", " ").alias("v"), F.col("i_tokens").alias("t"), F.col("delta").alias("delta"))
+    texts = F.struct(F.split("words", " ").alias("d"), F.split("i_words", " ").alias("v"), F.col("i_tokens").alias("t"), F.col("delta").alias("delta"), *([F.col("matched").alias("matched")] if partial else []))
 
     def of_slots(x: Column) -> Column:
-        inside = F.filter(F.sequence(F.lit(0), F.size(x.v) - 1), lambda i: F.get(x.t, i).isin("#", "@", "%") & (i + x.delta >= 0) & (i + x.delta < F.size(x.d)))
+        places = F.sequence(F.lit(0), F.size(x.v) - 1)
+        if partial:
+            places = F.array_distinct(F.flatten(F.transform(x.matched, lambda q: F.sequence(q, q + (WINDOW - 1)))))
+        inside = F.filter(places, lambda i: F.get(x.t, i).isin("#", "@", "%") & (i + x.delta >= 0) & (i + x.delta < F.size(x.d)))
         return F.transform(inside, lambda i: F.struct(F.get(x.v, i).alias("mine"), F.get(x.d, (i + x.delta).cast("int")).alias("theirs")))
 
     slots = both.select("doc_id", "item_id", "n_windows", "item_windows", bound(texts, of_slots).alias("slots"))

@@ -299,6 +299,23 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert out == {1}
 
 
+def left_by_pipeline(spark, folder, item, texts):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(folder)).collect()}
+
+
+def test_pipeline_drops_partial_and_shifted_copies(spark, tmp_path):
+    item = "The old farmer walked 3 miles along the muddy river bank every morning and The children followed him for 3 hours until the sun was high"
+    words = item.split()
+    inserted = " ".join([*words[:18], "quietly", *words[18:]])
+    uneven = item.replace("walked 3", "walked 7").replace("him for 3", "him for 9")
+    texts = [f"so it goes {' '.join(words[:19])} and nothing else is of any use here at all today", inserted, item, prose(1, 80), uneven]
+    assert left_by_pipeline(spark, tmp_path, item, texts) == {3, 4}
+
+
 @pytest.mark.parametrize("name", list(LLM_SQL))
 def test_operator_equals_its_sql(spark, sf, name):
     import duckdb
