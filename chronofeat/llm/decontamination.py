@@ -7,7 +7,8 @@ diagonal (place in the document minus place in the item) are counted; where they
 windows, the slots are checked: on that diagonal, each value of a slot must stand for one value in the
 document throughout. What passes is a leak; it is re-parameterised if a value differs. With partial, only slots
 inside the windows that match are checked and counted, so that what follows a passage's end or an inserted word does
-not count against it. LEAKS_SQL and the query check all slots of the item.
+not count against it. LEAKS_SQL and the query check all slots of the item. With joined, a number with separators and
+a run of capitalised words are one token each, so that a value with another count of pieces shifts nothing.
 
 Results for unusual input: null or empty texts, and items or texts under WINDOW tokens: no leak; items
 without a window of LITERAL plain tokens can't be searched; repeated rows of documents or items: reported once
@@ -28,14 +29,22 @@ WINDOW, LITERAL, COVER = 8, 5, 0.5
 UNITS = "km m cm mm kg g mg lb lbs oz l ml s h min ms hz km2 mph kmh ft in mi yd usd eur gbp dollars euros cents percent meters metres miles kilometers grams kilograms liters litres seconds minutes hours days weeks months years degrees"
 
 
-def words(text: Column) -> Column:
-    """The text's tokens, one blank between them."""
+#: Stands between the pieces of one value.
+JOINT = "\ue000"
+
+
+def words(text: Column, joined: bool = False) -> Column:
+    """The text's tokens, one blank between them; with joined, the pieces of a value are one token."""
+    if joined:
+        text = F.regexp_replace(F.regexp_replace(text, JOINT, " "), "(?<=\\p{N})(?:[.,:/'\u2019]|[ \u00a0\u202f](?=\\p{N}{3}(?!\\p{N})))(?=\\p{N})", JOINT)
+        text = F.regexp_replace(text, "(?<=(?<![\\p{L}\\p{N}])\\p{Lu}\\p{Ll}{1,40})[ -](?=\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}]))", JOINT)
+        return F.trim(F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{JOINT}]+", " "))
     return F.trim(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " "))
 
 
 def template(spaced: Column) -> Column:
     """Tokens with typed placeholders, of the same number."""
-    t = F.regexp_replace(spaced, "(?<![^ ])\\p{Lu}\\p{Ll}+(?![^ ])", "@")
+    t = F.regexp_replace(spaced, f"(?<![^ ])\\p{{Lu}}\\p{{Ll}}+(?:{JOINT}\\p{{Lu}}\\p{{Ll}}+)*(?![^ ])", "@")
     t = F.regexp_replace(t, "(?<![^ ])[^ ]*\\p{N}[^ ]*", "#")
     return F.regexp_replace(F.lower(t), f"(?<=(?<![^ ])# )(?:{'|'.join(UNITS.split())})(?![^ ])", "%")
 
@@ -52,16 +61,16 @@ def window_keys(tokens: Column) -> Column:
     return bound(F.transform(tokens, lambda x: F.xxhash64(x)), keys)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, partial: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, partial: bool = False, joined: bool = False) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, reparameterised of every leak."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("i_words")).where("item_id is not null and i_words <> ''").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string"), joined).alias("i_words")).where("item_id is not null and i_words <> ''").distinct()
     items = items.withColumn("i_uid", F.xxhash64("item_id", "i_words")).withColumn("i_tokens", F.split(template(F.col("i_words")), " "))
     windows = items.select("item_id", "i_uid", "i_tokens", F.posexplode(window_keys(F.col("i_tokens"))).alias("q", "w"))
     plain = F.size(F.filter(F.slice("i_tokens", F.col("q") + 1, WINDOW), lambda x: ~x.isin("#", "@", "%"))) >= LITERAL
     windows = store(windows.where(plain).select("item_id", "i_uid", "q", "w"), "windows")
     sizes = windows.groupBy("i_uid").agg(F.count(F.lit(1)).alias("item_windows"))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string"), joined).alias("words"))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "words"))
     tokens = rows.where("words is not null").select("uid", "doc_id", F.split(template(F.col("words")), " ").alias("tokens"))
     every = tokens.select("uid", "doc_id", F.posexplode(window_keys(F.col("tokens"))).alias("p", "w"))

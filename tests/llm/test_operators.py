@@ -316,6 +316,12 @@ def test_pipeline_drops_partial_and_shifted_copies(spark, tmp_path):
     assert left_by_pipeline(spark, tmp_path, item, texts) == {3, 4}
 
 
+def test_pipeline_drops_questions_with_values_of_other_lengths(spark, tmp_path):
+    item = "an old merchant from the town of Paris sells all of 12 pears and then he gives away the rest"
+    texts = [*(item.replace("12", x) for x in ("1,200", "3.5", "1 200")), item.replace("12", "1,200").replace("Paris", "New York"), f"Somewhere else. Old text {item}", prose(1, 80)]
+    assert left_by_pipeline(spark, tmp_path, item, texts) == {5}
+
+
 @pytest.mark.parametrize("name", list(LLM_SQL))
 def test_operator_equals_its_sql(spark, sf, name):
     import duckdb
