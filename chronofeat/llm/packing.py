@@ -2,8 +2,8 @@
 
 Documents are encoded, given an end token and dealt out by range of (similarity key, doc_id), so that texts
 which share much lie in the same shard and no key is too large for one. Each shard has a BM25 inverted index
-over token ids. A window's first document is its seed: the index returns the seed's best unused neighbours,
-which fill the window in that order. A document that does not fit is cut, and its rest is the next window's
+over token ids. A window's first document is its seed: the index scores all unused documents of the shard by all
+of the seed's terms, and those that share one fill the window, best first; other shards are not searched. A document that does not fit is cut, and its rest is the next window's
 seed. Windows follow each other without gaps; what is left at the end of a partition goes to windows of
 powers of two, so no position is padded.
 
@@ -28,7 +28,7 @@ from chronofeat.llm.tokenization import encoder
 WINDOW, END = 4096, 2
 #: Tokens in a shard, about; and in a partition.
 SHARD, PARTITION = 1_500_000, 6_000_000
-QUERY_TERMS, K1, B = 24, 1.2, 0.75
+K1, B = 1.2, 0.75
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -75,29 +75,26 @@ class Index:
         self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         self.gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / size.mean())) * np.repeat(self.idf, df)
 
-    def neighbours(self, ids: np.ndarray, unused: np.ndarray, most: int) -> np.ndarray:
+    def neighbours(self, ids: np.ndarray, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share terms with ids, best first."""
-        term, tf = np.unique(ids, return_counts=True)
+        term = np.unique(ids)
         at = np.searchsorted(self.terms, term)
         ok = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == term)
-        at, tf = at[ok], tf[ok]
-        at = at[np.argsort(-self.idf[at] * tf / (tf + K1), kind="stable")[:QUERY_TERMS]]
+        at = at[ok]
         score = np.zeros(self.n)
         for a, b in zip(self.starts[at], self.starts[at + 1]):
             score[self.doc[a:b]] += self.gain[a:b]
         score *= unused
         found = np.flatnonzero(score > 0)
-        if len(found) > most:
-            found = found[np.argpartition(-score[found], most)[:most]]
         return found[np.lexsort((found, -score[found]))]
 
 
 def retrieval_order(docs: list[np.ndarray], fill: int, window: int = WINDOW) -> tuple[list[int], int]:
     """The order in which a shard's documents are laid out, from a window that holds `fill` tokens already; and its new fill."""
-    index, unused, order, queue, seed, at = Index(docs), np.ones(len(docs), bool), [], [], None, 0
+    index, unused, order, queue, seed, at = Index(docs), np.ones(len(docs), bool), [], iter(()), None, 0
     while True:
         if seed is not None:
-            queue = list(index.neighbours(docs[seed], unused, 64))
+            queue = iter(index.neighbours(docs[seed], unused))
             seed = None
         nxt = next((d for d in queue if unused[d]), None)
         if nxt is None:
@@ -105,7 +102,7 @@ def retrieval_order(docs: list[np.ndarray], fill: int, window: int = WINDOW) ->
                 at += 1
             if at == len(docs):
                 return order, fill
-            nxt, queue = at, []
+            nxt, queue = at, iter(())
             seed = nxt
         unused[nxt] = False
         order.append(int(nxt))
@@ -113,7 +110,7 @@ def retrieval_order(docs: list[np.ndarray], fill: int, window: int = WINDOW) ->
             seed = nxt  # its rest opens the next window
         fill = (fill + len(docs[nxt])) % window
         if not fill:
-            queue, seed = [], None
+            queue, seed = iter(()), None
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, end: int = END) -> DataFrame:

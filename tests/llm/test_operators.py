@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronofeat.llm import decontamination, suffix_dedup
+from chronofeat.llm import decontamination, packing, suffix_dedup
 from chronofeat.llm.queries import LLM_QUERIES, LLM_SQL
 from chronofeat.llm.tokenization import path_of
 from chronofeat.llm.topk_search import topk
@@ -220,6 +220,14 @@ def test_packing_places_every_token_once(spark, tables, sf):
         check_packing(spark, LLM_QUERIES["op8_packing"](spark, d).collect(), texts)
 
 
+def test_retrieval_uses_all_terms_and_all_neighbours_of_a_seed():
+    seed = np.arange(40)
+    others = [np.array([1000 + i] * 3) for i in range(50)]
+    near = [np.array([39 - i % 40, 2000 + i]) for i in range(120)]
+    order, _ = packing.retrieval_order([seed, *others, *near], 0)
+    assert order[0] == 0 and set(order[1:121]) == set(range(51, 171)) and sorted(order) == list(range(171))
+
+
 def test_lm_scoring_counts_and_base_equal_brute_force(spark, tables, sf):
     for d in (f"{tables.root}/edge", sf):
         rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
