@@ -3,8 +3,8 @@
 A page is a stream of tags and texts. For a host, a few pages (PAGES, one for each hash class) are aligned
 one after another into a union-free regular expression: equal tags stay, texts that differ become slots,
 a mismatch that repeats what stands next to it becomes a repeated group, any other mismatch an optional one.
-The wrapper keeps which container holds the article (the one with the most text in its slots, after menus,
-notices and the like) and which texts inside it are the same on every page (they are no article text, unless
+The expression itself is not kept, and pages are not matched against it. The wrapper keeps which container holds
+the article (by vote of those pages: article and main tags, then text densities) and which texts inside it are the same on every page (they are no article text, unless
 they are most of it). Each page is then read with its host's wrapper; a page that lacks the wrapper's
 container is read by the text densities of its own containers.
 
