@@ -4,20 +4,25 @@ Every distinct 5-word shingle has a place in one global order (its 64-bit hash).
 fragments; a document's set falls into one segment per fragment. Each fragment counts partial overlaps
 of its own segments, and the counts are summed per pair.
 
-Three exact reductions keep that linear:
+Exact reductions keep that near linear:
 
-* Documents with the same set are one class from the start.
+* Documents with the same set (by a 64-bit digest of it) are one class from the start.
 * A document of n shingles can only link if at least 0.8 n of them occur in other documents. The head of
   the order (its first 30 %) is counted first; a document with more than 0.2 n shingles of its own there
   can link with nothing and leaves.
 * In a shingle's list, overlaps are first counted against one pivot (the document whose shingles are the
-  most common). Such a sum is a lower bound, so what reaches the threshold is a link. Documents already in
+  most common). Such a sum is a lower bound, so what reaches the threshold is a link. Of a document's links of a
+  round two go on, so that a group gives no more edges than twice its members. Documents already in
   one component need no further comparison. What is left after the pivot rounds is compared pair by pair.
+* The shingles that a document shares with documents of other components (`shared`, counted in each round) bound
+  its overlap with any of them. Two documents whose smaller bound can't reach the threshold aren't paired. In the
+  last step a fragment also leaves out pairs that can't reach it even if all they share elsewhere were in common.
 
 Results for unusual input: null, empty or blank text: no shingles, linked with nothing; fewer than five
-words: the whole sequence is one shingle; repeated rows: each row is returned; a null doc_id is returned
-and never becomes a component_id unless it is alone; an empty table gives an empty result; other columns
-of the input are ignored.
+words: the whole sequence is one shingle; very long texts: whole; repeated rows: each row is returned; rows of one
+doc_id with different texts: each is a document of its own, which may fall into different components; a row with
+null doc_id is returned, links others, and never gives its component the id (null if all ids of it are null); an
+empty table gives an empty result; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ WORDS, PERCENT = 5, 80
 HEAD = 0.3
 #: Shingles in a fragment, about.
 FRAGMENT = 2_000_000
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 #: Pivots of a document that a fragment reports in a pivot round.
 PIVOTS = 2
 
@@ -73,20 +78,25 @@ def shingle_sets(texts: list[str | None], k: int = WORDS) -> tuple[np.ndarray, n
     return s[first], np.cumsum(np.bincount(owner[first], minlength=len(texts)))
 
 
+def set_digests(s: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set."""
+    starts = np.r_[0, ends[:-1]]
+    n = ends - starts
+    digest = np.zeros(len(n), _U)
+    full = n > 0
+    if full.any():
+        digest[full] = np.add.reduceat(mix(s + _U(0x632BE59BD9B4E019)), starts[full])
+    return mix(digest + n.astype(_U)).view(np.int64)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, number of shingles, digest of the set, and its head."""
+    """doc_id and uid of a row, number of shingles, digest of the set, and its head."""
     bound = _U(int(HEAD * 2**64))
     for batch in chunks(batches):
-        s, ends = shingle_sets(batch.column(1).to_pylist())
+        s, ends = shingle_sets(batch.column(2).to_pylist())
         starts = np.r_[0, ends[:-1]]
-        n = ends - starts
-        digest = np.zeros(len(n), _U)
-        full = n > 0
-        if full.any():
-            digest[full] = np.add.reduceat(mix(s + _U(0x632BE59BD9B4E019)), starts[full])
-        digest = mix(digest + n.astype(_U))
         heads = [s[a : a + np.searchsorted(s[a:b], bound)].tobytes() for a, b in zip(starts, ends)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digest.view(np.int64)), pa.array(heads, pa.binary())], ["doc_id", "n", "sid", "head"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - starts), pa.array(set_digests(s, ends)), pa.array(heads, pa.binary())], ["doc_id", "uid", "n", "sid", "head"])
 
 
 def fragment_of(s: np.ndarray, fragments: int) -> np.ndarray:
@@ -157,7 +167,9 @@ def _segments(fragments: int):
         for batch in chunks(batches):
             s, ends = shingle_sets(batch.column(1).to_pylist())
             out = []
-            for sid, a, b in zip(batch.column(0).to_pylist(), np.r_[0, ends[:-1]], ends):
+            for sid, digest, a, b in zip(batch.column(0).to_pylist(), set_digests(s, ends).tolist(), np.r_[0, ends[:-1]], ends):
+                if digest != sid:  # another text with this uid
+                    continue
                 cuts = np.searchsorted(s[a:b], [_U((i << 64) // fragments) for i in range(1, fragments)] if fragments > 1 else []) + a
                 for f, (x, y) in enumerate(zip(np.r_[a, cuts], np.r_[cuts, b])):
                     if y > x:
@@ -168,15 +180,21 @@ def _segments(fragments: int):
     return run
 
 
+def _enough(overlap: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether an overlap (or a bound of it) reaches the similarity."""
+    return (100 + PERCENT) * overlap >= PERCENT * (na + nb)
+
+
 def _partial_overlaps(every_pair: bool, round_: int = 0):
     """Partial overlaps of one fragment: of each document with the pivots it meets most, or of every pair in different components.
 
-    Rows with b = a hold the number of a's shingles that a document of another component has. The first
+    Rows are (document a, pivot b, sizes, overlap), b before a in an order that all fragments share; rows with b = a
+    hold the number of a's shingles that a document of another component has. The first
     round's pivots are the documents with the most common shingles, later ones' are others by a hash.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        sid, n, weight, label = (t[c].to_numpy() for c in ("sid", "n", "weight", "label"))
+        sid, n, weight, label, shared = (t[c].to_numpy() for c in ("sid", "n", "weight", "label", "shared"))
         segments = [np.frombuffer(x, _U) for x in t["s"].to_pylist()]
         s, owner = np.concatenate(segments), np.repeat(np.arange(len(sid)), [len(x) for x in segments])
         rank = np.empty(len(sid), np.int64)
@@ -191,11 +209,12 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
         keep = np.repeat(mixed, length)
         owner, at, length = owner[keep], np.r_[0, np.cumsum(length[mixed])][:-1].astype(np.int64), length[mixed]
         m = len(sid)
-        own, got = np.unique(owner, return_counts=True)
-        keys, sums = [own * m + own], [got]
+        here = np.bincount(owner, minlength=m)
+        own = np.flatnonzero(here)
+        keys, sums = [own * m + own], [here[own]]
 
         def add(a: np.ndarray, b: np.ndarray) -> None:
-            ok = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+            ok = (label[a] != label[b]) & _enough(np.minimum(shared[a], shared[b]), n[a], n[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
             k, c = np.unique(a[ok] * m + b[ok], return_counts=True)
             keys.append(k)
             sums.append(c)
@@ -204,24 +223,28 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
                 keys[1:], sums[1:] = [k], [c]
 
         if len(owner):
-            which = np.repeat(np.arange(len(at)), length)
-            place = np.arange(len(owner)) - at[which]
+            place = np.arange(len(owner)) - np.repeat(at, length)
+            left = np.repeat(length, length) - place  # entries from here to the list's end
             if every_pair:
-                for shift in range(1, int(length.max())):
-                    i = np.flatnonzero(place + shift < length[which])
-                    add(owner[i], owner[i + shift])
+                i, shift = np.arange(len(owner)), 1
+                while len(i := i[left[i] > shift]):
+                    add(owner[i + shift], owner[i])
+                    shift += 1
             else:
                 i = np.flatnonzero(place > 0)
-                add(owner[i], owner[at[which[i]]])
+                add(owner[i], owner[i - place[i]])
         k, c = grouped_sum(np.concatenate(keys), np.concatenate(sums).astype(np.int64))
         a, b = k // m, k % m
-        if not every_pair:
+        if every_pair:
+            # what the two share elsewhere is at most what either shares elsewhere with any document
+            rest = np.minimum(shared[a] - here[a], shared[b] - here[b])
+            possible = (a == b) | _enough(c + rest, n[a], n[b])
+            a, b, c = a[possible], b[possible], c[possible]
+        else:
             order = np.lexsort((rank[b], -c, a == b, a))  # a document's pivots, best first; its own row last
             place = np.arange(len(a)) - np.repeat(*((x := np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])), np.diff(np.r_[x, len(a)])))
             order = order[(place < PIVOTS) | (a == b)[order]]
             a, b, c = a[order], b[order], c[order]
-        flip = sid[a] > sid[b]
-        a, b = np.where(flip, b, a), np.where(flip, a, b)
         return pa.table({"a": sid[a], "b": sid[b], "na": n[a], "nb": n[b], "overlap": c})
 
     return run
@@ -230,8 +253,8 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = documents(docs)
-    profile = store(docs.mapInArrow(_profile, "doc_id long, n long, sid long, head binary"), "profile")
+    docs = documents(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
+    profile = store(docs.mapInArrow(_profile, "doc_id long, uid long, n long, sid long, head binary"), "profile")
     total = profile.agg(F.sum("n")).first()[0] or 0
     least = 2 * spark.sparkContext.defaultParallelism
 
@@ -240,54 +263,67 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     cut = profile.where("n > 0").select("sid", "n", "head").mapInArrow(_head_segments(int(wanted / HEAD) + 1), "frag int, sids binary, ns binary, counts binary, s binary")
     heads = cut.groupBy("frag").applyInArrow(_own_shingles, "sid long, n long, single long, weight long")
     stats = store(heads.groupBy("sid").agg(F.max("n").alias("n"), F.sum("single").alias("single"), F.sum("weight").alias("weight")), "stats")
-    classes = store(
-        profile.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).join(stats.select("sid", "single", "weight"), "sid", "left").fillna(0, ["single", "weight"]),
-        "classes",
-    )
-    alive = classes.where(f"100 * (n - single) >= {PERCENT} * n and rep is not null")
-    alive = store(alive.select("sid", "rep", "n", (F.col("weight") * 1024 / F.col("n")).cast("long").alias("weight")), "alive")
+    members = profile.where("n > 0").groupBy("sid").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"))
+    classes = store(members.join(stats.select("sid", "single", "weight"), "sid", "left").fillna(0, ["single", "weight"]), "classes")
+    alive = classes.where(f"100 * (n - single) >= {PERCENT} * n")
+    alive = store(alive.select("sid", "rep", "n", (F.col("n") - F.col("single")).alias("shared"), (F.col("weight") * 1024 / F.col("n")).cast("long").alias("weight")), "alive")
     size = alive.agg(F.sum("n")).first()[0] or 0
     links = None
     if size:
         fragments = max(least, size // FRAGMENT)
-        kept = docs.join(fit_for_broadcast(alive.select(F.col("rep").alias("doc_id"), "sid")), "doc_id").select("sid", "text").mapInArrow(_segments(fragments), "sid long, frag int, s binary")
-        # several rows can carry one doc_id: the segments of the first of equal ones count
-        segments = store(kept.dropDuplicates(["sid", "frag", "s"]), "segments")
+        kept = docs.join(fit_for_broadcast(alive.select(F.col("rep").alias("uid"), "sid")), "uid").select("sid", "text").mapInArrow(_segments(fragments), "sid long, frag int, s binary")
+        # rows that are equal in id and text give the same segments
+        segments = store(kept.dropDuplicates(["sid", "frag"]), "segments")
         links = _links(segments, alive)
-    found = components(links.select("a", "b")) if links is not None else None
-    classes = classes.select("sid", "rep")
+        release(segments)
+    found = components(links) if links is not None else None
+    classes_ = classes.select("sid", "least_id")
     if found is not None:
-        labelled = store(classes.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label")), "labelled")
-        smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-        classes = store(labelled.join(smallest, "label").select("sid", "component_id"), "classes")
+        labelled = store(classes_.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least_id", F.coalesce("label", "sid").alias("label")), "labelled")
+        smallest = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
+        classes_ = store(labelled.join(smallest, "label").select("sid", "component_id"), "classes")
+        release(labelled, classes)
     else:
-        classes = classes.withColumnRenamed("rep", "component_id")
-    out = profile.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(classes, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+        classes_ = classes_.withColumnRenamed("least_id", "component_id")
+    release(stats, alive)
+    out = profile.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(classes_, "sid", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _links(segments: DataFrame, alive: DataFrame) -> DataFrame | None:
     """Edges (a, b) between set digests that connect what links at that similarity connect, and nothing else."""
-    active = alive.select("sid", "n", "weight", F.col("sid").alias("label"))
+    active = alive.select("sid", "n", "weight", "shared", F.col("sid").alias("label"))
     links = None
+    pairs = False
     for round_ in range(STAR_ROUNDS + 1):
-        last = round_ == STAR_ROUNDS
-        counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(last, round_), "a long, b long, na long, nb long, overlap long")
+        pairs = pairs or round_ == STAR_ROUNDS
+        counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(pairs, round_), "a long, b long, na long, nb long, overlap long")
         counted = store(counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap")), "overlaps")
-        new = store(counted.where(f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b"), "links")
+        new = counted.where(f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)")
+        if pairs:
+            new = new.select("a", "b")
+        else:  # two links of a document go on; what the others would connect is compared again
+            best = new.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("most"), F.min("b").alias("least"))
+            new = best.select("a", F.explode(F.array_distinct(F.array("most.b", "least"))).alias("b"))
+        new = store(new, "links")
         any_new = bool(new.take(1))
-        links = new if links is None else links.union(new)
-        if last:
-            break
-        near = counted.where(f"a = b and 100 * overlap >= {PERCENT} * na").select(F.col("a").alias("sid"))
-        labels = components(links).withColumnRenamed("node", "sid")
-        links = labels.select(F.col("sid").alias("a"), F.col("label").alias("b"))  # the same components in fewest edges
-        active = store(alive.join(near, "sid").join(labels, "sid", "left").select("sid", "n", "weight", F.coalesce("label", "sid").alias("label")), "active")
+        if pairs:
+            of_label = lambda c: active.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}"))
+            # edges between components, each once
+            new = new.join(of_label("a"), "a").join(of_label("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+            return new if links is None else links.union(new)
+        near = counted.where(f"a = b and 100 * overlap >= {PERCENT} * na").select(F.col("a").alias("sid"), F.col("overlap").alias("shared"))
+        if any_new:
+            labels = components(new if links is None else links.union(new)).withColumnRenamed("node", "sid")
+            links = labels.select(F.col("sid").alias("a"), F.col("label").alias("b"))  # the same components in fewest edges
+        active_ = alive.select("sid", "n", "weight").join(near, "sid")
+        if links is not None:
+            active_ = active_.join(links.select(F.col("a").alias("sid"), F.col("b").alias("label")), "sid", "left")
+        else:
+            active_ = active_.withColumn("label", F.lit(None).cast("long"))
+        active = store(active_.select("sid", "n", "weight", "shared", F.coalesce("label", "sid").alias("label")), "active")
+        release(counted)
         if not active.take(1):
             break
-        if not any_new:  # another pivot round would find nothing: compare the rest pair by pair
-            counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(True), "a long, b long, na long, nb long, overlap long")
-            counted = counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
-            links = links.union(store(counted.where(f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b"), "links"))
-            break
+        pairs = not any_new  # another pivot round would find nothing: compare the rest pair by pair
     return links
