@@ -34,7 +34,7 @@ from chronofeat.llm._common import chunks, mix, store, word_hashes
 
 K, LARGE = 5, 0.1
 #: Tokens read before they are dealt out, and tokens in a partition of pairs, about.
-FLUSH, PART = 2_000_000, 3_000_000
+FLUSH, PART = 800_000, 2_000_000
 #: A word with more than this part of all tokens is dealt by both words.
 HOT = 0.001
 
@@ -45,6 +45,16 @@ _CONTEXT = np.dtype([("h", "<u8"), ("m", "<u4", (K,)), ("many", "<u4"), ("sum",
 _UNSEEN = np.dtype([("h", "<u8"), ("uid", "<i8"), ("n", "<u4")])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """An array's bytes, all first bytes before all second ones and so on: small and sorted numbers then compress well."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: str | np.dtype) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
+
 def good_turing(n: list[int] | np.ndarray) -> np.ndarray:
     """r* of the counts 0 to K, from n[r], the number of types with count r (r up to K + 1).
 
@@ -143,8 +153,8 @@ def _deal(parts: int, shared):
             docs, d = np.unique(doc[i], return_inverse=True)
             ones, o = np.unique(first[i], return_inverse=True)
             twos, t = np.unique(second[i], return_counts=True)  # ascending in i
-            small = lambda x, top: x.astype("<u2" if top <= 65_536 else "<u4").tobytes()
-            out.append((int(part[i[0]]), uid[docs].tobytes(), train[docs].tobytes(), words[ones].tobytes(), words[twos].tobytes(), t.astype("<u4").tobytes(), small(o, len(ones)), small(d, len(docs)), small(times[i], int(times[i].max()) + 1)))
+            small = lambda x, top: planes(x.astype("<u2" if top <= 65_536 else "<u4"))
+            out.append((int(part[i[0]]), planes(uid[docs]), train[docs].tobytes(), planes(words[ones]), planes(words[twos]), planes(t.astype("<u4")), small(o, len(ones)), small(d, len(docs)), small(times[i], int(times[i].max()) + 1)))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64()] + [pa.binary()] * 8)], ["part", "uids", "train", "ones", "twos", "runs", "o", "d", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +173,14 @@ def _deal(parts: int, shared):
 
 
 def _blob(kind: int, key: np.ndarray, rows: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
-    """Rows by the part that their key belongs to; columns one after another, which compresses better."""
+    """Rows by the part that their key belongs to, column by column."""
     part = (((mix(key.astype(_U)) >> _U(32)) * _U(parts)) >> _U(32)).astype(np.uint32)
     order = np.argsort(part, kind="stable")
     at = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0]) if len(order) else []
     out = []
     for a, b in zip(at, [*at[1:], len(order)]):
         r = rows[order[a:b]]
-        out.append((int(part[order[a]]), kind, b"".join(np.ascontiguousarray(r[c]).tobytes() for c in rows.dtype.names)))
+        out.append((int(part[order[a]]), kind, b"".join(planes(r[c]) for c in rows.dtype.names)))
     return out
 
 
@@ -182,7 +192,7 @@ def _rows(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
         for c in kind.names:
             field, shape = kind[c].base, kind[c].shape
             size = n * kind[c].itemsize
-            out[c][at : at + n] = np.frombuffer(b[pos : pos + size], field).reshape(n, *shape)
+            out[c][at : at + n] = from_planes(b[pos : pos + size], field).reshape(n, *shape)
             pos += size
         at += n
     return out
@@ -195,18 +205,21 @@ def _count(parts: int, shared):
         hot, total, star, unknown = shared.value
         w1, w2, doc, times, uids, train = [], [], [], [], [], []
         base = 0
-        read = lambda x, top: np.frombuffer(x, "<u2" if top <= 65_536 else "<u4")
+        read = lambda x, top: from_planes(x, "<u2" if top <= 65_536 else "<u4")
         for u, tr, ones, twos, runs, o, d, m in zip(*(t[c].to_pylist() for c in ("uids", "train", "ones", "twos", "runs", "o", "d", "times"))):
-            uid, ones, runs = np.frombuffer(u, np.int64), np.frombuffer(ones, _U), np.frombuffer(runs, "<u4")
+            uid, ones, runs = from_planes(u, np.int64), from_planes(ones, _U), from_planes(runs, "<u4")
             n = int(runs.sum())
             w1.append(ones[read(o, len(ones))])
-            w2.append(np.repeat(np.frombuffer(twos, _U), runs))
+            w2.append(np.repeat(from_planes(twos, _U), runs))
             doc.append((read(d, len(uid)).astype(np.int64) + base).astype(np.uint32))
-            times.append(np.frombuffer(m, "<u2" if len(m) == 2 * n else "<u4").astype(np.uint32))
+            times.append(from_planes(m, "<u2" if len(m) == 2 * n else "<u4").astype(np.uint32))
             uids.append(uid)
             train.append(np.frombuffer(tr, np.uint8))
             base += len(uid)
-        w1, w2, doc, times, uids, train = (np.concatenate(x) for x in (w1, w2, doc, times, uids, train))
+        del t  # one after another, so that no two columns are there twice
+        w1, w2 = np.concatenate(w1), np.concatenate(w2)
+        doc, times = np.concatenate(doc), np.concatenate(times)
+        uids, train = np.concatenate(uids), np.concatenate(train)
         key = mix(w1 * _U(0x9E3779B97F4A7C15) + w2)
         order = np.argsort(key)
         key = key[order]
