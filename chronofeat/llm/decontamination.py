@@ -36,8 +36,9 @@ JOINT = "\ue000"
 def words(text: Column, joined: bool = False) -> Column:
     """The text's tokens, one blank between them; with joined, the pieces of a value are one token."""
     if joined:
-        text = F.regexp_replace(F.regexp_replace(text, JOINT, " "), "(?<=\\p{N})(?:[.,:/'\u2019]|[ \u00a0\u202f](?=\\p{N}{3}(?!\\p{N})))(?=\\p{N})", JOINT)
-        text = F.regexp_replace(text, "(?<=(?<![\\p{L}\\p{N}])\\p{Lu}\\p{Ll}{1,40})[ -](?=\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}]))", JOINT)
+        # what stands before a joint is matched, not looked behind at: that is tried at every sign of the text
+        text = F.regexp_replace(F.regexp_replace(text, JOINT, " "), "(\\p{N})(?:[.,:/'\u2019]|[ \u00a0\u202f](?=\\p{N}{3}(?!\\p{N})))(?=\\p{N})", f"$1{JOINT}")
+        text = F.regexp_replace(text, "(?<![\\p{L}\\p{N}])(\\p{Lu}\\p{Ll}+)[ -](?=\\p{Lu}\\p{Ll}+(?![\\p{L}\\p{N}]))", f"$1{JOINT}")
         return F.trim(F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}{JOINT}]+", " "))
     return F.trim(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", " "))
 
@@ -70,9 +71,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, part
     windows = store(windows.where(plain).select("item_id", "i_uid", "q", "w"), "windows")
     sizes = windows.groupBy("i_uid").agg(F.count(F.lit(1)).alias("item_windows"))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string"), joined).alias("words"))
-    rows = rows.withColumn("uid", F.xxhash64("doc_id", "words"))
-    tokens = rows.where("words is not null").select("uid", "doc_id", F.split(template(F.col("words")), " ").alias("tokens"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("uid", F.xxhash64("doc_id", "text"))
+    tokens = rows.select("uid", "doc_id", F.split(template(words(F.col("text"), joined)), " ").alias("tokens"))
     every = tokens.select("uid", "doc_id", F.posexplode(window_keys(F.col("tokens"))).alias("p", "w"))
     diagonals = every.join(fit_for_broadcast(windows), "w").groupBy("uid", "doc_id", "item_id", "i_uid", (F.col("p") - F.col("q")).alias("delta"))
     if partial:
@@ -81,9 +81,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, part
         hits = diagonals.agg(F.countDistinct("q").alias("n_windows"))
     near = store(hits.join(sizes, "i_uid").where(F.col("n_windows") >= F.lit(cover) * F.col("item_windows")), "near")
 
-    # the slots of these few, from both texts
-    where_ = fit_for_broadcast(near, 100_000)
-    both = rows.select("uid", "words").distinct().join(where_, "uid").join(fit_for_broadcast(store(items.select("i_uid", "i_words", "i_tokens"), "items"), 100_000), "i_uid")
+    # the slots of these few, from both texts: the corpus is not shuffled for them
+    texts_ = rows.join(fit_for_broadcast(near.select("uid").distinct()), "uid", "left_semi").select("uid", words(F.col("text"), joined).alias("words")).distinct()
+    found = items.join(near.select("i_uid").distinct(), "i_uid", "left_semi").select("i_uid", "i_words", "i_tokens")
+    both = texts_.join(near, "uid").join(found, "i_uid")
     texts = F.struct(F.split("words", " ").alias("d"), F.split("i_words", " ").alias("v"), F.col("i_tokens").alias("t"), F.col("delta").alias("delta"), *([F.col("matched").alias("matched")] if partial else []))
 
     def of_slots(x: Column) -> Column:
