@@ -15,17 +15,18 @@ from functools import lru_cache
 
 import numpy as np
 import regex
-
 # The normaliser and pre-tokenizer of that file, as its JSON states them.
 WORD_RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
 }
-REMEMBERED = 250_000
+#: Words of a generation of the memory; those of the last generation that are met again move to the new one.
+REMEMBERED = 300_000
 #: Python splits at these, the tokenizer does not.
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")
 #: Characters that normalisation changes by case only; words with others are encoded by the library.
 _PLAIN = re.compile("[!-~¡-į]+")
+_PLAIN_WORDS = re.compile("[\n!-~¡-į]+")
 
 
 def path_of(name: str) -> str:
@@ -62,12 +63,12 @@ class Encoder:
             self.encode = lambda texts: [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
             split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
             if spec.get("normalizer") == WORD_RULES["normalizer"] and split[0].get("pattern") == {"Regex": WORD_RULES["pattern"]} and spec["model"].get("end_of_word_suffix"):
+                self.special = [x["content"] for x in spec["added_tokens"]]
                 end = spec["model"]["end_of_word_suffix"]
                 self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1 + len(spec["added_tokens"]), bool)
                 self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(end)]] = True
-                self.special = [x["content"] for x in spec["added_tokens"]]
-                self.words, self.parts = {}, {}
-                self.split = regex.compile(WORD_RULES["pattern"]).findall
+                self.words, self.old_words, self.parts, self.old_parts = {}, {}, {}, {}
+                self.split = regex.compile(WORD_RULES["pattern"] + "|\n").findall
         else:
             import sentencepiece
 
@@ -85,42 +86,60 @@ class Encoder:
             return self.whole(texts)
         split = [None if _OTHER_SPACE.search(t) else t.split() for t in texts]
         if len(self.words) > REMEMBERED:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         if len(self.parts) > REMEMBERED:
-            self.parts.clear()
+            self.old_parts, self.parts = self.parts, {}
         new: set[str] = set()
         for ws in split:
             if ws:
                 new.update(ws)
-        new.difference_update(self.words)
+        new = _unknown(new, self.words, self.old_words)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         get = self.words.__getitem__
         return [self.whole([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
 
-    def _learn(self, new: set[str]) -> None:
-        plain, odd = [], []
-        for w in new:
-            (plain if _PLAIN.fullmatch(w) and not any(s in w for s in self.special) else odd).append(w)
-        if odd:
-            self.words.update(zip(odd, self.whole(odd)))
-        split = [self.split(w.lower()) for w in plain]
-        parts = list({p for ps in split for p in ps}.difference(self.parts))
+    def _learn(self, new: list[str]) -> None:
+        """Encodes words: those without unusual signs by their parts, the others one by one."""
+        joined = "\n".join(new)
+        if not _PLAIN_WORDS.fullmatch(joined) or any(s in joined for s in self.special):
+            plain, odd = [], []
+            for w in new:
+                (plain if _PLAIN.fullmatch(w) and not any(s in w for s in self.special) else odd).append(w)
+            if odd:
+                self.words.update(zip(odd, self.whole(odd)))
+            new, joined = plain, "\n".join(plain)
+        if not new:
+            return
+        every = self.split(joined.lower())
+        parts = _unknown(set(every), self.parts, self.old_parts)
+        parts.discard("\n")
+        self.parts["\n"] = b""
+        parts = list(parts)
         for at in range(0, len(parts), 20_000):
             some = parts[at : at + 20_000]
             ids = np.array(self.encode([" ".join(some)])[0], self.kind)
-            cut = np.flatnonzero(self.ends[ids]) + 1
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * self.width
             if len(cut) == len(some):  # a part's last token, and no other, ends a word
-                raw = ids.tobytes()
-                at_ = 0
-                for p, stop in zip(some, (cut * self.width).tolist()):
-                    self.parts[p] = raw[at_:stop]
-                    at_ = stop
+                raw, cut = ids.tobytes(), [0, *cut.tolist()]
+                self.parts.update(zip(some, [raw[a:b] for a, b in zip(cut, cut[1:])]))
             else:
                 self.parts.update(zip(some, self.whole(some)))
-        get = self.parts.__getitem__
-        for w, ps in zip(plain, split):
-            self.words[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        found = list(map(self.parts.__getitem__, every))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        stops = [*ends[np.fromiter(map("\n".__eq__, every), bool, len(every))].tolist(), int(ends[-1])]
+        raw = b"".join(found)
+        self.words.update(zip(new, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+
+
+def _unknown(wanted: set[str], known: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+    """What is wanted and not known; what only the old generation knows becomes known."""
+    wanted.difference_update(known)
+    if old and wanted:
+        met = [w for w in wanted if w in old]
+        known.update(zip(met, map(old.__getitem__, met)))
+        wanted.difference_update(met)
+    return wanted
 
 
 @lru_cache(2)
