@@ -15,7 +15,8 @@ Exact reductions keep that near linear:
   round two go on, so that a group gives no more edges than twice its members. Documents already in
   one component need no further comparison. What is left after the pivot rounds is compared pair by pair.
 * The shingles that a document shares with documents of other components (`shared`, counted in each round) bound
-  its overlap with any of them. Two documents whose smaller bound can't reach the threshold aren't paired. In the
+  its overlap with any of them, and so the size of what it can link with; shingles shared with documents of no such
+  size do not count in the next round. Two documents whose smaller bound can't reach the threshold aren't paired. In the
   last step a fragment also leaves out pairs that can't reach it even if all they share elsewhere were in common.
 
 Results for unusual input: null, empty or blank text: no shingles, linked with nothing; fewer than five
@@ -40,12 +41,15 @@ WORDS, PERCENT = 5, 80
 #: Part of the global order that is counted for every document.
 HEAD = 0.3
 #: Shingles in a fragment, about.
-FRAGMENT = 2_000_000
-STAR_ROUNDS = 4
-#: Pivots of a document that a fragment reports in a pivot round.
+FRAGMENT = 1_000_000
+STAR_ROUNDS = 3
+#: Pivots of a list, and of a document, that a fragment reports in a pivot round.
 PIVOTS = 2
+#: Fragments that the last step makes at least.
+LEAST_FRAGMENTS = 4
 
 _U = np.uint64
+PARTIAL = "a long, b long, na long, nb long, overlap long"
 
 
 def shingle_sets(texts: list[str | None], k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +137,7 @@ def _head_segments(fragments: int):
                 seen.add(sid)
                 rows.append((sid, n, np.frombuffer(head, _U)))
                 size += len(rows[-1][2])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from cut(rows)
                     rows, size = [], 0
         if rows:
@@ -185,67 +189,97 @@ def _enough(overlap: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return (100 + PERCENT) * overlap >= PERCENT * (na + nb)
 
 
+def _most_of_others(value: np.ndarray, label: np.ndarray, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each entry the largest value in its list among entries of other labels; -inf if there are none.
+
+    which: the list of each entry; at: where each list starts.
+    """
+    order = np.lexsort((-value, which))
+    v, l, first = value[order], label[order], label[order[at]]
+    other = np.where(l != first[which], np.arange(len(v)), len(v))  # lists keep their places in this order
+    second = np.minimum.reduceat(other, at)
+    second = np.where(second < len(v), np.append(v, 0)[np.minimum(second, len(v))], -np.inf)
+    return np.where(label == first[which], second[which], v[at][which])
+
+
 def _partial_overlaps(every_pair: bool, round_: int = 0):
     """Partial overlaps of one fragment: of each document with the pivots it meets most, or of every pair in different components.
 
     Rows are (document a, pivot b, sizes, overlap), b before a in an order that all fragments share; rows with b = a
-    hold the number of a's shingles that a document of another component has. The first
-    round's pivots are the documents with the most common shingles, later ones' are others by a hash.
+    hold in place of b's size the lengths of a's lists together, and as overlap the number of a's shingles that a document
+    of another component has that could link with it by their sizes and by what either shares at all. Pivots are the
+    documents that are most like many others: those with the longest lists, then those with the fewest shingles of their own,
+    at last others by a hash.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        sid, n, weight, label, shared = (t[c].to_numpy() for c in ("sid", "n", "weight", "label", "shared"))
         segments = [np.frombuffer(x, _U) for x in t["s"].to_pylist()]
-        s, owner = np.concatenate(segments), np.repeat(np.arange(len(sid)), [len(x) for x in segments])
-        rank = np.empty(len(sid), np.int64)
-        rank[np.lexsort((sid, -weight)) if not round_ else np.argsort(mix(sid.view(_U) + _U(round_)))] = np.arange(len(sid))
+        # a group can hold several fragments
+        sid, of_row, row = np.unique(t["sid"].to_numpy(), return_index=True, return_inverse=True)
+        n, weight, label, shared = (t[c].to_numpy()[of_row] for c in ("n", "weight", "label", "shared"))
+        s, owner = np.concatenate(segments), np.repeat(row, [len(x) for x in segments])
+        del segments, t
+        m = len(sid)
+        rank = np.empty(m, np.int64)
+        by = {0: (sid, -weight), 1: (sid, -weight), 2: (sid, -(shared / n))}.get(round_, (mix(sid.view(_U) + _U(round_)),))
+        rank[np.lexsort(by)] = np.arange(m)
         order = np.lexsort((rank[owner], s))
         s, owner = s[order], owner[order]
-        start = np.r_[True, s[1:] != s[:-1]]
-        at = np.flatnonzero(start)
+        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         length = np.diff(np.r_[at, len(s)])
+        lists = np.bincount(owner, weights=np.repeat(np.minimum(length, 1_000_000), length), minlength=m).astype(np.int64)
         lab = label[owner]
         mixed = np.minimum.reduceat(lab, at) != np.maximum.reduceat(lab, at)
         keep = np.repeat(mixed, length)
         owner, at, length = owner[keep], np.r_[0, np.cumsum(length[mixed])][:-1].astype(np.int64), length[mixed]
-        m = len(sid)
-        here = np.bincount(owner, minlength=m)
-        own = np.flatnonzero(here)
-        keys, sums = [own * m + own], [here[own]]
+        del s, order, lab, keep
+        # what a document can link with at most, by its size: size * PERCENT <= (100 + PERCENT) * overlap - PERCENT * own size
+        most = (100 + PERCENT) * shared / PERCENT - n
+        if len(owner):
+            which = np.repeat(np.arange(len(at)), length)
+            lab, size = label[owner], n[owner]
+            there = (_most_of_others(most[owner], lab, which, at) >= size) & (-_most_of_others(-size.astype(np.float64), lab, which, at) <= most[owner])
+            here = np.bincount(owner[there], minlength=m)
+            del which, lab, size, there
+        else:
+            here = np.zeros(m, np.int64)
+        own = np.arange(m)
+        keys, sums = [own * m + own], [here]
 
         def add(a: np.ndarray, b: np.ndarray) -> None:
             ok = (label[a] != label[b]) & _enough(np.minimum(shared[a], shared[b]), n[a], n[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
             k, c = np.unique(a[ok] * m + b[ok], return_counts=True)
             keys.append(k)
             sums.append(c)
-            if sum(map(len, keys[1:])) > 4_000_000:
+            if sum(map(len, keys[1:])) > 2_000_000:
                 k, c = grouped_sum(np.concatenate(keys[1:]), np.concatenate(sums[1:]))
                 keys[1:], sums[1:] = [k], [c]
 
         if len(owner):
             place = np.arange(len(owner)) - np.repeat(at, length)
-            left = np.repeat(length, length) - place  # entries from here to the list's end
             if every_pair:
+                left = np.repeat(length, length) - place  # entries from here to the list's end
                 i, shift = np.arange(len(owner)), 1
                 while len(i := i[left[i] > shift]):
                     add(owner[i + shift], owner[i])
                     shift += 1
             else:
-                i = np.flatnonzero(place > 0)
-                add(owner[i], owner[i - place[i]])
+                for pivot in range(1 if not round_ else PIVOTS):
+                    i = np.flatnonzero(place > pivot)
+                    add(owner[i], owner[i - place[i] + pivot])
         k, c = grouped_sum(np.concatenate(keys), np.concatenate(sums).astype(np.int64))
         a, b = k // m, k % m
         if every_pair:
             # what the two share elsewhere is at most what either shares elsewhere with any document
             rest = np.minimum(shared[a] - here[a], shared[b] - here[b])
-            possible = (a == b) | _enough(c + rest, n[a], n[b])
+            possible = (a != b) & _enough(c + rest, n[a], n[b])
             a, b, c = a[possible], b[possible], c[possible]
         else:
             order = np.lexsort((rank[b], -c, a == b, a))  # a document's pivots, best first; its own row last
             place = np.arange(len(a)) - np.repeat(*((x := np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])), np.diff(np.r_[x, len(a)])))
             order = order[(place < PIVOTS) | (a == b)[order]]
             a, b, c = a[order], b[order], c[order]
-        return pa.table({"a": sid[a], "b": sid[b], "na": n[a], "nb": n[b], "overlap": c})
+        return pa.table({"a": sid[a], "b": sid[b], "na": n[a], "nb": np.where(a == b, lists[a], n[b]), "overlap": c})
 
     return run
 
@@ -274,7 +308,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         kept = docs.join(fit_for_broadcast(alive.select(F.col("rep").alias("uid"), "sid")), "uid").select("sid", "text").mapInArrow(_segments(fragments), "sid long, frag int, s binary")
         # rows that are equal in id and text give the same segments
         segments = store(kept.dropDuplicates(["sid", "frag"]), "segments")
-        links = _links(segments, alive)
+        links = store(links, "links") if (links := _links(segments, alive, fragments)) is not None else None
         release(segments)
     found = components(links) if links is not None else None
     classes_ = classes.select("sid", "least_id")
@@ -290,40 +324,39 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _links(segments: DataFrame, alive: DataFrame) -> DataFrame | None:
+def _links(segments: DataFrame, alive: DataFrame, fragments: int) -> DataFrame | None:
     """Edges (a, b) between set digests that connect what links at that similarity connect, and nothing else."""
     active = alive.select("sid", "n", "weight", "shared", F.col("sid").alias("label"))
     links = None
-    pairs = False
-    for round_ in range(STAR_ROUNDS + 1):
-        pairs = pairs or round_ == STAR_ROUNDS
-        counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(pairs, round_), "a long, b long, na long, nb long, overlap long")
-        counted = store(counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap")), "overlaps")
+    for round_ in range(STAR_ROUNDS):
+        counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(False, round_), PARTIAL)
+        # own rows' nb are added up, links' are equal
+        counted = store(counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.sum("nb").alias("lists"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap")), "overlaps")
         new = counted.where(f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)")
-        if pairs:
-            new = new.select("a", "b")
-        else:  # two links of a document go on; what the others would connect is compared again
-            best = new.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("most"), F.min("b").alias("least"))
-            new = best.select("a", F.explode(F.array_distinct(F.array("most.b", "least"))).alias("b"))
-        new = store(new, "links")
+        # two links of a document go on; what the others would connect is compared again
+        best = new.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("most"), F.min("b").alias("least"))
+        new = store(best.select("a", F.explode(F.array_distinct(F.array("most.b", "least"))).alias("b")), "links")
         any_new = bool(new.take(1))
-        if pairs:
-            of_label = lambda c: active.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}"))
-            # edges between components, each once
-            new = new.join(of_label("a"), "a").join(of_label("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-            return new if links is None else links.union(new)
-        near = counted.where(f"a = b and 100 * overlap >= {PERCENT} * na").select(F.col("a").alias("sid"), F.col("overlap").alias("shared"))
+        near = counted.where(f"a = b and 100 * overlap >= {PERCENT} * na").select(F.col("a").alias("sid"), F.col("na").alias("n"), F.col("overlap").alias("shared"), (F.col("lists") * 16 / F.col("na")).cast("long").alias("weight"))
         if any_new:
             labels = components(new if links is None else links.union(new)).withColumnRenamed("node", "sid")
             links = labels.select(F.col("sid").alias("a"), F.col("label").alias("b"))  # the same components in fewest edges
-        active_ = alive.select("sid", "n", "weight").join(near, "sid")
+        label = F.lit(None).cast("long").alias("label") if links is None else F.col("label")
         if links is not None:
-            active_ = active_.join(links.select(F.col("a").alias("sid"), F.col("b").alias("label")), "sid", "left")
-        else:
-            active_ = active_.withColumn("label", F.lit(None).cast("long"))
-        active = store(active_.select("sid", "n", "weight", "shared", F.coalesce("label", "sid").alias("label")), "active")
+            near = near.join(links.select(F.col("a").alias("sid"), F.col("b").alias("label")), "sid", "left")
+        active = store(near.select("sid", "n", "weight", "shared", F.coalesce(label, F.col("sid")).alias("label")), "active")
         release(counted)
         if not active.take(1):
+            return links
+        if not any_new and round_:  # another pivot round would find nothing
             break
-        pairs = not any_new  # another pivot round would find nothing: compare the rest pair by pair
-    return links
+    # what is left, pair by pair, in as few fragments as its size allows: the fewer, the more pairs each of them can rule out
+    few = min(fragments, max(LEAST_FRAGMENTS, (active.agg(F.sum("n")).first()[0] or 0) // FRAGMENT))
+    group = F.floor(F.col("frag") * few / fragments).alias("group")
+    counted = segments.join(fit_for_broadcast(active), "sid").groupBy(group).applyInArrow(_partial_overlaps(True), PARTIAL)
+    counted = counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
+    new = store(counted.where(f"100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b"), "links")
+    of_label = lambda c: active.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}"))
+    # edges between components, each once
+    new = new.join(of_label("a"), "a").join(of_label("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    return new if links is None else links.union(new)
