@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,8 +17,6 @@ from pyspark.sql import types as T
 
 #: Rows above which a side is joined by shuffle rather than broadcast.
 BROADCAST_ROWS = 400_000
-#: Words that a worker remembers the hash of; the memory is emptied beyond that.
-REMEMBERED = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,6 +72,16 @@ def out_schema(df: DataFrame, columns: str, carry: bool) -> T.StructType:
     return out.add("row", df.schema) if carry else out
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Gives memory that is free within this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 4_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches of about max_bytes of text at most (a longer text alone)."""
     for batch in batches:
@@ -88,22 +97,72 @@ def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 4_000_000, text:
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-
-
-_hashes: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; those met before come from a bounded memory."""
-    known = _hashes
-    if len(known) > REMEMBERED:
-        known.clear()
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            give_back()
+
+
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings, one after another (null: none), and where each begins and the last ends."""
+    column = pc.fill_null(column, "")
+    if pa.types.is_large_string(column.type):
+        kind = np.int64
+    else:
+        column, kind = column.cast(pa.string()), np.int32
+    _, at, data = column.buffers()
+    ends = np.frombuffer(at, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, ends - ends[0]
+
+
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: A mask for each number of bytes that a last piece of a word has.
+_ENDS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Bytes above which a word is hashed by itself.
+_LONG = 256
+
+
+def words_in(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words (without white space) of texts start, their bytes, and how many each text has; texts as utf8() gives them."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends) - 1, np.int64)
+    word = _WORD[raw]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    cut = ends[1:-1]
+    inner = cut[(cut > 0) & (cut < len(raw))]
+    inner = inner[word[inner] & word[inner - 1]]  # two texts' words that touch
+    first[inner] = True
+    last[inner - 1] = True
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1 - starts, np.diff(np.searchsorted(starts, ends))
+
+
+def hashes_at(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings of bytes at these places."""
+    h = mix(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(starts):
+        return h
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    todo, at = np.flatnonzero(lengths <= _LONG), 0
+    while len(todo):
+        left = lengths[todo] - at
+        h[todo] = mix((h[todo] ^ (eight[starts[todo] + at] & _ENDS[np.minimum(left, 8)])) * np.uint64(0x9E3779B97F4A7C15))
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(lengths > _LONG):
+        h[i] = xxhash.xxh3_64_intdigest(memoryview(padded)[starts[i] : starts[i] + lengths[i]])
+    return h
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a column of texts, A-Z in lower case, and how many words each text has."""
+    raw, ends = utf8(column)
+    raw = _LOWER[raw]
+    starts, lengths, n = words_in(raw, ends)
+    return hashes_at(raw, starts, lengths), n
 
 
 def mix(x: np.ndarray) -> np.ndarray:

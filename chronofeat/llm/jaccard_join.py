@@ -52,20 +52,15 @@ _U = np.uint64
 PARTIAL = "a long, b long, na long, nb long, overlap long"
 
 
-def shingle_sets(texts: list[str | None], k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in ascending order, concatenated, and where each text's end."""
-    words, ends = [], np.zeros(len(texts) + 1, np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            words += t.encode("utf-8", "surrogatepass").lower().split()
-        ends[i + 1] = len(words)
-    if not words:
+    h, n = word_hashes(texts)
+    ends = np.r_[0, np.cumsum(n)]
+    if not len(h):
         return np.zeros(0, _U), np.zeros(len(texts), np.int64)
-    h = mix(word_hashes(words))
-    n = np.diff(ends)
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), n)
-    place = np.arange(len(words)) - np.repeat(ends[:-1], n)
-    s = np.zeros(len(words), _U)
+    place = np.arange(len(h)) - np.repeat(ends[:-1], n)
+    s = np.zeros(len(h), _U)
     for j in range(k):
         s[: len(s) - j] = s[: len(s) - j] * _U(0x9E3779B97F4A7C15) + h[j:]
     keep = place + k <= n[owner]
@@ -97,7 +92,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id and uid of a row, number of shingles, digest of the set, and its head."""
     bound = _U(int(HEAD * 2**64))
     for batch in chunks(batches):
-        s, ends = shingle_sets(batch.column(2).to_pylist())
+        s, ends = shingle_sets(batch.column(2))
         starts = np.r_[0, ends[:-1]]
         heads = [s[a : a + np.searchsorted(s[a:b], bound)].tobytes() for a, b in zip(starts, ends)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - starts), pa.array(set_digests(s, ends)), pa.array(heads, pa.binary())], ["doc_id", "uid", "n", "sid", "head"])
@@ -169,7 +164,7 @@ def _segments(fragments: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            s, ends = shingle_sets(batch.column(1).to_pylist())
+            s, ends = shingle_sets(batch.column(1))
             out = []
             for sid, digest, a, b in zip(batch.column(0).to_pylist(), set_digests(s, ends).tolist(), np.r_[0, ends[:-1]], ends):
                 if digest != sid:  # another text with this uid

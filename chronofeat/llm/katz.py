@@ -22,7 +22,6 @@ an empty table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, mix, store, word_hashes
+from chronofeat.llm._common import chunks, grouped_sum, mix, store, word_hashes
 
 K, LARGE = 5, 0.1
 #: Tokens read before they are dealt out, and tokens in a partition of pairs, about.
@@ -73,43 +72,30 @@ def discounted(c: np.ndarray, star: np.ndarray) -> np.ndarray:
     return np.where(c > K, c - LARGE, star[np.minimum(c, K).astype(np.int64)])
 
 
-def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts, each followed by END, and the texts' lengths with it."""
-    words, n = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = t.encode("utf-8", "surrogatepass").lower().split() if t else []
-        words += w
-        n[i] = len(w) + 1
-    out = np.empty(len(words) + len(texts), _U)
-    ends = np.cumsum(n) - 1
+    h, n = word_hashes(texts)
+    out = np.empty(len(h) + len(texts), _U)
     is_end = np.zeros(len(out), bool)
-    is_end[ends] = True
-    if words:
-        out[~is_end] = mix(word_hashes(words))
+    is_end[np.cumsum(n + 1) - 1] = True
+    out[~is_end] = h
     out[is_end] = END
-    return out, n
+    return out, n + 1
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held: list[list[np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        words = [w for w in counts if w is not None]
-        h = mix(word_hashes(words)) if words else np.zeros(0, _U)
-        n = [counts[w] for w in words]
-        if counts[None]:
-            h, n = np.r_[h, END], [*n, counts[None]]
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["w", "c"])
+        w, c = grouped_sum(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], ["w", "c"])
 
     for batch in chunks(batches):
-        for t in batch.column(0).to_pylist():
-            counts[None] += 1
-            if t:
-                counts.update(t.encode("utf-8", "surrogatepass").lower().split())
-        if len(counts) > 400_000:
+        held.append(list(np.unique(tokens_of(batch.column(0))[0], return_counts=True)))
+        if sum(len(x[0]) for x in held) > 1_500_000:
             yield flush()
-            counts.clear()
-    if counts:
+    if held:
         yield flush()
 
 
@@ -160,7 +146,7 @@ def _deal(parts: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in chunks(batches):
-            w, n = tokens_of(batch.column(2).to_pylist())
+            w, n = tokens_of(batch.column(2))
             held.append((w, n, batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.uint8)))
             size += len(w)
             if size >= FLUSH:

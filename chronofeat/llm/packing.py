@@ -2,7 +2,7 @@
 
 Documents are encoded, given an end token and dealt out by range of (similarity key, doc_id), so that texts
 which share much lie in the same shard and no key is too large for one. Each shard has a BM25 inverted index
-over token ids. A window's first document is its seed: the index scores all unused documents of the shard by all
+of token ids. A window's first document is its seed: the index scores all unused documents of the shard by all
 of the seed's terms, and those that share one fill the window, best first; other shards are not searched. A document that does not fit is cut, and its rest is the next window's
 seed. Windows follow each other without gaps; what is left at the end of a partition goes to windows of
 powers of two, so no position is padded.
@@ -33,18 +33,18 @@ K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def similarity_keys(ids: list[np.ndarray]) -> np.ndarray:
-    """The smallest hash of each text's runs of three ids."""
-    x = np.concatenate(ids).astype(np.uint64)
-    n = np.array([len(i) for i in ids])
+def similarity_keys(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The smallest hash of each text's runs of three ids; ids of texts of n ids (one at least) one after another."""
+    x = ids.astype(np.uint64)
     h = x.copy()
     for j in (1, 2):
         h[: len(h) - j] = h[: len(h) - j] * np.uint64(0x9E3779B97F4A7C15) + x[j:]
     h = mix(h)
-    starts = np.r_[0, np.cumsum(n)[:-1]]
-    place = np.arange(len(x)) - np.repeat(starts, n)
-    h[(place + 3 > np.repeat(n, n)) & (place > 0)] = np.uint64(2**64 - 1)
-    return np.minimum.reduceat(h, starts).view(np.int64)
+    ends = np.cumsum(n)
+    for j in (1, 2):  # runs that reach beyond the text, unless it has no other
+        at = ends - j
+        h[at[n > j]] = np.uint64(2**64 - 1)
+    return np.minimum.reduceat(h, ends - n).view(np.int64)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
@@ -52,41 +52,58 @@ def encode_documents(docs: DataFrame, tokenizer: str, end: int = END) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        tail = np.array([end], enc.kind).tobytes()
-        for batch in chunks(batches, 2_000_000):
-            raw = [x + tail for x in enc(batch.column(1).to_pylist())]
-            ids = [np.frombuffer(x, enc.kind) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(similarity_keys(ids)), pa.array([len(i) for i in ids], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "key", "n_tokens", "ids"])
+        for batch in chunks(batches):
+            ids, n = enc.encode(batch.column(1))
+            ids, n = np.insert(ids, np.cumsum(n), enc.kind.type(end)), n + 1
+            at = (np.r_[0, np.cumsum(n)] * enc.width).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(similarity_keys(ids, n)), pa.array(n), raw], ["doc_id", "key", "n_tokens", "ids"])
 
     return documents(docs).mapInArrow(run, "doc_id long, key long, n_tokens long, ids binary")
 
 
 class Index:
-    """BM25 over the documents of a shard; terms are token ids."""
+    """BM25 of the documents of a shard; terms are token ids.
+
+    Postings lie by document: a seed's terms are marked, and each document adds up its gains of marked terms. Documents
+    that are used leave once they are a third of those in the index.
+    """
 
     def __init__(self, docs: list[np.ndarray]) -> None:
-        self.n = len(docs)
+        n = len(docs)
         size = np.array([len(d) for d in docs])
-        key, tf = np.unique(np.concatenate(docs).astype(np.int64) * self.n + np.repeat(np.arange(self.n), size), return_counts=True)
-        term, self.doc = key // self.n, key % self.n
-        cut = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-        self.terms, self.starts = term[cut], np.r_[cut, len(term)]
-        df = np.diff(self.starts)
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        self.gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / size.mean())) * np.repeat(self.idf, df)
-
-    def neighbours(self, ids: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share terms with ids, best first."""
-        term = np.unique(ids)
-        at = np.searchsorted(self.terms, term)
-        ok = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == term)
-        at = at[ok]
-        score = np.zeros(self.n)
-        for a, b in zip(self.starts[at], self.starts[at + 1]):
-            score[self.doc[a:b]] += self.gain[a:b]
-        score *= unused
-        found = np.flatnonzero(score > 0)
-        return found[np.lexsort((found, -score[found]))]
+        ids = np.concatenate(docs).astype(np.int64)
+        terms = int(ids.max()) + 1
+        key, tf = np.unique(np.repeat(np.arange(n) * terms, size) + ids, return_counts=True)
+        owner, self.term = key // terms, key % terms
+        df = np.bincount(self.term, minlength=terms)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        self.gain = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / size.mean())) * idf[self.term]).astype(np.float32)
+        cuts = np.searchsorted(owner, np.arange(n + 1))
+        self.of_doc = [self.term[a:b] for a, b in zip(cuts, cuts[1:])]  # a seed's terms, also after it left
+        self.docs, self.starts = np.arange(n), cuts[:-1]
+        self.marked = np.zeros(terms, np.float32)
+
+    def _leave(self, unused: np.ndarray) -> None:
+        keep = unused[self.docs]
+        if 3 * np.count_nonzero(keep) >= 2 * len(self.docs):
+            return
+        length = np.diff(np.r_[self.starts, len(self.term)])
+        postings = np.repeat(keep, length)
+        self.term, self.gain = self.term[postings], self.gain[postings]
+        self.docs, length = self.docs[keep], length[keep]
+        self.starts = np.cumsum(length) - length
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share terms with a document, best first."""
+        self._leave(unused)
+        if not len(self.docs):
+            return self.docs
+        self.marked[self.of_doc[seed]] = 1
+        score = np.add.reduceat(self.gain * self.marked[self.term], self.starts) * unused[self.docs]
+        self.marked[self.of_doc[seed]] = 0
+        at = np.flatnonzero(score > 0)
+        return self.docs[at[np.lexsort((at, -score[at]))]]
 
 
 def retrieval_order(docs: list[np.ndarray], fill: int, window: int = WINDOW) -> tuple[list[int], int]:
@@ -94,7 +111,7 @@ def retrieval_order(docs: list[np.ndarray], fill: int, window: int = WINDOW) ->
     index, unused, order, queue, seed, at = Index(docs), np.ones(len(docs), bool), [], iter(()), None, 0
     while True:
         if seed is not None:
-            queue = iter(index.neighbours(docs[seed], unused))
+            queue = iter(index.neighbours(seed, unused).tolist())
             seed = None
         nxt = next((d for d in queue if unused[d]), None)
         if nxt is None:
@@ -153,9 +170,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
 
         ids, texts, size = [], [], 0
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(doc)
-                texts.append(np.frombuffer(raw.as_py(), kind))
+                texts.append(np.frombuffer(raw, kind))
                 size += len(texts[-1])
                 if size >= SHARD:
                     if rows := place(ids, texts):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, out_schema, release, store, with_row, word_hashes
+from chronofeat.llm._common import chunks, hashes_at, out_schema, release, store, with_row, words_in
 
 WIDTH, GRAM = 400, 128
 #: Words in an anchor gram where strings of words are looked for (less for short strings).
@@ -53,7 +53,8 @@ _BYTE = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64) | _U(1
 def symbols(text: str | None, words: bool) -> np.ndarray:
     """A text's bytes, or the hashes of its words."""
     b = text.encode("utf-8", "surrogatepass") if text else b""
-    return word_hashes(b.split()) if words else np.frombuffer(b, np.uint8)
+    raw = np.frombuffer(b, np.uint8)
+    return hashes_at(raw, *words_in(raw, np.array([0, len(raw)]))[:2]) if words else raw
 
 
 def window_hashes(a: np.ndarray, width: int) -> np.ndarray:

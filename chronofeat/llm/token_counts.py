@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofeat.llm._common import chunks, documents, shared_dir
-from chronofeat.llm.tokenization import encoder, version
+from chronofeat.llm.tokenization import blanks_are_one, encoder, version
 
 LIMIT = 2048
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", cache: s
     cache = cache or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     tag = version(tokenizer)
     text = F.coalesce(F.col("text"), F.lit(""))
-    content = F.regexp_replace(text, "[ \t\r\n]{2,}|[\t\r\n]", " ") if tokenizer.startswith("word_") else text
+    content = F.regexp_replace(text, "[ \t\r\n]{2,}|[\t\r\n]", " ") if blanks_are_one(tokenizer) else text
     rows = documents(docs).select("doc_id", text.alias("text"), F.unhex(F.md5(content.cast("binary"))).alias("digest"))
 
     def cached() -> DataFrame:
@@ -45,13 +45,12 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", cache: s
     # the first document of each content stands for it
     wanted = rows.groupBy("digest").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"))).alias("k")).select("digest", F.col("k.k").alias("k"))
     misses = wanted.join(cached(), "digest", "left_anti")
-    with_text = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).join(misses, ["k", "digest"]).select("digest", "text")
+    with_text = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).join(misses, ["k", "digest"]).select("k", "digest", "text").dropDuplicates(["k", "digest"]).select("digest", "text")  # rows can share id and content
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in chunks(batches, text="text"):
-            counts = [len(x) // enc.width for x in enc(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.counts(batch.column(1)))], ["digest", "n_tokens"])
 
     new = with_text.mapInArrow(encode, "digest binary, n_tokens long")
     new.select(F.lit(tag).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
