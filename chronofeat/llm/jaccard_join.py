@@ -40,8 +40,8 @@ from chronofeat.llm._common import chunks, components, documents, fit_for_broadc
 WORDS, PERCENT = 5, 80
 #: Part of the global order that is counted for every document.
 HEAD = 0.3
-#: Shingles in a fragment, about.
-FRAGMENT = 1_000_000
+#: Shingles in a fragment, about; and in one of the head, where they are only counted.
+FRAGMENT, HEAD_FRAGMENT = 1_000_000, 2_000_000
 STAR_ROUNDS = 3
 #: Pivots of a list, and of a document, that a fragment reports in a pivot round.
 PIVOTS = 2
@@ -279,8 +279,12 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
     return run
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def jaccard_components(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
+
+    carry: also uid, a hash of doc_id and text, and label, which is equal for rows of a component and null for rows
+    without shingles.
+    """
     spark = docs.sparkSession
     docs = documents(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
     profile = store(docs.mapInArrow(_profile, "doc_id long, uid long, n long, sid long, head binary"), "profile")
@@ -288,7 +292,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = 2 * spark.sparkContext.defaultParallelism
 
     # the head of the order, cut so that the head itself gives that many fragments
-    wanted = max(least, int(total * HEAD) // FRAGMENT)
+    wanted = max(least, int(total * HEAD) // HEAD_FRAGMENT)
     cut = profile.where("n > 0").select("sid", "n", "head").mapInArrow(_head_segments(int(wanted / HEAD) + 1), "frag int, sids binary, ns binary, counts binary, s binary")
     heads = cut.groupBy("frag").applyInArrow(_own_shingles, "sid long, n long, single long, weight long")
     stats = store(heads.groupBy("sid").agg(F.max("n").alias("n"), F.sum("single").alias("single"), F.sum("weight").alias("weight")), "stats")
@@ -310,13 +314,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if found is not None:
         labelled = store(classes_.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least_id", F.coalesce("label", "sid").alias("label")), "labelled")
         smallest = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-        classes_ = store(labelled.join(smallest, "label").select("sid", "component_id"), "classes")
+        classes_ = store(labelled.join(smallest, "label").select("sid", "label", "component_id"), "classes")
         release(labelled, classes)
     else:
-        classes_ = classes_.withColumnRenamed("least_id", "component_id")
+        classes_ = classes_.select("sid", F.col("sid").alias("label"), F.col("least_id").alias("component_id"))
     release(stats, alive)
-    out = profile.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(classes_, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = profile.select("doc_id", "uid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(classes_, "sid", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component, *(["uid", "label"] if carry else []))
 
 
 def _links(segments: DataFrame, alive: DataFrame, fragments: int) -> DataFrame | None:
