@@ -62,8 +62,11 @@ def window_keys(tokens: Column) -> Column:
     return bound(F.transform(tokens, lambda x: F.xxhash64(x)), keys)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, partial: bool = False, joined: bool = False) -> DataFrame:
-    """doc_id, item_id, n_windows, item_windows, n_slots, reparameterised of every leak."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, partial: bool = False, joined: bool = False, carry: bool = False) -> DataFrame:
+    """doc_id, item_id, n_windows, item_windows, n_slots, reparameterised of every leak.
+
+    carry: by row rather than by doc_id, with uid, a hash of the row's doc_id and text.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string"), joined).alias("i_words")).where("item_id is not null and i_words <> ''").distinct()
     items = items.withColumn("i_uid", F.xxhash64("item_id", "i_words")).withColumn("i_tokens", F.split(template(F.col("i_words")), " "))
     windows = items.select("item_id", "i_uid", "i_tokens", F.posexplode(window_keys(F.col("i_tokens"))).alias("q", "w"))
@@ -94,14 +97,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, part
         inside = F.filter(places, lambda i: F.get(x.t, i).isin("#", "@", "%") & (i + x.delta >= 0) & (i + x.delta < F.size(x.d)))
         return F.transform(inside, lambda i: F.struct(F.get(x.v, i).alias("mine"), F.get(x.d, (i + x.delta).cast("int")).alias("theirs")))
 
-    slots = both.select("doc_id", "item_id", "n_windows", "item_windows", bound(texts, of_slots).alias("slots"))
+    row = ["uid", "doc_id"] if carry else ["doc_id"]
+    slots = both.select(*row, "item_id", "n_windows", "item_windows", bound(texts, of_slots).alias("slots"))
     pairs = F.array_distinct("slots")
     checked = slots.where(F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda s: s.mine))))
     checked = checked.withColumn("n_slots", F.size("slots").cast("long")).withColumn("reparameterised", F.exists("slots", lambda s: s.mine != s.theirs))
-    best = checked.groupBy("doc_id", "item_id").agg(
+    best = checked.groupBy(*row, "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").alias("n_slots"), F.min("reparameterised").alias("reparameterised")
     )
-    return best.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("item_windows").cast("long").alias("item_windows"), "n_slots", "reparameterised")
+    return best.select(*row, "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("item_windows").cast("long").alias("item_windows"), "n_slots", "reparameterised")
 
 
 _TEMPLATE_SQL = """list_transform({x}, lambda t, i: CASE

@@ -4,12 +4,14 @@ Every language has a codeword of bits. For each bit a logistic classifier on byt
 0 from 1; the language whose codeword has the least loss, weighted by how well each bit was learnt, wins. A
 text whose two nearest codewords lie close together is flagged as ambiguous.
 
-The fit uses at most PER_LANGUAGE texts of each language (whole texts, chosen by a hash of doc_id); every
-text is predicted.
+The fit uses per_language texts of each language at most (whole texts, chosen by a hash of doc_id), and fewer of each
+where there are many languages: sampled texts of all languages together are at most max_texts (or one a language, if there are
+more languages than that). No language is left out; every text is predicted.
 
 Results for unusual input: null text or text without a letter: `und` with score 0, ambiguous; no labelled
-training row: `und` for all; one language only: that language; repeated rows: each is returned; an empty
-table gives an empty result.
+training row: `und` for all; one language only: that language; very long texts: whole; repeated rows: each is
+returned; equal losses: the language first in the alphabet, ambiguous; equal doc_ids with different texts: all of a sampled id's texts
+of that language are learnt from; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +26,6 @@ from pyspark.sql import functions as F
 
 from chronofeat.llm._common import chunks, documents
 
-PER_LANGUAGE = 600
-#: Languages that the bounded sample covers at most (the most frequent ones).
-MAX_LANGUAGES = 200
 DIM = 4096
 EPOCHS = 250
 #: Loss by which the nearest codeword must beat the next, as a part of the code's length.
@@ -71,7 +70,7 @@ def fit_codes(texts: list[np.ndarray], langs: list[str]) -> dict:
         return {"names": names, "code": code, "w": np.zeros((DIM, code.shape[1]), np.float32), "b": np.zeros(code.shape[1]), "trust": np.ones(code.shape[1])}
     x = np.vstack(texts)
     y = code[np.searchsorted(names, langs)].astype(np.float32)
-    share = np.array([langs.count(n) for n in names], np.float32)[np.searchsorted(names, langs)]
+    share = np.unique(langs, return_counts=True)[1].astype(np.float32)[np.searchsorted(names, langs)]
     weight = (1 / share / len(names))[:, None]  # each language counts alike
     w, b = np.zeros((DIM, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
@@ -103,15 +102,19 @@ def decode(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return best, 1 / e.sum(1), two[:, 1] - two[:, 0] < MARGIN
 
 
-def identify_language(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and ambiguous of every row; lang of rows that are not held out is learnt from."""
+def identify_language(docs: DataFrame, folds: int = 3, held_out: int = 1, per_language: int = 600, max_texts: int = 8000) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and ambiguous of every row; lang of rows that are not held out is learnt from.
+
+    per_language, max_texts: the bounds of the sample that the classifiers are fitted on.
+    """
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     train = rows.where("lang is not null and text is not null and doc_id is not null").where(fold != held_out)
-    names = [r.lang for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    languages = train.select("lang").distinct().count()
+    each = min(per_language, max(1, max_texts // max(1, languages)))
     # one slot for each hash class of doc_id: the sample is a partial aggregate, bounded by languages and slots
-    slots = train.where(F.col("lang").isin(names)).groupBy("lang", (F.pmod(F.xxhash64("doc_id"), F.lit(PER_LANGUAGE))).alias("slot")).agg(F.min("doc_id").alias("doc_id"))
+    slots = train.groupBy("lang", (F.pmod(F.xxhash64("doc_id"), F.lit(each))).alias("slot")).agg(F.min("doc_id").alias("doc_id"))
     picked = F.broadcast(slots.select("lang", "doc_id").distinct())
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -316,10 +316,32 @@ def _marked(spans: list[dict] | None, width: int) -> list[tuple[int, int]]:
     return every
 
 
-def _removed(text: str | None, spans: list[dict] | None, width: int, word_spans: list[dict] | None = None, n_words: int = 0) -> tuple[bytes, list[tuple[int, int]]]:
+#: Bytes of a word at a cut's end up to which the word stays whole.
+WORD = 40
+_HEAD, _TAIL = re.compile(rb"\S{0,%d}" % (WORD + 1)), re.compile(rb"\S*\Z")
+
+
+def _whole_words(b: bytes, a: int, z: int) -> tuple[int, int]:
+    """The interval without the words that it would cut in two; longer ones, as in scripts without blanks, are cut."""
+    if a and not b[a - 1 : a].isspace() and (n := len(_HEAD.match(b, a)[0])) <= WORD:
+        a += n
+    if z < len(b) and not b[z : z + 1].isspace() and (n := len(_TAIL.search(b, max(a, z - WORD - 1), z)[0])) <= WORD:
+        z -= n
+    return a, z
+
+
+def _removed(text: str | None, spans: list[dict] | None, width: int, word_spans: list[dict] | None = None, n_words: int = 0, whole_words: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
     """A text's bytes, and the ascending intervals to remove from them, apart from each other."""
     b = text.encode("utf-8", "surrogatepass") if text else b""
     every = _marked(spans, width)
+    if whole_words:
+        joined: list[tuple[int, int]] = []
+        for a, z in sorted(every):
+            if joined and a <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(z, joined[-1][1]))
+            else:
+                joined.append((a, z))
+        every = [(a, z) for a, z in (_whole_words(b, *x) for x in joined) if z > a]
     if word_spans:
         # a word's bytes reach to the next word; what stands before the first word goes with it
         at = [0, *[m.start() for m in re.finditer(rb"\S+", b)][1:], len(b)]
@@ -374,14 +396,14 @@ def drop_later_copies(docs: DataFrame, width: int = WIDTH, n_words: int = 0) ->
     """Each row of docs as a struct `row`, and `kept`: its text without later copies of repeated strings.
 
     With n_words, later copies of strings of so many words go, too, however few bytes they have.
-    Characters that are cut in two go as well.
+    Words (up to WORD bytes of them) that a cut would go through stay whole; characters that are cut in two go as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             out = []
             for text, spans, word_spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                b, cuts = _removed(text, spans, width, word_spans, n_words)
+                b, cuts = _removed(text, spans, width, word_spans, n_words, True)
                 kept, at = [], 0
                 for a, z in cuts:
                     kept.append(b[at:a])

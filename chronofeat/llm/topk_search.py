@@ -1,18 +1,21 @@
 """Exact top-k search by inner product: MaxScore over sharded postings.
 
-A component of a vector is a term. In a shard a term has one posting list of the vectors with a positive
-value there and one of those with a negative value; each list has its largest and smallest value. For a
+A component of a vector is a term, and a term's postings are the values of a shard's vectors there. As vectors are
+dense, nearly every vector is in every posting list: lists are kept as the columns of a matrix, without ids, and
+traversed STRIDE vectors at a time, where each list has its largest and smallest value. For a
 query, a list can add at most (query value x extreme value). Lists are put in order of that bound. Those
-whose bounds together stay below the k-th best score so far are non-essential: a vector found in none of the
-others can't get in. Essential postings are traversed, sums kept; the remaining lists are probed for the
+whose bounds together stay below the k-th best score so far are non-essential: a vector whose sum over the
+others, the essential lists, leaves more to reach than that can't get in. Essential lists are traversed for all vectors, sums kept; the
+remaining lists are probed for the
 vectors that can still reach the k-th best score, which is checked again after every few lists. Shards are
 searched apart and their best k merged.
 
 Query blocks meet each shard as one row, so a task holds one shard and one block. Results for unusual input:
-vectors that are null, empty, or hold null or non-finite components take no part; vectors of another length
-than the most frequent one (of equally frequent ones the shortest) take no part; rows with the same id stand
-for themselves (a query never gets a row of its own id); fewer than k candidates: all; an empty table gives an
-empty result.
+vectors that are null, empty, or hold null or non-finite components take no part; vectors of different lengths are
+apart: a query's candidates are those of its own length; rows with the same id stand
+for themselves (a query never gets a row of its own id); fewer than k candidates: all; rows with null ids take no part;
+very long vectors: as others (a shard's memory grows with their length); ties: the smaller id first, and of equal ids any; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import store
+from chronofeat.llm._common import fit_for_broadcast, store
 
 SHARD, BLOCK = 8192, 512
 #: Vectors scored in one go; the k-th best score is brought up to date in between.
@@ -75,39 +78,40 @@ def quantise(vectors: DataFrame, scale: int, column: str) -> DataFrame:
 def topk(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each query (vec_id divisible by `every`)."""
     spark = vectors.sparkSession
-    rows = store(quantise(vectors, scale, column), "vectors")
-    sizes = rows.groupBy(F.size("q").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = sizes.d if sizes else 1
-    rows = rows.where(F.size("q") == dim)
-    n = rows.count()
-    shards = max(1, -(-n // SHARD))
-    schema = "shard int, ids binary, vectors binary"
+    rows = store(quantise(vectors, scale, column).withColumn("dim", F.size("q")), "vectors")
+    # one row for each length of vectors
+    sizes = store(rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"), F.ceil(F.count(F.lit(1)) / (every * BLOCK)).cast("int").alias("blocks")), "sizes")
+    few = fit_for_broadcast(sizes)
+    schema = "dim int, shard int, ids binary, vectors binary"
 
     def pack(t: pa.Table) -> pa.Table:
         order = np.argsort(t["vec_id"].to_numpy(), kind="stable")
-        m = np.array(t["q"].combine_chunks().flatten()).reshape(-1, dim)[order]
-        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int32()), "ids": [t["vec_id"].to_numpy()[order].tobytes()], "vectors": [m.tobytes()]})
+        m = np.array(t["q"].combine_chunks().flatten()).reshape(len(order), -1)[order]
+        return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1], "ids": [t["vec_id"].to_numpy()[order].tobytes()], "vectors": [m.tobytes()]})
 
-    as_shard = lambda df, count: df.withColumn("shard", F.pmod(F.xxhash64("vec_id", "q"), F.lit(count)).cast("int"))
-    packed = as_shard(rows, shards).groupBy("shard").applyInArrow(pack, schema)
-    queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = as_shard(queries, max(1, -(-n // (every * BLOCK)))).groupBy("shard").applyInArrow(pack, schema)
-    # the stated query set in blocks against all rows: every block is sent to every shard
-    sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    def packed(df: DataFrame, count: str) -> DataFrame:
+        dealt = df.join(few, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "q"), F.col(count)).cast("int"))
+        return dealt.select("dim", "shard", "vec_id", "q").groupBy("dim", "shard").applyInArrow(pack, schema)
+
+    # the stated query set in blocks against all rows: every block is sent to every shard of its vectors' length
+    blocks = packed(rows.where(F.col("vec_id") % every == 0), "blocks").join(few, "dim")
+    sent = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    pairs = packed(rows, "shards").join(sent, ["dim", "shard"]).select("dim", "ids", "vectors", "query_ids", "queries")
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    shards = sizes.agg(F.sum("shards")).first()[0] or 1
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, ids, vectors_, query_ids, queries_ in zip(*(c for c in batch.columns)):
-                ids, m = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(vectors_.as_py(), np.int64).reshape(-1, dim)
-                qs = np.frombuffer(queries_.as_py(), np.int64).reshape(-1, dim)
+            for dim, ids, vectors_, query_ids, queries_ in zip(*(c for c in batch.columns)):
+                ids, m = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(vectors_.as_py(), np.int64).reshape(-1, dim.as_py())
+                qs = np.frombuffer(queries_.as_py(), np.int64).reshape(-1, dim.as_py())
                 out = [(qid, *maxscore(m, ids, q, qid, k)) for qid, q in zip(np.frombuffer(query_ids.as_py(), np.int64), qs)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out])), pa.array(np.concatenate([x[2] for x in out])), pa.array(np.concatenate([x[1] for x in out]))],
                     ["query_id", "vec_id", "score"],
                 )
 
-    pairs = packed.join(sent, "shard").select("shard", "ids", "vectors", "query_ids", "queries")
-    found = pairs.repartition(max(shards, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(search, "query_id long, vec_id long, score long")
+    found = pairs.repartition(max(shards, tasks)).mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
