@@ -17,10 +17,6 @@ def n0(x: Column) -> Column:
     return F.coalesce(x, F.lit(0))
 
 
-def nan_to_null(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
-
-
 def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
@@ -59,4 +55,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softplus(x: Column) -> Column:
+    """log(1 + e^x): the loss of a link's score, without overflow."""
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +9,44 @@ from pyspark.sql import functions as F
 MISSING_SCORE = -1e9
 
 
-def average_precision(df: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
-    """Sum over distinct scores, highest first, of (recall gained) x precision; ties are one step.
+#: Ranges of values that cumulative sums over all values are cut into.
+RANGES = 64
+
 
-    Rows are grouped by score first, so what is accumulated grows with distinct scores.
+def _ranges(counts: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds __b: the range of values (of the group) that a value is in, in ascending order; null values come first.
+
+    Borders are approximate quantiles, one short array for each group; any borders give right sums.
     """
+    at = F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("__at")
+    borders = counts.groupBy(*by).agg(at) if by else counts.agg(at)
+    joined = counts.join(F.broadcast(borders), list(by)) if by else counts.crossJoin(F.broadcast(borders))  # a row for each group
+    return joined.withColumn("__b", F.coalesce(F.size(F.filter("__at", lambda x: x <= F.col(value))), F.lit(-1))).drop("__at")
+
+
+def _below(counts: DataFrame, value: str, sums: list[str], by: tuple[str, ...] = (), down: bool = False) -> DataFrame:
+    """Adds <sum>_before: the sum over rows of smaller values (down: larger ones), for distinct values.
+
+    Sums are taken by range of values, accumulated over the few ranges, and added to those within a range, so that no
+    task meets all values.
+    """
+    ranged = _ranges(counts, value, by)
+    order = (lambda c: F.desc(c)) if down else (lambda c: F.asc(c))
+    start = Window.unboundedPreceding
+    over = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order("__b")).rowsBetween(start, -1)
+    totals = ranged.groupBy(*by, "__b").agg(*(F.sum(s).alias(s) for s in sums))  # RANGES rows a group
+    offsets = totals.select(*by, "__b", *(F.coalesce(F.sum(s).over(over), F.lit(0)).alias(f"{s}_o") for s in sums))
+    inside = Window.partitionBy(*by, "__b").orderBy(order(value)).rowsBetween(start, -1)
+    out = ranged.join(F.broadcast(offsets), [*by, "__b"])
+    return out.withColumns({f"{s}_before": F.col(f"{s}_o") + F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}).drop("__b", *(f"{s}_o" for s in sums))
+
+
+def average_precision(df: DataFrame, score: str = "score", label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """Sum over distinct scores, highest first, of (recall gained) x precision; ties are one step."""
     g = df.groupBy(*by, F.col(score).alias("__s")).agg(F.sum(F.col(label).cast("double")).alias("__tp"), F.count(F.lit(1)).alias("__n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("__s"))
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    c = g.select(*by, "__tp", F.sum("__tp").over(up).alias("__ctp"), F.sum("__n").over(up).alias("__cn"))
-    ap = (F.sum(F.col("__tp") * F.col("__ctp") / F.col("__cn")) / F.sum("__tp")).alias("ap")
+    c = _below(g, "__s", ["__tp", "__n"], by, down=True)
+    step = F.col("__tp") * (F.col("__tp_before") + F.col("__tp")) / (F.col("__n_before") + F.col("__n"))
+    ap = (F.sum(step) / F.sum("__tp")).alias("ap")
     return c.groupBy(*by).agg(ap) if by else c.agg(ap)
 
 
@@ -35,10 +61,9 @@ def single_feature_ap(df: DataFrame, features: list[str], label: str = "label")
 
 
 def _value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Each distinct value with how many rows have less, over buckets of the value range."""
+    """Each distinct value (__v) with how many rows have it (__n) and how many have less (__less)."""
     counts = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(F.lit(0)).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("__v", "__n", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__less"))
+    return _below(counts, "__v", ["__n"]).withColumnRenamed("__n_before", "__less")
 
 
 def rank_average(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -61,8 +86,9 @@ def recency_weight(age_days: Column, halflife_d: float | None) -> Column:
 def quantile_map(df: DataFrame, value: str, order: str, reference: DataFrame, ref_value: str, name: str) -> DataFrame:
     """Gives the n-th ranked row the n-th quantile of reference, interpolated, strictly increasing, clipped to [0, 1]."""
     n, m = df.count(), reference.count()
-    w = Window.partitionBy(F.lit(0)).orderBy("__r")
-    ref = reference.select(F.col(ref_value).alias("__r")).select("__r", (F.row_number().over(w) - 1).alias("__i"))
+    # equal reference values are given places one after another
+    places = _value_ranks(reference.select(F.col(ref_value).alias("__r")), "__r")
+    ref = places.select(F.col("__v").alias("__r"), F.explode(F.sequence(F.col("__less"), F.col("__less") + F.col("__n") - 1)).alias("__i"))
     q = (F.col("__k") - 1) / float(max(1, n - 1))
     at = q * (m - 1)
     ranked = rank_ordinal(df, value, order, "__k").withColumns({"__q": q}).withColumns({"__lo": F.least(F.floor(at), F.lit(m - 1)), "__f": at - F.floor(at)})
@@ -73,5 +99,8 @@ def quantile_map(df: DataFrame, value: str, order: str, reference: DataFrame, re
     return out.withColumn(name, F.least(F.greatest("__m", F.lit(0.0)), F.lit(1.0))).drop("__k", "__q", "__lo", "__hi", "__f", "__a", "__b", "__m")
 
 
-def lift(ap: float, base: float) -> float:
-    return ap / base if base else math.nan
+def describe(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.99)) -> DataFrame:
+    """One row: n, mean, sample deviation, least, largest and exact percentiles (p50, p99) of a column."""
+    names = [f"p{round(100 * s)}" for s in shares]
+    one = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("largest"), F.percentile(value, list(shares)).alias("__p"))
+    return one.select("*", *(F.col("__p")[k].alias(n) for k, n in enumerate(names))).drop("__p")

@@ -24,6 +24,10 @@ GNN = ["gnn_cd_cos", "gnn_cd_score", "gnn_cust_emb_drift", "gnn_cm_cos"]
 NAMES = [*DEGREES, *TWO_HOP, *COMPONENTS, *RECENT, *SPECTRAL, *GNN, "days_since_graph_snapshot"]
 
 WEEK_S = 7 * 86_400
+#: Change of singular values, as a part of the largest, at which the iteration ends; and rounds at most.
+TOLERANCE, ITERATIONS = 1e-10, 500
+#: Links that refinement by link prediction takes at least.
+LEAST_LINKS = 100
 #: 1970-01-04 was a Sunday.
 FIRST_SUNDAY_S = 3 * 86_400
 
@@ -138,21 +142,20 @@ def spectral_factors(left: np.ndarray, right: np.ndarray, n_left: int, n_right:
     if k < 2 or not len(left):
         return out
     w = 1 / np.sqrt(np.bincount(left, minlength=n_left)[left] * np.bincount(right, minlength=n_right)[right])
-    dense = np.zeros((n_left, n_right)) if n_left * n_right <= 4_000_000 else None
-    if dense is not None:
-        dense[left, right] = w
-        u, s, vt = np.linalg.svd(dense, full_matrices=False)
-        u, s, v = u[:, :k], s[:k], vt[:k].T
-    else:  # subspace iteration with sparse products
-
-        def times(rows: np.ndarray, columns: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-            return np.stack([np.bincount(rows, w * x[columns, j], n) for j in range(x.shape[1])], 1)
-
-        q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_right, k + 8)))[0]
-        for _ in range(30):
-            q = np.linalg.qr(times(right, left, np.linalg.qr(times(left, right, q, n_left))[0], n_right))[0]
-        u, s, wt = np.linalg.svd(times(left, right, q, n_left), full_matrices=False)
-        u, s, v = u[:, :k], s[:k], (q @ wt.T)[:, :k]
+
+    def times(rows: np.ndarray, columns: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(rows, w * x[columns, j], n) for j in range(x.shape[1])], 1)
+
+    # subspace iteration with sparse products, until the values stand still
+    wide = min(2 * k + 8, n_left, n_right)
+    q, before = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_right, wide)))[0], None
+    for _ in range(ITERATIONS):
+        z, s, _ = np.linalg.svd(times(left, right, q, n_left), full_matrices=False)
+        if before is not None and np.abs(s[:k] - before[:k]).max() <= TOLERANCE * s[0]:
+            break
+        q, before = np.linalg.qr(times(right, left, z, n_right))[0], s
+    u, s, wt = np.linalg.svd(times(left, right, q, n_left), full_matrices=False)
+    u, s, v = u[:, :k], s[:k], (q @ wt.T)[:, :k]
     out[0][:, :k], out[1][:, :k] = u * s, v * s
     return out
 
@@ -162,8 +165,10 @@ def _cos(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(d > 1e-12, (a * b).sum(1) / np.maximum(d, 1e-9), np.nan)
 
 
-def propagate(h: list[np.ndarray], weights: tuple[np.ndarray, np.ndarray], cd: tuple[np.ndarray, np.ndarray], cm: tuple[np.ndarray, np.ndarray], layers: int = 2) -> list[np.ndarray]:
-    """Neighbourhood means through two tanh layers; devices and merchants see the customers' new state."""
+def propagate(h: list[np.ndarray], weights: tuple[np.ndarray, np.ndarray], cd: tuple[np.ndarray, np.ndarray], cm: tuple[np.ndarray, np.ndarray], layers: int = 2, customers_first: bool = True) -> list[np.ndarray]:
+    """Neighbourhood means through two tanh layers; devices and merchants see the customers' new state, or
+    (where links are refined afterwards) the one before the layer.
+    """
 
     def mean(rows: np.ndarray, columns: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
         total = np.zeros((n, x.shape[1]))
@@ -173,9 +178,11 @@ def propagate(h: list[np.ndarray], weights: tuple[np.ndarray, np.ndarray], cd: t
     c, d, m = h
     w1, w2 = weights
     for _ in range(layers):
-        c = np.tanh(c @ w1 + (0.5 * mean(*cd, d, len(c)) + 0.5 * mean(*cm, m, len(c))) @ w2)
-        d = np.tanh(d @ w1 + mean(cd[1], cd[0], c, len(d)) @ w2)
-        m = np.tanh(m @ w1 + mean(cm[1], cm[0], c, len(m)) @ w2)
+        new = np.tanh(c @ w1 + (0.5 * mean(*cd, d, len(c)) + 0.5 * mean(*cm, m, len(c))) @ w2)
+        seen = new if customers_first else c
+        d = np.tanh(d @ w1 + mean(cd[1], cd[0], seen, len(d)) @ w2)
+        m = np.tanh(m @ w1 + mean(cm[1], cm[0], seen, len(m)) @ w2)
+        c = new
     return [c, d, m]
 
 
@@ -222,8 +229,9 @@ def embeddings(df: DataFrame, dim: int = EMBED_DIM, seed: int = 42, train_links:
             cd, cm = pairs(c, d), pairs(c, m)
             sc, sd = spectral_factors(*cd, len(cu), len(du), dim, seed + number)
             tc, tm = spectral_factors(*cm, len(cu), len(mu), dim, seed + 1000 + number)
-            h = propagate(h, w, cd, cm)
-            if train_links and len(cd[0]) >= 100:
+            refined = train_links and len(cd[0]) >= LEAST_LINKS
+            h = propagate(h, w, cd, cm, customers_first=not refined)
+            if refined:
                 h[0], h[1] = refine_links(h[0], h[1], *cd, seed=seed + number)
             i = rows.loc[rows["snap"] == snap, "i"].to_numpy()
             bc, bd, bm = c[i], d[i], m[i]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from chronofeat.functions.scalar import safe_div
 from chronofeat.operators.metrics import single_feature_ap
 from chronofeat.plans import amount, encoding, entity, graph, temporal, velocity
 from chronofeat.sources.stream import write_features, write_json
@@ -13,8 +15,34 @@ FEATURES = [n for b in BLOCKS.values() for n in b.NAMES]
 
 
 def build_label_free(df: DataFrame) -> DataFrame:
-    """The four blocks that read no label and no snapshot; customers' windows come first and share their exchange."""
-    return temporal.build(entity.build(velocity.build(amount.build(df), df), df), df)
+    """The four blocks that read no label and no snapshot.
+
+    All windows of customers, alone or with another key, follow one exchange by customer. Devices, merchants,
+    locations, hours and days are of other keys: each is a narrow table, made from the source columns it needs, and
+    joined by txn_id, so wide rows are shuffled once.
+    """
+    cust = amount.contexts(amount.ratios(df))
+    cust = velocity.pair(velocity.by_entity(cust, "cust"))
+    cust = entity.movement(entity.diversity(entity.novelty(cust)))
+    cust = temporal.circular(entity.age_of(cust, "cust", df))
+    cust = amount.roundness(temporal.calendar(cust))
+
+    device = df.select("txn_id", "ts", "ts_epoch", "cust", "dev", "loc", "amount")
+    dev = velocity.by_entity(device, "dev", median=False).join(velocity.typical_gap(device, "dev"), "txn_id")
+    dev = entity.age_of(entity.sharing_of_devices(dev), "dev", device)
+    dev = dev.withColumn("dev_dt_vs_typical", safe_div(F.col("dev_dt"), F.col("__typical")))
+
+    merchant = df.select("txn_id", "ts", "ts_epoch", "cust", "dev", "merch")
+    merch = entity.age_of(entity.sharing_of_merchants(velocity.by_hub(merchant, "merch"), merchant), "merch", merchant)
+    loc = velocity.by_hub(df.select("txn_id", "ts", "ts_epoch", "loc"), "loc")
+    hour = temporal.volume_share(df.select("txn_id", "ts", "ts_epoch"))
+    ranks = amount.trailing_ranks(df.select("txn_id", "ts", "ts_epoch", "amount"))
+
+    wanted = [n for b in (temporal, amount, velocity, entity) for n in b.NAMES]
+    out = cust
+    for side in (dev, merch, loc, hour, ranks):
+        out = out.join(side.select("txn_id", *(c for c in side.columns if c in wanted and c not in out.columns)), "txn_id")
+    return out.select(*df.columns, *(n for n in wanted if n not in df.columns))
 
 
 def build_matrix(df: DataFrame, cutoff: str, use_embeddings: bool = True) -> DataFrame:

@@ -12,11 +12,12 @@ import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofeat.functions.scalar import safe_div
 from chronofeat.operators.folds import Fold
-from chronofeat.operators.metrics import average_precision, quantile_map, rank_average, recency_weight
+from chronofeat.operators.metrics import average_precision, quantile_map, rank_average, rank_ordinal, recency_weight
 
 SENTINEL = -999.0
 #: name: depth, rounds, step, half-life in days of the recency weight.
@@ -149,6 +150,41 @@ def walk_forward(df: DataFrame, build_encoded: Callable[[DataFrame, str], DataFr
     return results, gains
 
 
-def calibrate(scores: DataFrame, reference: DataFrame, ref_value: str) -> DataFrame:
-    """Scores with the distribution of reference probabilities, in the same order."""
-    return quantile_map(scores, "score", "txn_id", reference, ref_value, "calibrated")
+def calibrate(scores: DataFrame, reference: DataFrame, ref_value: str, check: bool = True) -> DataFrame:
+    """Scores with the distribution of reference probabilities, in the same order; check: an error if they are not."""
+    out = quantile_map(scores, "score", "txn_id", reference, ref_value, "calibrated")
+    if check and order_changed(out, "score", "calibrated"):
+        raise ValueError("calibration changed the order of scores")
+    return out
+
+
+def order_changed(df: DataFrame, a: str, b: str) -> bool:
+    """Whether some row's place by (a, txn_id) is another by (b, txn_id)."""
+    both = rank_ordinal(rank_ordinal(df.select("txn_id", a, b), a, "txn_id", "__i"), b, "txn_id", "__j")
+    return bool(both.where("__i <> __j").take(1))
+
+
+def fold_summary(results: DataFrame) -> DataFrame:
+    """One row: mean and sample deviation of the validation scores of the folds (fold, ap_val)."""
+    return results.agg(F.count(F.lit(1)).alias("folds"), F.avg("ap_val").alias("mean_ap"), F.stddev_samp("ap_val").alias("std_ap"), F.min("ap_val").alias("least_ap"), F.max_by("fold", "ap_val").alias("best_fold"))
+
+
+def mean_gains(gains: DataFrame) -> DataFrame:
+    """feature, mean_gain: gains (fold, feature, gain) as shares of their fold's sum, averaged over folds."""
+    total = gains.groupBy("fold").agg(F.sum("gain").alias("__all"))
+    shares = gains.join(F.broadcast(total), "fold").withColumn("__share", safe_div(F.col("gain"), F.col("__all")))  # a row for each fold
+    return shares.groupBy("feature").agg(F.avg("__share").alias("mean_gain"))
+
+
+def top_features(means: DataFrame, k: int = 30) -> DataFrame:
+    """The k features with the largest mean gain, with their place."""
+    best = means.orderBy(F.desc("mean_gain"), "feature").limit(k)  # a report of k rows
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_gain"), "feature")))
+
+
+def gain_by_block(means: DataFrame, blocks: dict[str, list[str]]) -> DataFrame:
+    """block, gain, features: mean gains summed by the block that a feature is of."""
+    block = F.lit(None).cast("string")
+    for name, features in blocks.items():
+        block = F.when(F.col("feature").isin(features), name).otherwise(block)
+    return means.withColumn("block", block).where("block is not null").groupBy("block").agg(F.sum("mean_gain").alias("gain"), F.count(F.lit(1)).alias("features"))
