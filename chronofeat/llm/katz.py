@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, grouped_sum, mix, store, word_hashes
+from chronofeat.llm._common import chunks, give_back, grouped_sum, mix, store, word_hashes
 
 K, LARGE = 5, 0.1
-#: Tokens read before they are dealt out, and tokens in a partition of pairs, about.
-FLUSH, PART = 800_000, 2_000_000
+#: Tokens read before they are dealt out, tokens in a partition of pairs, and tokens of it that are counted in one step, about.
+FLUSH, PART, STEP = 1_000_000, 6_000_000, 1_500_000
 #: A word with more than this part of all tokens is dealt by both words.
 HOT = 0.001
 
@@ -185,78 +185,107 @@ def _rows(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
 
 
 def _count(parts: int, shared):
-    """Counts the pairs of a part and scores them as far as the part knows."""
+    """Counts the pairs of a part and scores them as far as the part knows.
+
+    A part is counted in steps of about STEP tokens, by second words, so that it can be large: the more parts there are,
+    the more often a document's sums are handed on.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         hot, total, star, unknown = shared.value
-        w1, w2, doc, times, uids, train = [], [], [], [], [], []
-        base = 0
+        hottest = np.array(list(hot), _U)
         read = lambda x, top: from_planes(x, "<u2" if top <= 65_536 else "<u4")
+        blobs, uids, train, docs, tokens = [], [], [], 0, 0
         for u, tr, ones, twos, runs, o, d, m in zip(*(t[c].to_pylist() for c in ("uids", "train", "ones", "twos", "runs", "o", "d", "times"))):
             uid, ones, runs = from_planes(u, np.int64), from_planes(ones, _U), from_planes(runs, "<u4")
             n = int(runs.sum())
-            w1.append(ones[read(o, len(ones))])
-            w2.append(np.repeat(from_planes(twos, _U), runs))
-            doc.append((read(d, len(uid)).astype(np.int64) + base).astype(np.uint32))
-            times.append(from_planes(m, "<u2" if len(m) == 2 * n else "<u4").astype(np.uint32))
+            blobs.append((ones, from_planes(twos, _U), runs, read(o, len(ones)), read(d, len(uid)), from_planes(m, "<u2" if len(m) == 2 * n else "<u4"), docs))
             uids.append(uid)
             train.append(np.frombuffer(tr, np.uint8))
-            base += len(uid)
-        del t  # one after another, so that no two columns are there twice
-        w1, w2 = np.concatenate(w1), np.concatenate(w2)
-        doc, times = np.concatenate(doc), np.concatenate(times)
+            docs, tokens = docs + len(uid), tokens + n
+        del t
         uids, train = np.concatenate(uids), np.concatenate(train)
-        key = mix(w1 * _U(0x9E3779B97F4A7C15) + w2)
-        order = np.argsort(key)
-        key = key[order]
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        del key
-        doc, times = doc[order], times[order]
-        w1, w2 = w1[order[new]], w2[order[new]]
-        size = np.diff(np.r_[new, len(order)])
-        del order
-        c = np.add.reduceat((times * train[doc]).astype(np.int64), new)  # of each pair, in training
-        twos, code = np.unique(w2, return_inverse=True)
-        c2 = np.bincount(code, c, len(twos)).astype(np.int64)
-        for i in np.flatnonzero(np.isin(twos, np.array(list(hot), _U))) if hot else ():
-            c2[i] = hot[int(twos[i])]
-        p1 = np.where(c2 > 0, discounted(c2, star) / max(total, 1), unknown)[code]
-        c2 = c2[code]
-        seen = c > 0
-        rest = np.where(seen, np.where(c > K, np.log10(np.maximum(c, K + 1) - LARGE), 0.0), np.log10(p1))
-        rest -= np.where((c2 > 0) & (w2 != END), np.log10(np.maximum(c2, 1)), 0.0)  # the word as the next one's context
-        of, n = np.repeat(np.arange(len(new)), size), len(uids)
-        times = times.astype(np.float64)
-        total_by = lambda value: np.bincount(doc, times * value[of], n)
-        rows = np.zeros(n, _DOC)
-        rows["uid"], rows["tokens"] = uids, np.bincount(doc, times, n)
-        rows["known"], rows["base"], rows["rest"] = total_by((c2 > 0).astype(np.float64)), total_by(np.log10(c2 + 1.0)), total_by(rest)
-        for r in range(K):
-            rows["seen"][:, r] = total_by((c == r + 1).astype(np.float64))
-        out = _blob(0, rows["uid"], rows, parts)
-        ones, code = np.unique(w1[seen], return_inverse=True)
-        cs, rows = c[seen], np.zeros(len(ones), _CONTEXT)
-        rows["h"], rows["p"] = ones, np.bincount(code, p1[seen], len(ones))
-        for r in range(K):
-            rows["m"][:, r] = np.bincount(code[cs == r + 1], minlength=len(ones))
-        rows["many"], rows["sum"] = np.bincount(code[cs > K], minlength=len(ones)), np.bincount(code, np.where(cs > K, cs, 0), len(ones))
-        out += _blob(1, rows["h"], rows, parts)
-        gone = np.flatnonzero(~seen[of])
-        pair = np.stack([w1[of[gone]], uids[doc[gone]].view(_U)], 1)
-        order = np.lexsort((pair[:, 1], pair[:, 0]))
-        pair, many = pair[order], times[gone][order]
-        at = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(1)]) if len(pair) else np.zeros(0, np.int64)
-        rows = np.zeros(len(at), _UNSEEN)
-        if len(at):
-            rows["h"], rows["uid"], rows["n"] = pair[at, 0], pair[at, 1].view(np.int64), np.add.reduceat(many, at)
-        out += _blob(2, rows["h"], rows, parts)
-        of_count = np.bincount(np.minimum(c, K + 2), minlength=K + 3)[: K + 2].astype(np.int64).tobytes()
-        out += [(p, 3, of_count) for p in range(parts)]  # every part gets the counts of counts of all
+        rows = np.zeros(docs, _DOC)
+        rows["uid"] = uids
+        contexts, unseen, of_count = [], [], np.zeros(K + 2, np.int64)
+        steps = max(1, -(-tokens // STEP))
+        for step in range(steps):
+            w1, w2, doc, times = [], [], [], []
+            for ones, twos, runs, o, d, m, base in blobs:
+                mine = mix(twos + _U(3)) % _U(steps) == _U(step)
+                at = np.repeat(mine, runs)
+                w1.append(ones[o[at]])
+                w2.append(np.repeat(twos[mine], runs[mine]))
+                doc.append(d[at].astype(np.uint32) + np.uint32(base))
+                times.append(m[at].astype(np.uint32))
+            w1, w2 = np.concatenate(w1), np.concatenate(w2)
+            doc, times = np.concatenate(doc), np.concatenate(times)
+            if not len(w1):
+                continue
+            key = mix(w1 * _U(0x9E3779B97F4A7C15) + w2)
+            order = np.argsort(key)
+            key = key[order]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            del key
+            doc, times = doc[order], times[order]
+            w1, w2 = w1[order[new]], w2[order[new]]
+            size = np.diff(np.r_[new, len(order)])
+            del order
+            c = np.add.reduceat((times * train[doc]).astype(np.int64), new)  # of each pair, in training
+            twos, code = np.unique(w2, return_inverse=True)
+            c2 = np.bincount(code, c, len(twos)).astype(np.int64)
+            for i in np.flatnonzero(np.isin(twos, hottest)) if hot else ():
+                c2[i] = hot[int(twos[i])]
+            p1 = np.where(c2 > 0, discounted(c2, star) / max(total, 1), unknown)[code]
+            c2 = c2[code]
+            seen = c > 0
+            rest = np.where(seen, np.where(c > K, np.log10(np.maximum(c, K + 1) - LARGE), 0.0), np.log10(p1))
+            rest -= np.where((c2 > 0) & (w2 != END), np.log10(np.maximum(c2, 1)), 0.0)  # the word as the next one's context
+            of = np.repeat(np.arange(len(new)), size)
+            times = times.astype(np.float64)
+            total_by = lambda value: np.bincount(doc, times * value[of], docs)  # noqa: E731, B023
+            rows["tokens"] += np.bincount(doc, times, docs).astype(np.uint32)
+            rows["known"] += total_by((c2 > 0).astype(np.float64)).astype(np.uint32)
+            rows["base"] += total_by(np.log10(c2 + 1.0))
+            rows["rest"] += total_by(rest)
+            for r in range(K):
+                rows["seen"][:, r] += total_by((c == r + 1).astype(np.float64)).astype(np.uint32)
+            ones, code = np.unique(w1[seen], return_inverse=True)
+            cs, some = c[seen], np.zeros(len(ones), _CONTEXT)
+            some["h"], some["p"] = ones, np.bincount(code, p1[seen], len(ones))
+            for r in range(K):
+                some["m"][:, r] = np.bincount(code[cs == r + 1], minlength=len(ones))
+            some["many"], some["sum"] = np.bincount(code[cs > K], minlength=len(ones)), np.bincount(code, np.where(cs > K, cs, 0), len(ones))
+            contexts.append(some)
+            gone = np.flatnonzero(~seen[of])
+            pair = np.stack([w1[of[gone]], uids[doc[gone]].view(_U)], 1)
+            order = np.lexsort((pair[:, 1], pair[:, 0]))
+            pair, many = pair[order], times[gone][order]
+            at = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(1)]) if len(pair) else np.zeros(0, np.int64)
+            some = np.zeros(len(at), _UNSEEN)
+            if len(at):
+                some["h"], some["uid"], some["n"] = pair[at, 0], pair[at, 1].view(np.int64), np.add.reduceat(many, at)
+            unseen.append(some)
+            of_count += np.bincount(np.minimum(c, K + 2), minlength=K + 3)[: K + 2]
+        out = _blob(0, rows["uid"], rows, parts) + _blob(1, (every := _merged(np.concatenate(contexts)))["h"], every, parts)
+        out += _blob(2, (every := np.concatenate(unseen))["h"], every, parts)
+        out += [(p, 3, of_count.tobytes()) for p in range(parts)]  # every part gets the counts of counts of all
+        give_back()
         return pa.table([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["part", "kind", "rows"])
 
     return run
 
 
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Contexts, each once, with their sums."""
+    rows = rows[np.argsort(rows["h"], kind="stable")]
+    at = np.flatnonzero(np.r_[True, rows["h"][1:] != rows["h"][:-1]]) if len(rows) else np.zeros(0, np.int64)
+    out = rows[at].copy()
+    for c in _CONTEXT.names[1:] if len(at) else ():
+        out[c] = np.add.reduceat(rows[c], at, axis=0)
+    return out
+
+
 def _combine(starts: int):
     """Contexts of a part: their backoff weights, applied to the unseen pairs; and the documents of the part."""
 

@@ -72,6 +72,7 @@ def test_scores_equal_the_definition(spark, small, monkeypatch):
     if small:  # many parts, many flushes, and words that are dealt by both words
         monkeypatch.setattr(katz, "FLUSH", 50)
         monkeypatch.setattr(katz, "PART", 100)
+        monkeypatch.setattr(katz, "STEP", 30)
         monkeypatch.setattr(katz, "HOT", 0.05)
     rows = corpus(3, 150)
     words = lambda t: (t or "").lower().encode().split()
