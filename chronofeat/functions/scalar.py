@@ -1,4 +1,4 @@
-"""Column helpers: null-safe division, calendar angles, rounding and vector arithmetic."""
+"""Column helpers: null-safe division, calendar angles and rounding."""
 
 from __future__ import annotations
 
@@ -38,22 +38,3 @@ def hour_bucket(ts: Column) -> Column:
     """Bands of the day: before 5, 12, 18, 22, and later."""
     h = F.hour(ts)
     return F.when(h < 5, 0).when(h < 12, 1).when(h < 18, 2).when(h < 22, 3).otherwise(4)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Null where a norm is zero."""
-    d = norm(a) * norm(b)
-    return F.when(d > 0, dot(a, b) / F.greatest(d, F.lit(1e-9)))
-
-
-def softplus(x: Column) -> Column:
-    """log(1 + e^x): the loss of a link's score, without overflow."""
-    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))

@@ -87,11 +87,17 @@ def near_perfect(df: DataFrame, features: list[str], label: str = "label", limit
     return ap.withColumn("failed", F.col("best_ap") > limit)
 
 
-def run_all(df: DataFrame, features: list[str], train_end: str, test_start: str, build: Callable | None = None, stream: DataFrame | None = None, cutoff: str | None = None) -> dict:
-    """All checks; raises LeakageError on a failure, returns the boundary report for review."""
+def run_all(df: DataFrame, features: list[str], train_end: str, test_start: str, build: Callable | None = None, stream: DataFrame | None = None, cutoff: str | None = None, history: dict[str, list[str]] | None = None) -> dict:
+    """All checks; raises LeakageError on a failure, returns the boundary report for review.
+
+    history: for each key the features that must be null on its first row.
+    """
     wrong = banned_columns(features)
     if wrong:
         raise LeakageError(f"banned: {wrong}")
+    filled = [x.feature for key, names in (history or {}).items() for x in first_row_null(df, key, names).where("n_filled > 0").collect()]
+    if filled:
+        raise LeakageError(f"history on a first row: {filled}")
     late = [r.feature for r in tail_coverage(df, features).where("failed").collect()]
     perfect = [r.feature for r in near_perfect(df, features).where("failed").collect()]
     moved = [r.feature for r in truncation_mismatches(build, stream, cutoff, features).where("n_mismatched > 0").collect()] if build else []

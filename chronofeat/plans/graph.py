@@ -266,9 +266,9 @@ def embedded(df: DataFrame, base: DataFrame | None = None, **options) -> DataFra
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (*SPECTRAL, *GNN)})
 
 
-def build(df: DataFrame, use_embeddings: bool = True, base: DataFrame | None = None) -> DataFrame:
+def build(df: DataFrame, use_embeddings: bool = True, base: DataFrame | None = None, **options) -> DataFrame:
     base = df if base is None else base
     df, base = assign_snapshots(df, base=base), assign_snapshots(base)
     df = recent(components(two_hops(degrees(df, base), base), base), base)
     df = df.withColumn("days_since_graph_snapshot", (F.col("ts_epoch") - F.col("snap")) / 86_400.0)
-    return (embedded(df, base) if use_embeddings else df).drop("snap")
+    return (embedded(df, base, **options) if use_embeddings else df).drop("snap")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofeat.config import EngineConfig
 from chronofeat.functions.scalar import safe_div
 from chronofeat.operators.metrics import single_feature_ap
 from chronofeat.plans import amount, encoding, entity, graph, temporal, velocity
-from chronofeat.sources.stream import write_features, write_json
+from chronofeat.sources.stream import cached, clean, read_csv, union_stream, validate, write_features, write_json
 
 BLOCKS = {"temporal": temporal, "amount": amount, "velocity": velocity, "entity": entity, "encoding": encoding, "graph": graph}
 FEATURES = [n for b in BLOCKS.values() for n in b.NAMES]
@@ -45,9 +46,15 @@ def build_label_free(df: DataFrame) -> DataFrame:
     return out.select(*df.columns, *(n for n in wanted if n not in df.columns))
 
 
-def build_matrix(df: DataFrame, cutoff: str, use_embeddings: bool = True) -> DataFrame:
-    """All 200 features beside the stream's columns; cutoff: the last time whose labels may be read."""
-    return graph.build(encoding.build(build_label_free(df), cutoff, base=df), use_embeddings, df)
+def build_matrix(df: DataFrame, cutoff: str, use_embeddings: bool | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """All 200 features beside the stream's columns (with the config's switch: the inconsistency of signups, too).
+
+    cutoff: the last time whose labels may be read.
+    """
+    out = encoding.build(build_label_free(df), cutoff, config.te_alpha, config.te_halflife_d, df)
+    if config.use_signup_inconsistency:
+        out = temporal.signup_inconsistency(out)
+    return graph.build(out, config.use_embeddings if use_embeddings is None else use_embeddings, df, dim=config.embed_dim, seed=config.seed)
 
 
 def manifest(df: DataFrame, features: list[str] | None = None) -> list[dict]:
@@ -58,10 +65,19 @@ def manifest(df: DataFrame, features: list[str] | None = None) -> list[dict]:
     return [{"name": f, "block": block[f], "single_feature_ap": ap.get(f)} for f in features]
 
 
-def build_and_write(df: DataFrame, cutoff: str, path: str) -> None:
-    """Features of labelled and unlabelled rows as two Parquet tables, and the manifest."""
-    write_features(build_matrix(df, cutoff).drop("cust", "merch", "dev"), f"{path}/all.parquet")
-    matrix = df.sparkSession.read.parquet(f"{path}/all.parquet")
-    matrix.where("not is_test").write.mode("overwrite").parquet(f"{path}/train.parquet")
-    matrix.where("is_test").write.mode("overwrite").parquet(f"{path}/test.parquet")
-    write_json(manifest(matrix), f"{path}/feature_manifest.json")
+def build_and_write(df: DataFrame, cutoff: str, path: str, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Features of labelled and unlabelled rows as two Parquet tables, and the manifest; the matrix, as it is kept."""
+    matrix = cached(df, lambda x: build_matrix(x, cutoff, config=config), path, f"{cutoff} {config}")
+    features = [f for f in FEATURES if f in matrix.columns]
+    narrow = matrix.select("txn_id", "ts", "is_test", "label", *features)
+    write_features(narrow.where("not is_test"), f"{path}/train.parquet")
+    write_features(narrow.where("is_test"), f"{path}/test.parquet")
+    write_json(manifest(matrix, features), f"{path}/feature_manifest.json")
+    return matrix
+
+
+def from_csv(spark: SparkSession, train: str, test: str, cutoff: str, path: str, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Two raw CSV files to a checked stream, its matrix, two feature tables and a manifest."""
+    df = clean(union_stream(read_csv(spark, train, True), read_csv(spark, test, False)))
+    validate(df)
+    return build_and_write(df, cutoff, path, config)

@@ -7,13 +7,14 @@ halves (means of two or eight amounts) differently.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofeat.config import VELOCITY_WINDOWS, WINDOWS_S
 from chronofeat.operators import audit, folds, metrics, past
-from chronofeat.plans import amount, encoding, entity, graph, matrix, temporal, velocity
+from chronofeat.plans import amount, encoding, entity, graph, matrix, model, temporal, velocity
 from chronofeat.sources.fixtures import DUCK, DUCK_RAW, raw_stream, stream
 from chronofeat.sources.stream import add_implied_signup, clean, submission, union_stream, validation_report
 
@@ -235,6 +236,61 @@ add("recency_weights", "a", lambda df: df.where("not is_test").withColumn("w", m
 add("quantile_map", "a", lambda df: metrics.quantile_map(df.where("is_test").select("txn_id", "amount"), "amount", "txn_id", df.where("not is_test").select((F.col("account_age_days") / 500.0).alias("p")), "p", "m"), ["m"],
     f", rf AS (SELECT account_age_days / 500.0 AS p, row_number() OVER (ORDER BY account_age_days) - 1 AS i FROM s WHERE NOT is_test), q AS (SELECT txn_id, (row_number() OVER (ORDER BY amount, txn_id) - 1) / (count(*) OVER () - 1.0) AS q FROM s WHERE is_test), z AS (SELECT *, q * (SELECT count(*) - 1 FROM rf) AS pos FROM q) SELECT txn_id, {r('least(greatest(a.p + (b.p - a.p) * (pos - floor(pos)) + 1e-9 * q, 0), 1)', 'm')} FROM z JOIN rf a ON a.i = floor(pos) JOIN rf b ON b.i = least(floor(pos) + 1, (SELECT count(*) - 1 FROM rf))")
 
+# ---- model layer -------------------------------------------------------------------------------------------
+# three scores of labelled rows that need no fitted model, so that SQL can follow them
+MEMBERS = {"m1": "amount", "m2": "CAST(account_age_days AS DOUBLE)", "m3": "CAST(txn_id * 7919 % 1009 AS DOUBLE)"}
+WEIGHTS = {"m1": 0.5, "m2": 0.3, "m3": 0.2}
+members = lambda df: df.withColumns({n: F.expr(x) for n, x in MEMBERS.items()})
+AVERAGE = ", ".join(f"(rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0) AS r_{n}" for n, x in MEMBERS.items())
+BLENDED = " + ".join(f"r_{n} * {w}" for n, w in WEIGHTS.items())
+add("weighted_ranks", "b", lambda df: model.weighted_ranks(members(df.where("is_test")), WEIGHTS), ["score"],
+    f", k AS (SELECT txn_id, {AVERAGE} FROM s WHERE is_test), z AS (SELECT txn_id, {BLENDED} AS z FROM k) SELECT txn_id, {r('(z - min(z) OVER ()) / (max(z) OVER () - min(z) OVER ())', 'score', 9)} FROM z", digits=9)
+add("calibrate", "b", lambda df: model.calibrate(df.where("is_test").select("txn_id", F.col("amount").alias("score")), df.where("not is_test").select((F.col("txn_id") * 7919 % 1009 / 2000.0).alias("p")), "p"), ["calibrated"],
+    f", rf AS (SELECT txn_id * 7919 % 1009 / 2000.0 AS p, row_number() OVER (ORDER BY txn_id * 7919 % 1009) - 1 AS i FROM s WHERE NOT is_test), q AS (SELECT txn_id, (row_number() OVER (ORDER BY amount, txn_id) - 1) / (count(*) OVER () - 1.0) AS q FROM s WHERE is_test), z AS (SELECT *, q * (SELECT count(*) - 1 FROM rf) AS pos FROM q) SELECT txn_id, {r('least(greatest(a.p + (b.p - a.p) * (pos - floor(pos)) + 1e-9 * q, 0), 1)', 'calibrated')} FROM z JOIN rf a ON a.i = floor(pos) JOIN rf b ON b.i = least(floor(pos) + 1, (SELECT count(*) - 1 FROM rf))")
+add("describe_scores", "b", lambda df: metrics.describe(df.where("is_test"), "amount"), ["n", "mean", "std", "least", "largest", "p50", "p99"],
+    f"SELECT count(amount) AS n, {r('avg(amount)', 'mean', 3)}, {r('stddev_samp(amount)', 'std', 3)}, {r('min(amount)', 'least', 3)}, {r('max(amount)', 'largest', 3)}, {r('quantile_cont(amount, 0.5)', 'p50', 3)}, {r('quantile_cont(amount, 0.99)', 'p99', 3)} FROM s WHERE is_test", key="", digits=3)
+FOLD_AP = " UNION ALL ".join(f"SELECT '{f.name}' AS fold, {AP('amount', f'NOT is_test AND ts BETWEEN TIMESTAMP {f.val_start!r} AND TIMESTAMP {f.val_end!r}')} AS ap_val" for f in folds.FOLDS_A)
+
+
+def fold_scores(df: DataFrame) -> DataFrame:
+    """(fold, ap_val) of the amount as a score, on each fold's validation rows."""
+    one = lambda f: metrics.average_precision(df.where(f.validation()), "amount").select(F.lit(f.name).alias("fold"), F.col("ap").alias("ap_val"))
+    return reduce(DataFrame.union, map(one, folds.FOLDS_A))
+
+
+add("fold_summary", "a", lambda df: model.fold_summary(fold_scores(df)), ["folds", "mean_ap", "std_ap", "least_ap", "best_fold"],
+    f", f AS ({FOLD_AP}) SELECT count(*) AS folds, {r('avg(ap_val)', 'mean_ap', 9)}, {r('stddev_samp(ap_val)', 'std_ap', 9)}, {r('min(ap_val)', 'least_ap', 9)}, arg_max(fold, ap_val) AS best_fold FROM f", key="", digits=9)
+GAINED = {"amount": "amount", "account_age_days": "account_age_days", "hour": "extract(hour FROM ts)", "dayofweek": "extract(day FROM ts)"}
+GAINS = " UNION ALL ".join(f"SELECT '{f.name}' AS fold, '{n}' AS feature, sum(CAST({x} AS DOUBLE)) AS gain FROM s WHERE NOT is_test AND ts <= TIMESTAMP '{f.train_end}'" for f in folds.FOLDS_A for n, x in GAINED.items())
+GAIN_MEANS = f", g AS ({GAINS}), m AS (SELECT feature, avg(gain / total) AS mean_gain FROM (SELECT *, sum(gain) OVER (PARTITION BY fold) AS total FROM g) x GROUP BY feature)"
+
+
+def fold_gains(df: DataFrame) -> DataFrame:
+    """(fold, feature, gain): sums over each fold's training rows stand for the gains of a fitted model."""
+    names = ", ".join(f"'{n}', CAST({x} AS DOUBLE)" for n, x in GAINED.items())
+    one = lambda f: df.where(f.train()).selectExpr(f"'{f.name}' AS fold", f"stack({len(GAINED)}, {names}) AS (feature, v)")
+    return reduce(DataFrame.union, map(one, folds.FOLDS_A)).groupBy("fold", "feature").agg(F.sum("v").alias("gain"))
+
+
+add("top_gains", "a", lambda df: model.top_features(model.mean_gains(fold_gains(df)), 3), ["feature", "mean_gain", "place"], f"{GAIN_MEANS} SELECT feature, {r('mean_gain', 'mean_gain', 9)}, row_number() OVER (ORDER BY mean_gain DESC) AS place FROM m QUALIFY place <= 3", key="", digits=9)
+add("gain_by_block", "a", lambda df: model.gain_by_block(model.mean_gains(fold_gains(df)), {"amount": ["amount"], "temporal": temporal.NAMES}), ["block", "gain", "features"],
+    f"{GAIN_MEANS} SELECT CASE WHEN feature = 'amount' THEN 'amount' ELSE 'temporal' END AS block, {r('sum(mean_gain)', 'gain', 9)}, count(*) AS features FROM m GROUP BY 1", key="", digits=9)
+SMALL = {"base": (2, 4, 0.1, None), "hl45": (2, 4, 0.1, 45.0)}
+INPUTS = ["amount", "account_age_days", "gap"]
+
+
+def fitted_scores(df: DataFrame) -> DataFrame:
+    """Search on the primary fold, blend of what it found, and final scores of unlabelled rows, with small trees."""
+    df = past_gaps(df).persist()
+    valid, results = model.search(df, INPUTS, folds.FOLDS_A[0], SMALL)
+    spec = model.blend(valid, list(SMALL))
+    return model.final(df, INPUTS, spec["weights"], {x["name"]: x["rounds"] for x in results}, CUTOFF["a"], (42,), SMALL)
+
+
+past_gaps = lambda df: df.withColumn("gap", past.prev_gap(("cust",)))
+add("model_scores", "a", fitted_scores, ["score"])
+QUERIES["walk_forward"] = lambda s, d: rounded(s.createDataFrame(model.walk_forward(past_gaps(stream(s, d)), lambda df, end: df, INPUTS, folds.FOLDS_A[:2], SMALL["base"])[0]), ["fold", "ap_train", "ap_val", "base_rate", "lift"])
+
 # ---- audit -------------------------------------------------------------------------------------------------
 AUDITED = ["amount", "account_age_days", "gap"]
 gapped = lambda df: df.withColumn("gap", past.prev_gap(("cust",)))
@@ -247,8 +303,10 @@ add("audit_first_row_null", "a", lambda df: audit.first_row_null(gapped(df), "cu
     f"{LONG} SELECT feature, count(v) AS n_filled FROM (SELECT *, row_number() OVER (PARTITION BY cust, feature ORDER BY ts, txn_id) AS rn FROM u) WHERE rn = 1 GROUP BY feature", key="")
 add("audit_near_perfect", "b", lambda df: audit.near_perfect(df, ["amount", "account_age_days"]), ["feature", "best_ap", "failed"],
     " UNION ALL ".join(f"SELECT feature, {r('greatest(x, y)', 'best_ap', 9)}, greatest(x, y) > 0.85 AS failed FROM (SELECT '{n}' AS feature, {AP(f'CAST({n} AS DOUBLE)')} AS x, {AP(f'-CAST({n} AS DOUBLE)')} AS y)" for n in ("amount", "account_age_days")), key="", digits=9)
-add("audit_truncation", "a", lambda df: audit.truncation_mismatches(lambda x: amount.ratios(velocity.by_entity(x, "cust")), df, "2024-01-15 00:00:00", ["cust_prior_n", "cust_dt", "cust_n_24h", "amt_ratio_mean", "amt_z"]), ["feature", "n_mismatched"],
-    " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST(0 AS BIGINT) AS n_mismatched" for f in ("cust_prior_n", "cust_dt", "cust_n_24h", "amt_ratio_mean", "amt_z")), key="")
+# every feature that may read the past only; the audit must find no row of any that later rows change
+TRUNCATED = [f for f in matrix.FEATURES if f not in {*graph.SPECTRAL, *graph.GNN, "g_comp_size_frac"}]
+add("audit_truncation", "a", lambda df: audit.truncation_mismatches(lambda x: matrix.build_matrix(x, "2024-01-15 00:00:00", use_embeddings=False), df, "2024-01-15 00:00:00", TRUNCATED), ["feature", "n_mismatched"],
+    " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST(0 AS BIGINT) AS n_mismatched" for f in TRUNCATED), key="")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

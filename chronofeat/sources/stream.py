@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +103,21 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def cached(df: DataFrame, build, path: str, version: str = "1") -> DataFrame:
+    """build(df), kept as Parquet below path under a name made of df's schema, its rows and a version of the features.
+
+    Rows are known by their number and by the sum of a hash of each, so changed rows give another name.
+    """
+    n, rows = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    name = hashlib.sha256(json.dumps([df.schema.json(), n, str(rows), version]).encode()).hexdigest()[:16]
+    spark, target = df.sparkSession, f"{path.rstrip('/')}/features-{name}"
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException:  # not built yet
+        build(df).write.parquet(target)
+        return spark.read.parquet(target)
+
+
 def write_json(value: object, path: str) -> None:
     Path(path).write_text(json.dumps(value, indent=1, default=str))
 
