@@ -33,7 +33,7 @@ from chronofeat.llm._common import chunks, give_back, grouped_sum, mix, store, w
 
 K, LARGE = 5, 0.1
 #: Tokens read before they are dealt out, tokens in a partition of pairs, and tokens of it that are counted in one step, about.
-FLUSH, PART, STEP = 1_000_000, 6_000_000, 1_500_000
+FLUSH, PART, STEP = 500_000, 4_000_000, 500_000
 #: A word with more than this part of all tokens is dealt by both words.
 HOT = 0.001
 
@@ -116,20 +116,22 @@ def _deal(parts: int, shared):
 
     def cut(w: np.ndarray, n: np.ndarray, uid: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
         hot, total = shared.value
-        prev = np.r_[START, w[:-1]]
-        prev[np.r_[0, np.cumsum(n)[:-1]]] = START
         words, code = np.unique(np.r_[w, START], return_inverse=True)
+        code = code.astype(np.int32)
         size = len(words)
         first = np.r_[code[-1], code[: len(w) - 1]]
         first[np.r_[0, np.cumsum(n)[:-1]]] = code[-1]
-        doc = np.repeat(np.arange(len(n), dtype=np.int64), n)
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         pair = code[: len(w)].astype(np.int64) * size + first
+        del w, code, first
         order = np.argsort(pair, kind="stable")
         pair, doc = pair[order], doc[order]
+        del order
         new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])
         times = np.diff(np.r_[new, len(pair)])
         pair, doc = pair[new], doc[new]
-        second, first = pair // size, pair % size
+        second, first = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
+        del pair, new
         part = _parts_of(words[first], words[second], parts, hot, total)
         order = np.argsort(part, kind="stable")
         at = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
@@ -145,7 +147,7 @@ def _deal(parts: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, 2_000_000):
             w, n = tokens_of(batch.column(2))
             held.append((w, n, batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.uint8)))
             size += len(w)
@@ -195,15 +197,10 @@ def _count(parts: int, shared):
         hot, total, star, unknown = shared.value
         hottest = np.array(list(hot), _U)
         read = lambda x, top: from_planes(x, "<u2" if top <= 65_536 else "<u4")
-        blobs, uids, train, docs, tokens = [], [], [], 0, 0
-        for u, tr, ones, twos, runs, o, d, m in zip(*(t[c].to_pylist() for c in ("uids", "train", "ones", "twos", "runs", "o", "d", "times"))):
-            uid, ones, runs = from_planes(u, np.int64), from_planes(ones, _U), from_planes(runs, "<u4")
-            n = int(runs.sum())
-            blobs.append((ones, from_planes(twos, _U), runs, read(o, len(ones)), read(d, len(uid)), from_planes(m, "<u2" if len(m) == 2 * n else "<u4"), docs))
-            uids.append(uid)
-            train.append(np.frombuffer(tr, np.uint8))
-            docs, tokens = docs + len(uid), tokens + n
-        del t
+        uids = [from_planes(x.as_py(), np.int64) for x in t["uids"]]
+        train = [np.frombuffer(x.as_py(), np.uint8) for x in t["train"]]
+        bases = np.cumsum([0, *map(len, uids)])
+        docs, tokens = int(bases[-1]), sum(int(from_planes(x.as_py(), "<u4").sum()) for x in t["runs"])
         uids, train = np.concatenate(uids), np.concatenate(train)
         rows = np.zeros(docs, _DOC)
         rows["uid"] = uids
@@ -211,7 +208,11 @@ def _count(parts: int, shared):
         steps = max(1, -(-tokens // STEP))
         for step in range(steps):
             w1, w2, doc, times = [], [], [], []
-            for ones, twos, runs, o, d, m, base in blobs:
+            # blobs are read again in each step, and none is kept
+            for *row, base, n_docs in zip(*(t[c] for c in ("ones", "twos", "runs", "o", "d", "times")), bases, np.diff(bases)):
+                ones, twos, runs, o, d, m = (x.as_py() for x in row)
+                ones, twos, runs = from_planes(ones, _U), from_planes(twos, _U), from_planes(runs, "<u4")
+                o, d, m = read(o, len(ones)), read(d, n_docs), from_planes(m, "<u2" if len(m) == 2 * int(runs.sum()) else "<u4")
                 mine = mix(twos + _U(3)) % _U(steps) == _U(step)
                 at = np.repeat(mine, runs)
                 w1.append(ones[o[at]])
