@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofeat.config import EMBED_DIM, GRAPH_LEAST_ROWS
@@ -68,6 +68,20 @@ def _degree(edges: DataFrame, key: str, name: str) -> DataFrame:
     return edges.groupBy("snap", key).agg(F.count(F.lit(1)).alias(name))
 
 
+def lifetime_degree(df: DataFrame, base: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """(snap, key, name): the other side's nodes that a node met before a snapshot, for those that rows of df read.
+
+    A pair counts from the first Sunday after it, and counts are added up from week to week: no pair is repeated
+    for every week after its first.
+    """
+    first = base.groupBy(key, other).agg(F.min("ts_epoch").alias("t"))
+    gained = first.select(key, (week_start(F.col("t")) + WEEK_S).alias("snap"), F.lit(1).alias("__new"), F.lit(False).alias("__read"))
+    read = df.where("snap is not null").select(key, "snap", F.lit(0).alias("__new"), F.lit(True).alias("__read"))
+    weeks = gained.union(read).groupBy(key, "snap").agg(F.sum("__new").alias("__new"), F.max("__read").alias("__read"))
+    so_far = Window.partitionBy(key).orderBy("snap").rowsBetween(Window.unboundedPreceding, 0)
+    return weeks.withColumn(name, F.sum("__new").over(so_far)).where("__read").select("snap", key, name)
+
+
 def _attach(df: DataFrame, table: DataFrame, keys: list[str], names: dict[str, float]) -> DataFrame:
     """Left join on (snap, keys); nodes that the graph lacks get the given values, rows without a snapshot null."""
     df = df.join(table, ["snap", *keys], "left")
@@ -76,10 +90,8 @@ def _attach(df: DataFrame, table: DataFrame, keys: list[str], names: dict[str, f
 
 def degrees(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     base = df if base is None else base
-    cd, cm = lifetime_edges(base, "cust", "dev"), lifetime_edges(base, "cust", "merch")
-    df = _attach(df, _degree(cd, "cust", "g_cust_degree_dev"), ["cust"], {"g_cust_degree_dev": 0})
-    df = _attach(df, _degree(cd, "dev", "g_dev_degree_cust"), ["dev"], {"g_dev_degree_cust": 0})
-    df = _attach(df, _degree(cm, "cust", "g_cust_degree_merch"), ["cust"], {"g_cust_degree_merch": 0})
+    for key, other, name in (("cust", "dev", "g_cust_degree_dev"), ("dev", "cust", "g_dev_degree_cust"), ("cust", "merch", "g_cust_degree_merch")):
+        df = _attach(df, lifetime_degree(base, base, key, other, name), [key], {name: 0})
     return df.withColumn("g_dev_share_of_cust", F.col("g_dev_degree_cust") / F.greatest("g_cust_degree_dev", F.lit(1.0)))
 
 
@@ -130,8 +142,7 @@ def recent(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     df = _attach(df, _degree(r, "cust", "gr_cust_degree_dev"), ["cust"], {"gr_cust_degree_dev": 0})
     df = _attach(df, _degree(r, "dev", "gr_dev_degree_cust"), ["dev"], {"gr_dev_degree_cust": 0})
     df = _attach(df, _two_hop(r, "cust", "dev", "gr_cust_2hop"), ["cust"], {"gr_cust_2hop": 0})
-    life = _degree(lifetime_edges(base, "cust", "dev"), "dev", "__life")
-    df = _attach(df, life, ["dev"], {"__life": 0})
+    df = _attach(df, lifetime_degree(base, base, "dev", "cust", "__life"), ["dev"], {"__life": 0})
     return df.withColumn("gr_dev_degree_ratio", F.col("gr_dev_degree_cust") / F.greatest("__life", F.lit(1.0))).drop("__life")
 
 
