@@ -4,16 +4,17 @@ Text becomes tokens (runs of letters and digits). A token with a digit becomes `
 `%`, a capitalised word `@`, any other its lower case. Windows of WINDOW template tokens with at least LITERAL
 that are no placeholders are hash-joined between documents and benchmark items. Matches of one item on one
 diagonal (place in the document minus place in the item) are counted; where they cover COVER of the item's
-windows, the slots are checked: on that diagonal, each value of a slot must stand for one value in the
-document throughout. What passes is a leak; it is re-parameterised if a value differs. With partial, only slots
-inside the windows that match are checked and counted, so that what follows a passage's end or an inserted word does
-not count against it. LEAKS_SQL and the query check all slots of the item. With joined, a number with separators and
-a run of capitalised words are one token each, so that a value with another count of pieces shifts nothing.
+windows, the slots inside the windows that match are checked: on that diagonal, each value of a slot must stand for one
+value in the document throughout. What passes is a leak; it is re-parameterised if a value differs. What follows a
+passage's end or an inserted word does not count against it. With joined, a number with separators and
+a run of capitalised words are one token each, so that a value with another count of pieces shifts nothing; the query
+and LEAKS_SQL take the pieces apart, the pipeline searches both ways.
 
 Results for unusual input: null or empty texts, and items or texts under WINDOW tokens: no leak; items
-without a window of LITERAL plain tokens can't be searched; repeated rows of documents or items: reported once
-for each doc_id and item_id; null doc_id: reported with its null; empty tables give an empty result; other
-columns of the inputs are ignored.
+without a window of LITERAL plain tokens can't be searched; very long texts: whole; repeated rows of documents or items,
+and different texts of one id: reported once for each doc_id and item_id, with the largest counts; several diagonals of
+an item that cover enough: the same; null doc_id: reported with its null; null item_id: not searched; empty tables give an
+empty result; other columns of the inputs, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def window_keys(tokens: Column) -> Column:
     return bound(F.transform(tokens, lambda x: F.xxhash64(x)), keys)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, partial: bool = False, joined: bool = False, carry: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, joined: bool = False, carry: bool = False) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, n_slots, reparameterised of every leak.
 
     carry: by row rather than by doc_id, with uid, a hash of the row's doc_id and text.
@@ -78,22 +79,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, part
     tokens = rows.select("uid", "doc_id", F.split(template(words(F.col("text"), joined)), " ").alias("tokens"))
     every = tokens.select("uid", "doc_id", F.posexplode(window_keys(F.col("tokens"))).alias("p", "w"))
     diagonals = every.join(fit_for_broadcast(windows), "w").groupBy("uid", "doc_id", "item_id", "i_uid", (F.col("p") - F.col("q")).alias("delta"))
-    if partial:
-        hits = diagonals.agg(F.collect_set("q").alias("matched")).withColumn("n_windows", F.size("matched").cast("long"))
-    else:
-        hits = diagonals.agg(F.countDistinct("q").alias("n_windows"))
+    # at most an item's windows in a set
+    hits = diagonals.agg(F.collect_set("q").alias("matched")).withColumn("n_windows", F.size("matched").cast("long"))
     near = store(hits.join(sizes, "i_uid").where(F.col("n_windows") >= F.lit(cover) * F.col("item_windows")), "near")
 
     # the slots of these few, from both texts: the corpus is not shuffled for them
     texts_ = rows.join(fit_for_broadcast(near.select("uid").distinct()), "uid", "left_semi").select("uid", words(F.col("text"), joined).alias("words")).distinct()
     found = items.join(near.select("i_uid").distinct(), "i_uid", "left_semi").select("i_uid", "i_words", "i_tokens")
     both = texts_.join(near, "uid").join(found, "i_uid")
-    texts = F.struct(F.split("words", " ").alias("d"), F.split("i_words", " ").alias("v"), F.col("i_tokens").alias("t"), F.col("delta").alias("delta"), *([F.col("matched").alias("matched")] if partial else []))
+    texts = F.struct(F.split("words", " ").alias("d"), F.split("i_words", " ").alias("v"), F.col("i_tokens").alias("t"), F.col("delta").alias("delta"), F.col("matched").alias("matched"))
 
     def of_slots(x: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(x.v) - 1)
-        if partial:
-            places = F.array_distinct(F.flatten(F.transform(x.matched, lambda q: F.sequence(q, q + (WINDOW - 1)))))
+        places = F.array_distinct(F.flatten(F.transform(x.matched, lambda q: F.sequence(q, q + (WINDOW - 1)))))
         inside = F.filter(places, lambda i: F.get(x.t, i).isin("#", "@", "%") & (i + x.delta >= 0) & (i + x.delta < F.size(x.d)))
         return F.transform(inside, lambda i: F.struct(F.get(x.v, i).alias("mine"), F.get(x.d, (i + x.delta).cast("int")).alias("theirs")))
 
@@ -126,12 +123,13 @@ d0 AS (SELECT DISTINCT doc_id, string_split(trim(regexp_replace(text, '[^\\p{{L}
 dt AS (SELECT doc_id, d, {_TEMPLATE_SQL.format(x='d', units=UNITS)} AS t FROM d0),
 dp AS (SELECT doc_id, d, t, unnest(generate_series(1, len(t) - {WINDOW - 1})) AS p FROM dt WHERE len(t) >= {WINDOW}),
 dwin AS (SELECT doc_id, d, p, array_to_string(t[p:p + {WINDOW - 1}], ' ') AS w FROM dp),
-hit AS (SELECT dwin.doc_id, dwin.d, iwin.item_id, iwin.v, p - q AS delta, count(DISTINCT q) AS n_windows
+hit0 AS (SELECT dwin.doc_id, dwin.d, iwin.item_id, iwin.v, p - q AS delta, list(DISTINCT q) AS qs
   FROM dwin JOIN iwin ON dwin.w = iwin.w GROUP BY ALL),
+hit AS (SELECT *, len(qs) AS n_windows FROM hit0),
 near AS (SELECT hit.*, item_windows FROM hit JOIN isz ON hit.item_id = isz.item_id AND hit.v = isz.v WHERE n_windows >= {COVER} * item_windows),
 pl AS (SELECT near.*, it.t FROM near JOIN it ON near.item_id = it.item_id AND near.v = it.v),
 sl AS (SELECT doc_id, item_id, n_windows, item_windows,
-  list_filter(list_transform(generate_series(1, len(v)), lambda i: CASE WHEN t[i] IN ('#', '@', '%') AND i + delta >= 1 AND i + delta <= len(d) THEN {{'mine': v[i], 'theirs': d[i + delta]}} END), lambda s: s IS NOT NULL) AS slots FROM pl),
+  list_filter(list_transform(generate_series(1, len(v)), lambda i: CASE WHEN t[i] IN ('#', '@', '%') AND i + delta >= 1 AND i + delta <= len(d) AND len(list_filter(qs, lambda q: q <= i AND i < q + {WINDOW})) > 0 THEN {{'mine': v[i], 'theirs': d[i + delta]}} END), lambda s: s IS NOT NULL) AS slots FROM pl),
 ok AS (SELECT * FROM sl WHERE len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda s: s.mine))))
 SELECT doc_id, item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(max(item_windows) AS BIGINT) AS item_windows,
   CAST(max(len(slots)) AS BIGINT) AS n_slots, min(len(list_filter(slots, lambda s: s.mine <> s.theirs)) > 0) AS reparameterised

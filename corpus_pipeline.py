@@ -82,7 +82,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # by single pieces and by whole values: a name that stands right after another word's capital is joined to it
-    single, whole = (find_leaks(docs, benchmark, partial=True, joined=j, carry=True).select("uid") for j in (False, True))
+    single, whole = (find_leaks(docs, benchmark, joined=j, carry=True).select("uid") for j in (False, True))
     return _without(docs, single.union(whole))
 
 

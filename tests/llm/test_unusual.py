@@ -107,3 +107,15 @@ def test_pipeline_keeps_the_first_of_repeated_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     out = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
     assert out[3] == a and out[7].split() == b.split() and out[8].split() == prose(10, 20).split()
+
+
+def test_leaks_of_repeated_long_and_partial_texts(spark):
+    from chronofeat.llm.decontamination import find_leaks
+
+    item = "The old farmer walked 3 miles along the muddy river bank every morning and The children followed him for 3 hours until the sun was high"
+    part = " ".join(item.split()[:19])  # its later 3 and The have no place in the text
+    rows = [(1, item), (1, item), (1, prose(1, 50)), (2, f"{prose(2, 40_000)} {item} {prose(3, 40_000)}"), (3, f"so {part} and nothing of any use here"), (None, item), (5, item.replace("walked 3", "walked 4")), (6, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, item_id string, n_windows long")
+    bench = spark.createDataFrame([(7, item, "x"), (7, item, "y"), (None, item, "z"), (8, "", "z")], "item_id long, text string, words string")
+    out = find_leaks(docs, bench).collect()
+    assert sorted((r.doc_id or -1, r.item_id, r.reparameterised) for r in out) == [(-1, 7, False), (1, 7, False), (2, 7, False), (3, 7, False)]
