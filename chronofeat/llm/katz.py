@@ -15,9 +15,13 @@ they lie. Pairs are dealt by their second word, so that its count is there, too;
 thousandth of all tokens is dealt by both words, and its count is known to all tasks (a thousand words at
 most). Contexts and documents are then put together from each partition's sums.
 
-Results for unusual input: null or empty text: the end token alone; repeated rows: each is returned (and
-learnt from); null doc_id: scored, never learnt from, held_out null; no training row: score and base_score 0;
-an empty table gives an empty result; other columns of the input are ignored.
+The order is fixed at two: an order of three was not built, as its distinct triples alone would take the disk that
+the query may use (see the README).
+
+Results for unusual input: null or empty text: the end token alone; very long texts: whole; repeated rows: each is
+returned (and learnt from); rows of one doc_id with different texts: each is scored; null doc_id: scored, never learnt from, held_out null;
+no training row: score and base_score 0; an empty table gives an empty result; other columns of the input, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

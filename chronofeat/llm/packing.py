@@ -8,7 +8,8 @@ seed. Windows follow each other without gaps; what is left at the end of a parti
 powers of two, so no position is padded.
 
 Results for unusual input: null or empty text: the end token alone; very long texts: as many windows as they
-need; repeated rows: packed like others; null doc_id: packed; an empty table gives an empty result.
+need; repeated rows: packed like others; null doc_id: packed; equal scores: the document first in the shard; an empty
+table gives an empty result; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,11 @@ first start to the end of its last string are its span. Spans are grouped by anc
   for each suffix the nearest ones before and after it in suffix order that start earlier in the text
   (previous and next smaller position); the longer common prefix is the factor, and its place an earlier
   match. A factor of WIDTH bytes marks the start as a later copy and its match as an earlier one.
-* An anchor with more than HOT classes is not laid out: its strings are counted by hash, over all tasks.
+* An anchor with more than HOT classes is not laid out, as one task would hold them all: its strings are counted by
+  anchor and 64-bit hash, over all tasks. This is exact, too, but no longest-previous-factor array.
+
+Spans and strings are told apart by two 64-bit hashes, of the anchor and of the content: among the k different ones
+that share an anchor the chance of a mistake is k * k / 2**65.
 
 Either every repeated byte goes, or (keep_first) the earliest place, by (doc_id, offset), is kept.
 
@@ -19,8 +23,10 @@ The same is done with words (between white space) in place of bytes where a numb
 symbols are then the words' 64-bit hashes, and the symbols' intervals are turned into bytes at the end.
 
 Results for unusual input: null or empty text: nothing to remove; texts under WIDTH bytes: kept whole; a text
-that repeats itself: as for two texts; repeated rows: copies of each other; null doc_id: comes before
-all others; an empty table gives an empty result; other columns of the input are ignored.
+that repeats itself: as for two texts; very long texts: whole, read in overlapping pieces; repeated rows: copies of each
+other; rows of one doc_id with different texts: as other rows; null doc_id: comes before
+all others; ties: (doc_id, a hash of the row, offset) decides which copy is first; an empty table gives an empty
+result; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -282,8 +288,8 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, keep_first: bool = False
         marks = laid.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(_factors(width, words), "h long, dig long, later binary, either binary")
         if any_hot:
             windows = parts.where("w is not null")
-            least = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "uid", "i0")).alias("first")).where("n > 1")
-            hit = windows.join(least, "w").select("h", "dig", (F.col("i0") - F.col("base")).cast("int").alias("at"), (F.struct("doc_id", "uid", "i0") > F.col("first")).alias("is_later"))
+            least = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "uid", "i0")).alias("first")).where("n > 1")
+            hit = windows.join(least, ["h", "w"]).select("h", "dig", (F.col("i0") - F.col("base")).cast("int").alias("at"), (F.struct("doc_id", "uid", "i0") > F.col("first")).alias("is_later"))
 
             def as_intervals(t: pa.Table) -> pa.Table:
                 at, late = t["at"].to_numpy(), t["is_later"].to_numpy(zero_copy_only=False).astype(bool)
@@ -302,7 +308,9 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH, keep_first: bool = False
         hit = hit.withColumn("runs", F.when(first, F.coalesce("later", F.lit(b"")))).where("runs is null or length(runs) > 0")
     else:
         hit = hit.withColumn("runs", F.when(F.col("c") == 1, F.col("either")))
-    return store(hit.groupBy("uid").agg(F.collect_list(F.struct("i0", "i1", "runs")).alias("spans")), "spans")
+    spans = store(hit.groupBy("uid").agg(F.collect_list(F.struct("i0", "i1", "runs")).alias("spans")), "spans")
+    release(found, shared, classes, several, tested, verdict)
+    return spans
 
 
 def _marked(spans: list[dict] | None, width: int) -> list[tuple[int, int]]:

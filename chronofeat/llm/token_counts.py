@@ -6,8 +6,8 @@ their counts are appended. Contents that differ only in runs of blanks, tabs and
 for tokenizers that read such a run as one blank.
 
 Results for unusual input: null text: as an empty one, 0 tokens; repeated rows and copies: each row is
-returned, encoded once; null doc_id: returned as it is; an empty table gives an empty result; other columns
-of the input are ignored.
+returned, their content encoded once; very long texts: whole; null doc_id: returned as it is; an empty table gives an
+empty result; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
