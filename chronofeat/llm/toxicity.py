@@ -20,16 +20,15 @@ columns of docs and labels, whatever their names, are ignored (with carry they c
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from math import log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, documents, out_schema, release, store, with_row
+from chronofeat.llm._common import chunks, documents, hashes_at, mix, out_schema, release, store, utf8, with_row, words_in
 
 #: Texts of the sample that a feature must occur in; and features kept at most.
 LEAST_TEXTS, MAX_FEATURES = 6, 4000
@@ -37,39 +36,39 @@ EPOCHS, STEP, RIDGE = 250, 0.03, 5e-4
 BEGINNINGS = (4, 5, 6)
 
 _BITS = 22
-_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_memory: dict[bytes, tuple[int, ...]] = {}
-
-
-def _features_of(word: bytes) -> tuple[int, ...]:
-    mask = (1 << _BITS) - 1
-    text = word.decode("utf-8", "replace")
-    parts = {b"w" + word} | {f"{k}{text[:k]}".encode() for k in BEGINNINGS if len(text) >= k}
-    return tuple(zlib.crc32(x) & mask for x in parts)
-
-
-def words_of(text: str | None) -> set[bytes]:
-    return set((text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split())
-
-
-def features(text: str | None) -> np.ndarray:
-    """Ascending feature numbers of a whole text, as often as they occur in it."""
-    known = _memory
-    if len(known) > 300_000:
-        known.clear()
-    out: list[int] = []
-    for w in words_of(text):
-        f = known.get(w)
-        if f is None:
-            f = known[w] = _features_of(w)
-        out += f
-    return np.sort(np.array(out, np.uint32))
+#: Letters a-z and all bytes of other characters; the rest ends a word.
+_LETTER = np.array([97 <= c <= 122 or c >= 128 for c in range(256)])
+_LETTERS = np.where(_LETTER, np.arange(256), 32).astype(np.uint8)
+
+
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of all texts, ascending by both, a pair as often as the text has distinct words with that feature."""
+    raw, ends = utf8(pc.utf8_lower(pc.fill_null(texts, "")))
+    raw = _LETTERS[raw]
+    starts, lengths, n = words_in(raw, ends)
+    text, words = np.repeat(np.arange(len(n)), n), hashes_at(raw, starts, lengths)
+    order = np.lexsort((words, text))
+    text, words, starts, lengths = text[order], words[order], starts[order], lengths[order]
+    new = np.r_[True, (text[1:] != text[:-1]) | (words[1:] != words[:-1])] if len(text) else np.zeros(0, bool)
+    text, words, starts, lengths = text[new], words[new], starts[new], lengths[new]
+    rows, found = [text], [mix(words + np.uint64(1)) >> np.uint64(64 - _BITS)]
+    characters = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]  # where they start
+    first = np.searchsorted(characters, starts)
+    for k in BEGINNINGS:
+        stop = characters[np.minimum(first + k, len(characters) - 1)] - starts
+        long = np.flatnonzero((first + k < len(characters)) & (stop <= lengths))
+        rows.append(text[long])
+        found.append(mix(hashes_at(raw, starts[long], stop[long]) + np.uint64(k)) >> np.uint64(64 - _BITS))
+    pairs = np.sort((np.concatenate(rows) << _BITS) | np.concatenate(found).astype(np.int64))
+    return pairs >> _BITS, pairs & ((1 << _BITS) - 1)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        x = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["positive", "x"])
+    for batch in chunks(batches, 2_000_000):
+        text, found = features(batch.column(1))
+        cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        found = found.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["positive", "x"])
 
 
 def _counts(x: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,25 +190,20 @@ def score_with(docs: DataFrame, model: dict, folds: int = 5, held_out: int = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        by = dict(zip(m["index"].tolist(), m["weight"].tolist()))
-        words: dict[bytes, tuple[int, ...]] = {}
-        for batch in chunks(batches):
-            ids, scores = batch.column(0).to_pylist(), []
-            for t in batch.column(1).to_pylist():
-                if len(words) > 300_000:
-                    words.clear()
-                hits: list[int] = []
-                for w in words_of(t):
-                    f = words.get(w)
-                    if f is None:
-                        f = words[w] = tuple(x for x in _features_of(w) if x in by)
-                    if f:
-                        hits += f
-                z = m["bias"] + sum(by[x] * log1p(c) for x, c in sorted(Counter(hits).items()))
-                scores.append(float(1 / (1 + np.exp(-min(30.0, max(-30.0, z))))))
+        index, weight = m["index"].astype(np.int64), m["weight"].astype(np.float64)
+        for batch in chunks(batches, 2_000_000):
+            ids, rows = batch.column(0).to_pylist(), batch.num_rows
+            z = np.full(rows, m["bias"])
+            if len(index):
+                text, found = features(batch.column(1))
+                at = np.minimum(np.searchsorted(index, found), len(index) - 1)
+                ok = index[at] == found
+                pair, count = np.unique(text[ok] * len(index) + at[ok], return_counts=True)
+                z += np.bincount(pair // len(index), weight[pair % len(index)] * np.log1p(count), rows)
+            scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             held = [None if i is None else zlib.crc32(str(i).encode()) % folds == held_out for i in ids]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), *([batch.column(2)] if carry else [])],
+                [batch.column(0), pa.array(held, pa.bool_()), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), *([batch.column(2)] if carry else [])],
                 ["doc_id", "held_out", "score", "predicted", *(["row"] if carry else [])],
             )
 

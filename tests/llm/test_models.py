@@ -1,6 +1,7 @@
 """The trained operators against their definitions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronofeat.llm import language_id, toxicity
@@ -40,15 +41,28 @@ def test_risk_and_step_follow_the_definition(seed):
     assert abs(by_bias - (pushed(w, bias + e) - pushed(w, bias - e)) / (2 * e)) < 1e-6
 
 
+def test_features_are_distinct_words_and_their_beginnings():
+    texts = ["Straße straße STRASSE no", None, "", "élan élans ÉLANE", "abcdefgh abcdefxy abc", "123 !?"]
+    text, found = features(pa.array(texts))
+    for i, t in enumerate(texts):
+        words = set("".join(c if c.isalpha() else " " for c in (t or "").lower()).split())
+        names = [("w", w) for w in words] + [(k, w[:k]) for w in words for k in (4, 5, 6) if len(w) >= k]
+        counts = sorted({n: names.count(n) for n in names}.values())
+        assert sorted(np.unique(found[text == i], return_counts=True)[1].tolist()) == counts
+    same = features(pa.array(["élan"]))[1].tolist()
+    assert set(same) <= set(found[text == 3].tolist())
+
+
 def test_features_are_chosen_by_their_gap(spark):
     texts = [(True, "alpha beta gamma")] * 8 + [(False, "alpha delta")] * 20 + [(False, "rare words here")] * 2
-    rows = [(p, bytearray(features(t).tobytes())) for p, t in texts]
+    of = {t: features(pa.array([t]))[1].tolist() for _, t in texts}
+    rows = [(p, bytearray(np.array(of[t], np.uint32).tobytes())) for p, t in texts]
     sample = spark.createDataFrame(rows, "positive boolean, x binary").repartition(3)
     every = {}
     for p, t in texts:
-        for f in set(features(t).tolist()):
+        for f in set(of[t]):
             n = every.setdefault(f, [0, 0, 0])
-            c = np.log1p(features(t).tolist().count(f))
+            c = np.log1p(of[t].count(f))
             every[f] = [n[0] + 1, n[1] + c * p, n[2] + c * (not p)]
     gap = {f: (-round(abs(a / 8 - b / 22) / np.sqrt(a / 8 + b / 22 + 1e-9), 9), f) for f, (n, a, b) in every.items() if n >= toxicity.LEAST_TEXTS}
     for most in (3, 1000):
