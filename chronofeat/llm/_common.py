@@ -84,7 +84,7 @@ def give_back() -> None:
         _trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 4_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = 2_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches of about max_bytes of text at most (a longer text alone)."""
     for batch in batches:
         n = batch.num_rows

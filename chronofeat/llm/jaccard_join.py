@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, components, documents, fit_for_broadcast, grouped_sum, mix, release, store, word_hashes
+from chronofeat.llm._common import chunks, components, documents, fit_for_broadcast, give_back, grouped_sum, mix, release, store, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Part of the global order that is counted for every document.
@@ -156,6 +156,8 @@ def _own_shingles(t: pa.Table) -> pa.Table:
     df = np.repeat(np.diff(np.r_[at, len(s)]), np.diff(np.r_[at, len(s)]))
     single = np.bincount(owner[df == 1], minlength=len(sid))
     weight = np.bincount(owner, weights=np.minimum(df, 1_000_000), minlength=len(sid)).astype(np.int64)
+    del s, owner, order, fresh, df
+    give_back()
     return pa.table({"sid": sid, "n": ns[index].astype(np.int64), "single": single.astype(np.int64), "weight": weight})
 
 
@@ -274,6 +276,7 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
             place = np.arange(len(a)) - np.repeat(*((x := np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])), np.diff(np.r_[x, len(a)])))
             order = order[(place < PIVOTS) | (a == b)[order]]
             a, b, c = a[order], b[order], c[order]
+        give_back()
         return pa.table({"a": sid[a], "b": sid[b], "na": n[a], "nb": np.where(a == b, lists[a], n[b]), "overlap": c})
 
     return run

@@ -41,14 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, hashes_at, out_schema, release, store, with_row, words_in
+from chronofeat.llm._common import chunks, give_back, hashes_at, out_schema, release, store, with_row, words_in
 
 WIDTH, GRAM = 400, 128
 #: Words in an anchor gram where strings of words are looked for (less for short strings).
 WORD_GRAM = 16
 HOT = 4000
 #: Bytes of spans in one suffix array, about.
-BUCKET = 800_000
+BUCKET = 400_000
 #: A longer text is read in overlapping pieces of so many bytes.
 PIECE = 4_000_000
 
@@ -235,6 +235,7 @@ def _factors(width: int, words: bool = False):
                 starts = slice(f, f + n - width + 1)
                 out.append((r[0], r[4], _intervals(np.flatnonzero(later[starts])), _intervals(np.flatnonzero(either[starts]))))
             at = stop
+        give_back()
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["h", "dig", "later", "either"])
 
     return run
