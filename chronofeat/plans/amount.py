@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofeat.config import RANK_GRID, RANK_LEAST_ROWS, RANK_WINDOWS_D
-from chronofeat.functions.scalar import flag, safe_div, two_decimals
+from chronofeat.functions.scalar import flag, n0, safe_div, two_decimals
 from chronofeat.operators.past import expanding, prev_value, prior_count, rolling_mean
 
+#: Ranges of amounts for each factor of e.
+BINS = 200
 CONTEXTS = {"categ": "mcat", "type": "ttype", "payme": "pay"}
 RATIOS = ["cust_amt_prev_mean", "cust_amt_prev_std", "cust_amt_prev_max", "amt_ratio_mean", "amt_ratio_median", "amt_ratio_max", "amt_ratio_min", "amt_z", "log_amt_ratio_mean", "amt_ratio_last1", "amt_ratio_last5", "amt_ratio_last20"]
 CONTEXT = [n.format(c) for c in CONTEXTS for n in ("amt_ratio_mean_by_{}", "amt_z_by_{}", "cust_{}_prior_n")]
@@ -36,24 +38,59 @@ def contexts(df: DataFrame) -> DataFrame:
     return df
 
 
+def _grids(base: DataFrame, w: int) -> DataFrame:
+    """(__day, __grid): RANK_GRID quantiles of the amounts of w days before a day, for days with enough rows.
+
+    base: (__day, ts_epoch, amount, __bin), bins being ranges of amounts. Rows are counted by (day, bin), and these few counts
+    tell which bins of a window hold the quantiles' ranks; only values of such bins are lent to the days they serve.
+    """
+    days = base.groupBy("__day").agg(F.min("ts_epoch").alias("__first"))
+    # of the day that the window's start cuts, the rows after the start; of the others all
+    edge = base.select((F.col("__day") + w).alias("__for"), "__bin", "amount", "ts_epoch").join(days.select(F.col("__day").alias("__for"), "__first"), "__for")
+    edge = edge.where(F.col("ts_epoch") >= F.col("__first") - w * 86_400).groupBy("__for", "__bin", "amount").agg(F.count(F.lit(1)).alias("__n"))
+    values = base.groupBy("__day", "__bin", "amount").agg(F.count(F.lit(1)).alias("__n"))
+    cells = values.groupBy("__day", "__bin").agg(F.sum("__n").alias("__n"))
+    reach = cells.withColumn("__for", F.explode(F.sequence(F.col("__day") + 1, F.col("__day") + w - 1))).join(days.select(F.col("__day").alias("__for")), "__for")
+    reach = reach.select("__for", "__bin", "__n").union(edge.select("__for", "__bin", "__n")).groupBy("__for", "__bin").agg(F.sum("__n").alias("__n"))
+    of_day = Window.partitionBy("__for")
+    reach = reach.withColumns({"__before": n0(F.sum("__n").over(of_day.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))), "__rows": F.sum("__n").over(of_day)})
+
+    def place(i: Column) -> Column:
+        return (F.col("__rows") - 1) * (i / F.lit(float(RANK_GRID - 1)))
+
+    def holds(i: Column, start: Column, n: Column) -> Column:
+        inside = lambda x: (x >= start) & (x < start + n)
+        return inside(F.floor(place(i))) | inside(F.ceil(place(i)))
+
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(RANK_GRID - 1)), lambda i: holds(i, F.col("__before"), F.col("__n")))
+    wanted = reach.where(F.col("__rows") >= RANK_LEAST_ROWS).select("__for", "__bin", "__before", "__rows", wanted.alias("__i")).where(F.size("__i") > 0)
+    lent = wanted.select("__for", "__bin", F.explode(F.sequence(F.col("__for") - w + 1, F.col("__for") - 1)).alias("__day")).join(values, ["__day", "__bin"])
+    lent = lent.select("__for", "__bin", "amount", "__n").union(edge.join(wanted.select("__for", "__bin"), ["__for", "__bin"]).select("__for", "__bin", "amount", "__n"))
+    merged = lent.groupBy("__for", "__bin", "amount").agg(F.sum("__n").alias("__n"))
+    below = Window.partitionBy("__for", "__bin").orderBy("amount").rowsBetween(Window.unboundedPreceding, -1)
+    found = merged.withColumn("__below", n0(F.sum("__n").over(below))).join(wanted, ["__for", "__bin"])
+    start, i = F.col("__before") + F.col("__below"), F.col("__k")
+    found = found.select("*", F.explode("__i").alias("__k")).where(holds(i, start, F.col("__n")))
+    at, inside = place(i), lambda x: (x >= start) & (x < start + F.col("__n"))
+    found = found.select("__for", "__k", at.alias("__at"), F.when(inside(F.floor(at)), F.col("amount")).alias("__low"), F.when(inside(F.ceil(at)), F.col("amount")).alias("__high"))
+    points = found.groupBy("__for", "__k").agg(*(F.max(c).alias(c) for c in ("__at", "__low", "__high")))
+    low, high = F.floor("__at"), F.ceil("__at")
+    value = F.when((low == high) | (F.col("__low") == F.col("__high")), F.col("__low")).otherwise((high - F.col("__at")) * F.col("__low") + (F.col("__at") - low) * F.col("__high"))
+    grid = F.transform(F.sort_array(F.collect_list(F.struct("__k", value.alias("v")))), lambda x: x.v)  # RANK_GRID values
+    return points.groupBy(F.col("__for").alias("__day")).agg(grid.alias("__grid"))
+
+
 def trailing_ranks(df: DataFrame, windows_d: tuple[int, ...] = RANK_WINDOWS_D, base: DataFrame | None = None) -> DataFrame:
     """Place of the amount in the quantiles of the days before, once a day.
 
-    A day's window reaches so many days back from its first row and ends with the day before. Amounts of whole
-    days are counted before they are lent to the days they serve; only the day that the window's start cuts
-    is lent row by row.
+    A day's window reaches so many days back from its first row and ends with the day before.
     """
     day = F.floor(F.col("ts_epoch") / 86_400).cast("long")
-    base, df = (df if base is None else base).withColumn("__day", day), df.withColumn("__day", day)
-    days = base.groupBy("__day").agg(F.min("ts_epoch").alias("__first"))
-    grid = F.percentile("amount", [i / (RANK_GRID - 1) for i in range(RANK_GRID)], F.col("__n"))
-    counts = base.groupBy("__day", "amount").agg(F.count(F.lit(1)).alias("__n"))
+    bin_ = F.floor(F.signum("amount") * F.log1p(F.abs("amount")) * BINS).cast("long")
+    base, df = (df if base is None else base).select(day.alias("__day"), "ts_epoch", "amount", bin_.alias("__bin")), df.withColumn("__day", day)
     for w in windows_d:
-        whole = counts.withColumn("__for", F.explode(F.sequence(F.col("__day") + 1, F.col("__day") + w - 1))).join(days.select(F.col("__day").alias("__for")), "__for").select("__for", "amount", "__n")
-        edge = base.select((F.col("__day") + w).alias("__for"), "amount", "ts_epoch").join(days.select(F.col("__day").alias("__for"), "__first"), "__for").where(F.col("ts_epoch") >= F.col("__first") - w * 86_400)
-        reach = whole.union(edge.select("__for", "amount", F.lit(1).cast("long")))
-        grids = reach.groupBy("__for").agg(F.sum("__n").alias("__rows"), grid.alias("__grid")).where(F.col("__rows") >= RANK_LEAST_ROWS)
-        df = df.join(grids.select(F.col("__for").alias("__day"), "__grid"), "__day", "left")
+        # a row for each day
+        df = df.join(F.broadcast(_grids(base, w)), "__day", "left")
         df = df.withColumn(f"amt_rank_{w}d", F.when(F.col("__grid").isNotNull(), F.size(F.filter("__grid", lambda g: g <= F.col("amount"))) / float(RANK_GRID))).drop("__grid")
     return df.drop("__day")
 
