@@ -44,6 +44,11 @@ def read_csv(spark: SparkSession, path: str, labelled: bool, order: list[str] |
     return df.select(*(F.col(c).alias(names[c]) for c in df.columns))
 
 
+def read_results(spark: SparkSession, path: str, schema: str = "txn_id string") -> DataFrame:
+    """A CSV file with a header, read with the given types: wanted ids, predictions, or results of a search."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def union_stream(train: DataFrame, test: DataFrame) -> DataFrame:
     """Labelled and unlabelled rows as one stream; its order is (ts, txn_id), never a physical one."""
     both = train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)), allowMissingColumns=True)

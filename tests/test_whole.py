@@ -10,7 +10,7 @@ from chronofeat.operators import audit
 from chronofeat.operators.folds import FOLDS_A
 from chronofeat.plans import graph, matrix, model
 from chronofeat.sources.fixtures import stream
-from chronofeat.sources.stream import RAW, StreamError, cached, read_json, submission, validate, write_csv
+from chronofeat.sources.stream import RAW, StreamError, cached, read_json, read_results, submission, validate, write_csv
 
 END = "2024-01-20 23:59:59"
 
@@ -94,7 +94,11 @@ def test_csv_to_ranked_csv(spark, few, tmp_path):
     features = ["amt_z", "cust_n_24h", "hour"]
     valid, results = model.search(out, features, FOLDS_A[0], {"base": (2, 3, 0.1, None)})
     scores = model.final(out, features, {"base": 1.0}, {"base": results[0]["rounds"]}, END, (42,), {"base": (2, 3, 0.1, None)})
-    ranked = submission(few.where("is_test").select(F.col("txn_id").cast("string").alias("txn_id")), scores)
+    write_csv(few.where("is_test").select("txn_id"), f"{tmp_path}/ids.csv")
+    write_csv(spark.createDataFrame(results), f"{tmp_path}/search.csv")
+    kept = read_results(spark, f"{tmp_path}/search.csv", "name string, rounds int, val_ap double").first()
+    assert (kept.name, kept.rounds) == ("base", results[0]["rounds"]) and abs(kept.val_ap - results[0]["val_ap"]) < 1e-12
+    ranked = submission(read_results(spark, f"{tmp_path}/ids.csv"), scores)
     write_csv(ranked, f"{tmp_path}/ranked.csv")
-    again = spark.read.schema("txn_id string, score double").option("header", True).csv(f"{tmp_path}/ranked.csv")
+    again = read_results(spark, f"{tmp_path}/ranked.csv", "txn_id string, score double")
     assert again.count() == few.where("is_test").count() and again.where("score between 0 and 1").count() == again.count()
