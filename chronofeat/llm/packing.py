@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, documents, mix, store
+from chronofeat.llm._common import chunks, documents, give_back, mix, store
 from chronofeat.llm.tokenization import encoder
 
 WINDOW, END = 4096, 2
@@ -141,6 +141,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
     dealt = tokens.repartitionByRange(max(2 * spark.sparkContext.defaultParallelism, total // PARTITION), "key", "doc_id").sortWithinPartitions("key", "doc_id", "n_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # workers live on: what the first step remembered is of no use here or later
+        give_back()
         base, position, held = TaskContext.get().partitionId() << 36, 0, []  # held: pieces of the open window
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -149,6 +151,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
         def place(ids: list[int | None], texts: list[np.ndarray]) -> list[tuple]:
             nonlocal position, held
             order, _ = retrieval_order(texts, position % window, window)
+            give_back()
             done = []
             for d in order:
                 x, start = texts[d], 0

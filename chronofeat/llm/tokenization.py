@@ -25,7 +25,7 @@ WORD_RULES = {
     "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
 }
 #: Words, and parts of words, that a worker remembers the ids of; beyond that, those met least recently are forgotten.
-WORDS, PARTS = 1_000_000, 400_000
+WORDS, PARTS = 800_000, 300_000
 #: Characters that normalisation changes by case only; words with others are encoded by the library.
 _PLAIN = re.compile("[!-~¡-į]+")
 _PLAIN_WORDS = re.compile("[\n!-~¡-į]+")
