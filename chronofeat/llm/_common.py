@@ -58,13 +58,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts are long, and a worker and its executor hold whole batches.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(df: DataFrame) -> DataFrame:
     """The two columns the operators read, by name, whatever else df holds."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def with_row(df: DataFrame, carry: bool) -> DataFrame:
     """doc_id and text, and with carry the whole row as a struct `row`."""
+    small_batches(df.sparkSession)
     base = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     return df.select(*base, *([F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if carry else []))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, give_back, grouped_sum, mix, store, word_hashes
+from chronofeat.llm._common import chunks, give_back, grouped_sum, mix, small_batches, store, word_hashes
 
 K, LARGE = 5, 0.1
 #: Tokens read before they are dealt out, tokens in a partition of pairs, and tokens of it that are counted in one step, about.
@@ -329,6 +329,7 @@ def _combine(starts: int):
 def katz_scores(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds) == held_out
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text")).withColumn("held_out", out)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, documents
+from chronofeat.llm._common import chunks, documents, small_batches
 
 DIM = 4096
 EPOCHS = 250
@@ -108,6 +108,7 @@ def identify_language(docs: DataFrame, folds: int = 3, held_out: int = 1, per_la
     per_language, max_texts: the bounds of the sample that the classifiers are fitted on.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     train = rows.where("lang is not null and text is not null and doc_id is not null").where(fold != held_out)

@@ -73,9 +73,11 @@ class Index:
     def __init__(self, docs: list[np.ndarray]) -> None:
         n = len(docs)
         size = np.array([len(d) for d in docs])
-        ids = np.concatenate(docs).astype(np.int64)
-        terms = int(ids.max()) + 1
-        key, tf = np.unique(np.repeat(np.arange(n) * terms, size) + ids, return_counts=True)
+        terms = max(int(d.max()) for d in docs) + 1
+        kind = np.int32 if n * terms < 2**31 else np.int64
+        key = np.repeat(np.arange(n, dtype=kind) * kind(terms), size)
+        key += np.concatenate(docs).astype(kind)
+        key, tf = np.unique(key, return_counts=True)
         owner, self.term = key // terms, key % terms
         df = np.bincount(self.term, minlength=terms)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
@@ -173,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
             return out
 
         ids, texts, size = [], [], 0
-        for b in batches:
+        for b in chunks(batches, text="ids"):
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(doc)
                 texts.append(np.frombuffer(raw, kind))
