@@ -135,8 +135,6 @@ def retrieval_order(docs: list[np.ndarray], fill: int, window: int = WINDOW) ->
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WINDOW, end: int = END) -> DataFrame:
     """One row for each piece of a document: where it starts, its ids' checksum, and its place in a sequence."""
-    width = encoder(tokenizer).width
-    kind = np.dtype("<u2" if width == 2 else "<u4")
     spark = docs.sparkSession
     tokens = store(encode_documents(docs, tokenizer, end), "tokens")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
@@ -176,9 +174,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
 
         ids, texts, size = [], [], 0
         for b in chunks(batches, text="ids"):
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, n, raw in zip(*(c.to_pylist() for c in b.columns)):
                 ids.append(doc)
-                texts.append(np.frombuffer(raw, kind))
+                texts.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"))
                 size += len(texts[-1])
                 if size >= SHARD:
                     if rows := place(ids, texts):
@@ -203,4 +201,4 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
         if rows:
             yield batch(rows)
 
-    return dealt.select("doc_id", "ids").mapInArrow(run, SCHEMA)
+    return dealt.select("doc_id", "n_tokens", "ids").mapInArrow(run, SCHEMA)

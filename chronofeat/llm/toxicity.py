@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, documents, hashes_at, mix, out_schema, release, store, utf8, with_row, words_in
+from chronofeat.llm._common import chunks, documents, give_back, hashes_at, mix, out_schema, release, store, utf8, with_row, words_in
 
 #: Texts of the sample that a feature must occur in; and features kept at most.
 LEAST_TEXTS, MAX_FEATURES = 6, 4000
@@ -124,14 +124,20 @@ def nnpu_risk(w: np.ndarray, bias: float, starts: np.ndarray, code: np.ndarray,
     Text i has the features code[starts[i]:starts[i + 1]] with their values.
     """
     size, np_, nu = len(is_p), max(1, int(is_p.sum())), max(1, int((~is_p).sum()))
-    owner = np.repeat(np.arange(size), np.diff(starts))
-    z = np.bincount(owner, w[code] * value, size) + bias
+    n = np.diff(starts)
+    product = w[code]
+    product *= value
+    z = np.zeros(size)
+    z[n > 0] = np.add.reduceat(product, starts[:-1][n > 0]) if len(product) else 0.0
+    z += bias
     s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     negative = np.logaddexp(0, z[~is_p]).mean() - prior * np.logaddexp(0, z[is_p]).mean()
     risk = prior * np.logaddexp(0, -z[is_p]).mean() + max(0.0, negative)
     correction = np.where(is_p, -prior / np_ * s, s / nu)
     g = np.where(is_p, prior / np_ * (s - 1), 0.0) + correction if negative >= 0 else -correction
-    return float(risk), np.bincount(code, g[owner] * value, len(w)), float(g.sum())
+    product = np.repeat(g, n)
+    product *= value
+    return float(risk), np.bincount(code, product, len(w)), float(g.sum())
 
 
 def fit_nnpu(starts: np.ndarray, code: np.ndarray, value: np.ndarray, is_p: np.ndarray, features: np.ndarray, prior: float) -> dict:
@@ -182,7 +188,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
         starts = np.r_[0, np.cumsum([len(x) // 2 for x in rows["codes"].to_pylist()])]
         del rows
     release(sample)
-    return score_with(every, fit_nnpu(starts, code, value, is_p, features_, prior), folds, held_out, carry)
+    model = fit_nnpu(starts, code, value, is_p, features_, prior)
+    del code, value
+    give_back()  # the driver lives on
+    return score_with(every, model, folds, held_out, carry)
 
 
 def score_with(docs: DataFrame, model: dict, folds: int = 5, held_out: int = 0, carry: bool = False) -> DataFrame:
