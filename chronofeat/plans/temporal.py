@@ -14,6 +14,8 @@ from chronofeat.sources.stream import add_implied_signup
 
 CALENDAR = ["hour", "minute_of_day", "dayofweek", "day_of_month", "is_weekend", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_night", "is_deep_night", "account_age_log", "days_since_signup"]
 CIRCULAR = ["cust_time_concentration", "cust_ang_dev", "cust_ang_dev_weighted"]
+#: Angle of each minute of the day, its factors in the order of the SQL.
+MINUTES = [(m // 60 + m % 60 / 60.0) * 2 * math.pi / 24.0 for m in range(1440)]
 NAMES = [*CALENDAR[:11], *CIRCULAR, "hour_volume_share", "account_age_days", *CALENDAR[11:]]
 
 
@@ -40,9 +42,14 @@ def calendar(df: DataFrame) -> DataFrame:
 
 
 def circular(df: DataFrame) -> DataFrame:
-    """How concentrated the customer's past hours are, and how far this one is from their mean."""
-    angle, w = hour_angle(F.col("ts")), past("cust")
-    df = df.withColumns({"__c": F.avg(F.cos(angle)).over(w), "__s": F.avg(F.sin(angle)).over(w)})
+    """How concentrated the customer's past hours are, and how far this one is from their mean.
+
+    Opposite hours cancel but for the last bits of their sines, which then are the mean's whole direction: sines are
+    those of the C library for each minute of the day, as the SQL has them, since the JVM's differ in the last bit.
+    """
+    angle, w, minute = hour_angle(F.col("ts")), past("cust"), F.hour("ts") * 60 + F.minute("ts") + 1
+    c, s = (F.element_at(F.lit([f(x) for x in MINUTES]), minute) for f in (math.cos, math.sin))
+    df = df.withColumns({"__c": F.avg(c).over(w), "__s": F.avg(s).over(w)})
     off = angle - F.atan2("__s", "__c")
     df = df.withColumns({"cust_time_concentration": F.sqrt(F.col("__c") ** 2 + F.col("__s") ** 2), "cust_ang_dev": F.abs(F.atan2(F.sin(off), F.cos(off)))})
     return df.withColumn("cust_ang_dev_weighted", F.col("cust_ang_dev") * F.col("cust_time_concentration")).drop("__c", "__s")
