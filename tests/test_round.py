@@ -3,9 +3,10 @@
 import datetime as dt
 
 import duckdb
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
+from chronofeat.operators import metrics
 from chronofeat.queries import QUERIES, SQL
 
 
@@ -35,3 +36,16 @@ def test_opposite_hours_have_the_direction_of_the_sql(spark, tmp_path):
     write_events(tmp_path, [(3 * m + j, start + t, m, 1.0, m % 9) for m in range(720) for j, t in enumerate(times(m))])
     got, want = against_sql(spark, tmp_path, "temporal_circular")
     assert len(got) == 2160 and [i for i in want if got[i] != want[i]] == []
+
+
+def test_reference_of_few_values_and_many_rows_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "RUN", 10, raising=False)
+    scores = spark.range(57).select(F.col("id").alias("txn_id"), ((F.col("id") * 31) % 57).alias("score"))
+    reference = spark.range(203).select(F.when(F.col("id") < 150, 0.25).otherwise(F.col("id") / 203.0).alias("p"))
+    out = metrics.quantile_map(scores, "score", "txn_id", reference, "p", "m")
+    rows = sorted(out.collect(), key=lambda r: r.score)
+    values = np.sort([0.25 if i < 150 else i / 203 for i in range(203)])
+    want = np.interp(np.arange(57) / 56 * 202, np.arange(203), values) + 1e-9 * np.arange(57) / 56
+    assert np.allclose([r.m for r in rows], want, atol=1e-12)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [__lo" in plan and "SortMergeJoin [__hi" in plan
