@@ -1,8 +1,8 @@
 """Past-only window primitives: statistics over rows of the same key strictly earlier in (ts, txn_id).
 
-All are Column builders, so one key's primitives share one exchange and sort. A range of seconds is two
-frames: rows of earlier seconds in reach, and earlier rows of the same second; one RANGE frame would count
-later rows of the same second.
+All are Column builders, so one key's primitives share one exchange and sort. A range of seconds is a running sum
+over earlier rows less one over the seconds out of reach: both frames only grow, so a key's time is linear in its
+rows, while a sliding frame is summed anew for each row.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from chronofeat.functions.scalar import n0
 
 ORDER = ("ts", "txn_id")
 START = Window.unboundedPreceding
+#: What sums of doubles are taken in: parts of one, and a power of two for what is larger; and values too large for that.
+UNITS, COARSE, LARGEST = 10_000.0, 2.0**30, 1e300
 
 
 def ordered(*keys: str) -> Window:
@@ -28,20 +30,36 @@ def prior_count(*keys: str) -> Column:
     return (F.row_number().over(ordered(*keys)) - 1).cast("long")
 
 
-def _range(keys: tuple[str, ...], seconds: int) -> tuple[Window, Window]:
-    before = Window.partitionBy(*keys).orderBy("ts_epoch").rangeBetween(-seconds, -1)
-    same = Window.partitionBy(*keys, "ts_epoch").orderBy(*ORDER).rowsBetween(START, -1)
-    return before, same
+def _out_of_reach(keys: tuple[str, ...], seconds: int) -> Window:
+    return Window.partitionBy(*keys).orderBy("ts_epoch").rangeBetween(START, -seconds - 1)
 
 
 def count_in_window(keys: tuple[str, ...], seconds: int) -> Column:
-    a, b = _range(keys, seconds)
-    return (F.count(F.lit(1)).over(a) + F.count(F.lit(1)).over(b)).cast("long")
-
-
-def sum_in_window(keys: tuple[str, ...], value: Column, seconds: int) -> Column:
-    a, b = _range(keys, seconds)
-    return n0(F.sum(value).over(a)) + n0(F.sum(value).over(b))
+    return (prior_count(*keys) - F.count(F.lit(1)).over(_out_of_reach(keys, seconds))).cast("long")
+
+
+def sum_in_window(keys: tuple[str, ...], value: Column, seconds: int, whole: bool = False) -> Column:
+    """whole: the values are small whole numbers, whose sums are exact as they are.
+
+    Others are split into multiples of COARSE, ten-thousandths and what is left of them: the first two are whole numbers,
+    whose sums as doubles are exact to 9e15, so that the difference of two running sums keeps its last digits. Values that
+    are not finite (or beyond 1e300, as such) count while they are in reach.
+    """
+    now, gone = past(*keys), _out_of_reach(keys, seconds)
+    less = lambda x: n0(F.sum(x).over(now)) - n0(F.sum(x).over(gone))
+    if whole:
+        return less(value)
+    value = value.cast("double")
+    finite = F.when(~F.isnan(value) & (F.abs(value) < LARGEST), value)
+    coarse = F.rint(finite / COARSE)
+    fine = finite - coarse * COARSE
+    units = F.rint(fine * UNITS)
+    total = less(coarse) * COARSE + (less(units) / UNITS + less(fine - units / UNITS))
+    for odd in (float("inf"), -float("inf"), float("nan")):
+        here = F.isnan(value) if odd != odd else (value >= LARGEST) & ~F.isnan(value) if odd > 0 else value <= -LARGEST
+        seen = F.max(F.when(here, F.col("ts_epoch"))).over(now) >= F.col("ts_epoch") - seconds
+        total = total + F.when(seen, F.lit(odd)).otherwise(0.0)
+    return total
 
 
 def prev_gap(keys: tuple[str, ...], lag: int = 1) -> Column:
@@ -78,4 +96,4 @@ def running_nunique(df: DataFrame, outer: tuple[str, ...], inner: tuple[str, ...
 def new_pairs_in_window(df: DataFrame, outer: tuple[str, ...], inner: tuple[str, ...], seconds: int, name: str) -> DataFrame:
     """Inner keys first met by the outer key within the window."""
     first = f"__first_{name}"
-    return df.withColumn(first, first_occurrence(*outer, *inner)).withColumn(name, sum_in_window(outer, F.col(first), seconds).cast("long")).drop(first)
+    return df.withColumn(first, first_occurrence(*outer, *inner)).withColumn(name, sum_in_window(outer, F.col(first), seconds, whole=True).cast("long")).drop(first)

@@ -40,7 +40,7 @@ def _met(outer: str, x: str) -> Column:
 
 
 def _new(outer: str, x: str, window: str) -> Column:
-    return sum_in_window((outer,), F.col(f"__f_{x}"), WINDOWS_S[window]).cast("long")
+    return sum_in_window((outer,), F.col(f"__f_{x}"), WINDOWS_S[window], whole=True).cast("long")
 
 
 def sharing_of_devices(df: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from chronofeat.operators import metrics
+from chronofeat.operators import metrics, past
 from chronofeat.queries import QUERIES, SQL
+from chronofeat.sources.fixtures import stream
 
 
 def against_sql(spark, folder, name, key="txn_id"):
@@ -49,3 +50,21 @@ def test_reference_of_few_values_and_many_rows_is_not_broadcast(spark, monkeypat
     assert np.allclose([r.m for r in rows], want, atol=1e-12)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [__lo" in plan and "SortMergeJoin [__hi" in plan
+
+
+def test_windows_of_a_key_with_many_rows_take_linear_time(spark, tmp_path):
+    start = dt.datetime(2024, 1, 2)
+    write_events(tmp_path, [(i, start + dt.timedelta(seconds=13 * (i // 3)), i % 50, (i * 37 % 9973) / 100, i // 3000 % 2) for i in range(6000)])
+    got, want = against_sql(spark, tmp_path, "p4_sum_in_window_a")
+    assert [i for i in want if got[i] != want[i]] == []
+    one = stream(spark, str(tmp_path)).withColumns({"dev": F.lit("D"), "s": past.sum_in_window(("dev",), F.col("amount"), 604_800), "n": past.count_in_window(("dev",), 604_800)})
+    frames = one._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding$()" in frames.lower() and "specifiedwindowframe(RangeFrame, -604800" not in frames
+
+
+def test_window_sums_keep_small_values_beside_large_and_odd_ones(spark):
+    values = [1e15, 0.1, 1 / 3, float("nan"), 2.5, float("inf"), 4.75, None, 0.01, -7.0]
+    df = spark.createDataFrame([(i, 10 * i, "k", v) for i, v in enumerate(values)], "txn_id long, ts_epoch long, k string, amount double").withColumn("ts", F.timestamp_seconds("ts_epoch"))
+    for r in df.withColumn("s", past.sum_in_window(("k",), F.col("amount"), 20)).collect():
+        want = sum((v for v in values[max(0, r.txn_id - 2) : r.txn_id] if v is not None), 0.0)
+        assert r.s == want or (r.s != r.s and want != want) or abs(r.s - want) <= 1e-12 * abs(want), (r, want)
