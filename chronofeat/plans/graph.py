@@ -7,8 +7,11 @@ the seven days before it (recent). Degrees, two-hop path counts and components a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ NAMES = [*DEGREES, *TWO_HOP, *COMPONENTS, *RECENT, *SPECTRAL, *GNN, "days_since_
 WEEK_S = 7 * 86_400
 #: Change of singular values, as a part of the largest, at which the iteration ends; and rounds at most.
 TOLERANCE, ITERATIONS = 1e-10, 500
+#: Nodes of a side up to which its products are decomposed directly; rows of the other side, and of results, at a time.
+NARROW, BLOCK, CHUNK = 512, 4096, 50_000
 #: Links that refinement by link prediction takes at least.
 LEAST_LINKS = 100
 #: 1970-01-04 was a Sunday.
@@ -146,6 +151,25 @@ def recent(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return df.withColumn("gr_dev_degree_ratio", F.col("gr_dev_degree_cust") / F.greatest("__life", F.lit(1.0))).drop("__life")
 
 
+def _by_narrow_side(long: np.ndarray, narrow: np.ndarray, w: np.ndarray, n_long: int, n_narrow: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors from the eigenvectors of the narrow side's products: two passes over blocks of the long side's rows."""
+    order = np.argsort(long, kind="stable")
+    long, narrow, w = long[order], narrow[order], w[order]
+    starts = range(0, n_long, BLOCK)
+    cuts = np.searchsorted(long, [*starts, n_long])
+
+    def block(i: int) -> np.ndarray:
+        here = slice(cuts[i], cuts[i + 1])
+        x = np.zeros((min(BLOCK, n_long - i * BLOCK), n_narrow))
+        x[long[here] - i * BLOCK, narrow[here]] = w[here]
+        return x
+
+    products = sum((x.T @ x for x in map(block, range(len(starts)))), np.zeros((n_narrow, n_narrow)))
+    values, vectors = np.linalg.eigh(products)
+    v = vectors[:, ::-1][:, :k]
+    return np.concatenate([block(i) @ v for i in range(len(starts))]), v * np.sqrt(np.maximum(values[::-1][:k], 0))
+
+
 def spectral_factors(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int, dim: int = EMBED_DIM, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Leading singular vectors of the degree-normalised incidence matrix, times the singular values."""
     out = np.zeros((n_left, dim)), np.zeros((n_right, dim))
@@ -153,6 +177,13 @@ def spectral_factors(left: np.ndarray, right: np.ndarray, n_left: int, n_right:
     if k < 2 or not len(left):
         return out
     w = 1 / np.sqrt(np.bincount(left, minlength=n_left)[left] * np.bincount(right, minlength=n_right)[right])
+    if min(n_left, n_right) <= NARROW:
+        if n_left < n_right:
+            b, a = _by_narrow_side(right, left, w, n_right, n_left, k)
+        else:
+            a, b = _by_narrow_side(left, right, w, n_left, n_right, k)
+        out[0][:, :k], out[1][:, :k] = a, b
+        return out
 
     def times(rows: np.ndarray, columns: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(rows, w * x[columns, j], n) for j in range(x.shape[1])], 1)
@@ -182,8 +213,7 @@ def propagate(h: list[np.ndarray], weights: tuple[np.ndarray, np.ndarray], cd: t
     """
 
     def mean(rows: np.ndarray, columns: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-        total = np.zeros((n, x.shape[1]))
-        np.add.at(total, rows, x[columns])
+        total = np.stack([np.bincount(rows, y[columns], n) for y in np.ascontiguousarray(x.T)], 1)
         return total / np.maximum(np.bincount(rows, minlength=n), 1)[:, None]
 
     c, d, m = h
@@ -220,49 +250,88 @@ def refine_links(c: np.ndarray, d: np.ndarray, src: np.ndarray, dst: np.ndarray,
 def embeddings(df: DataFrame, dim: int = EMBED_DIM, seed: int = 42, train_links: bool = False) -> DataFrame:
     """(snap, cust, dev, merch) of the rows that read a snapshot, with its spectral and propagated features.
 
-    State goes from snapshot to snapshot, so the distinct edges are read by one task: this tier is for graphs
-    that fit one executor; the structural columns have no such bound.
+    State goes from snapshot to snapshot, so the distinct edges are read by one task, as codes: this tier is for graphs
+    whose nodes' vectors and coded edges fit one executor; the structural columns have no such bound.
     """
-    edges = df.groupBy("cust", "dev", "merch").agg(F.min("ts_epoch").alias("t"), F.collect_set("snap").alias("snaps"))
+    edges = df.where("cust is not null").groupBy("cust", "dev", "merch").agg(F.min("ts_epoch").alias("t"), F.collect_set("snap").alias("snaps"))
     schema = "snap long, cust {0}, dev string, merch string, ".format(dict(df.dtypes)["cust"]) + ", ".join(f"{c} double" for c in (*SPECTRAL, *GNN))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        (c, cu), (d, du), (m, mu) = (pd.factorize(pdf[k], sort=True) for k in ("cust", "dev", "merch"))
-        t, out = pdf["t"].to_numpy(), []
-        rows = pd.DataFrame({"i": np.repeat(np.arange(len(pdf)), pdf["snaps"].map(len)), "snap": np.concatenate([np.asarray(x, np.int64) for x in pdf["snaps"]]) if len(pdf) else []})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded, t, row, at, read = [_Codes() for _ in range(3)], [], [], [], 0
+        for batch in batches:
+            for codes, column in zip(coded, batch.columns):
+                codes.add(column)
+            t.append(batch.column(3).to_numpy())
+            n = pc.list_value_length(batch.column(4)).to_numpy()
+            row.append(np.repeat(np.arange(read, read + len(n)), n))
+            at.append(batch.column(4).flatten().to_numpy())
+            read += len(n)
+        if not read:
+            return
+        (c, cu), (d, du), (m, mu) = (codes.sorted() for codes in coded)
+        t, row, at = np.concatenate(t), np.concatenate(row), np.concatenate(at)
+        # rows in the order of their keys, whatever order they came in
+        place = np.empty(read, np.int64)
+        order = np.lexsort((m, d, c))
+        place[order] = np.arange(read)
+        c, d, m, t, row = c[order], d[order], m[order], t[order], place[row]
+        by_row = np.lexsort((row, at))
+        row, at = row[by_row], at[by_row]
+        snaps, starts = np.unique(at, return_index=True)
+        cd_all, cm_all = _pairs(c, d, t, len(du)), _pairs(c, m, t, len(mu))
         rng = np.random.default_rng(seed)
         h = [rng.standard_normal((len(u), dim)) / np.sqrt(dim) for u in (cu, du, mu)]
         w = tuple(np.eye(dim) + rng.standard_normal((dim, dim)) * 0.01 for _ in range(2))
         spectral_before = gnn_before = None
-        for number, snap in enumerate(sorted(rows["snap"].unique())):
-            past = t < snap
-            pairs = lambda a, b: tuple(np.unique(np.stack([a[past], b[past]]), axis=1))
-            cd, cm = pairs(c, d), pairs(c, m)
+        for number, (snap, start, end) in enumerate(zip(snaps, starts, [*starts[1:], len(at)])):
+            cd, cm = (tuple(x[first < snap] for x in (a, b)) for a, b, first in (cd_all, cm_all))
             sc, sd = spectral_factors(*cd, len(cu), len(du), dim, seed + number)
             tc, tm = spectral_factors(*cm, len(cu), len(mu), dim, seed + 1000 + number)
             refined = train_links and len(cd[0]) >= LEAST_LINKS
             h = propagate(h, w, cd, cm, customers_first=not refined)
             if refined:
                 h[0], h[1] = refine_links(h[0], h[1], *cd, seed=seed + number)
-            i = rows.loc[rows["snap"] == snap, "i"].to_numpy()
-            bc, bd, bm = c[i], d[i], m[i]
-            none = np.full(len(i), np.nan)
-            out.append(
-                pd.DataFrame(
-                    {
-                        "snap": snap, "cust": cu[bc], "dev": du[bd], "merch": mu[bm],
-                        "g_cd_cos": _cos(sc[bc], sd[bd]), "g_cm_cos": _cos(tc[bc], tm[bm]),
-                        "g_cust_emb_drift": none if spectral_before is None else 1 - _cos(sc[bc], _aligned(spectral_before, sc)[bc]),
-                        "g_cust_emb_norm": np.linalg.norm(sc[bc], axis=1), "g_dev_emb_norm": np.linalg.norm(sd[bd], axis=1),
-                        "gnn_cd_cos": _cos(h[0][bc], h[1][bd]), "gnn_cd_score": (h[0][bc] * h[1][bd]).sum(1),
-                        "gnn_cust_emb_drift": none if gnn_before is None else 1 - _cos(h[0][bc], gnn_before[bc]), "gnn_cm_cos": _cos(h[0][bc], h[2][bm]),
-                    }
-                )
-            )
+            turned = None if spectral_before is None else _aligned(spectral_before, sc)
+            for i in (row[x : min(x + CHUNK, end)] for x in range(start, end, CHUNK)):
+                bc, bd, bm = c[i], d[i], m[i]
+                none = np.full(len(i), np.nan)
+                out = [
+                    _cos(sc[bc], sd[bd]), _cos(tc[bc], tm[bm]), none if turned is None else 1 - _cos(sc[bc], turned[bc]),
+                    np.linalg.norm(sc[bc], axis=1), np.linalg.norm(sd[bd], axis=1),
+                    _cos(h[0][bc], h[1][bd]), (h[0][bc] * h[1][bd]).sum(1), none if gnn_before is None else 1 - _cos(h[0][bc], gnn_before[bc]), _cos(h[0][bc], h[2][bm]),
+                ]
+                keys = [pa.array(np.full(len(i), snap, np.int64)), *(u.take(pa.array(x)) for u, x in ((cu, bc), (du, bd), (mu, bm)))]
+                yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, out)], ["snap", "cust", "dev", "merch", *SPECTRAL, *GNN])
             spectral_before, gnn_before = sc, h[0].copy()
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["snap", "cust", "dev", "merch", *SPECTRAL, *GNN])
 
-    return edges.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda p: run(p.sort_values(["cust", "dev", "merch"]).reset_index(drop=True)), schema)
+    return edges.repartition(1).mapInArrow(run, schema)
+
+
+class _Codes:
+    """Numbers of the distinct values of a column that comes in batches, in the end in the values' order."""
+
+    def __init__(self) -> None:
+        self.known, self.parts, self.type = {}, [], None
+
+    def add(self, column: pa.Array) -> None:
+        self.type = column.type
+        found = column.dictionary_encode()
+        new = np.array([self.known.setdefault(v, len(self.known)) for v in found.dictionary.to_pylist()], np.int64)
+        self.parts.append(new[found.indices.to_numpy()])
+
+    def sorted(self) -> tuple[np.ndarray, pa.Array]:
+        values = sorted(self.known)
+        rank = np.empty(len(values), np.int64)
+        rank[[self.known[v] for v in values]] = np.arange(len(values))
+        return rank[np.concatenate(self.parts)], pa.array(values, self.type)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, each with its first time."""
+    key = a * n + b
+    order = np.argsort(key, kind="stable")
+    pairs, starts = np.unique(key[order], return_index=True)
+    return pairs // n, pairs % n, np.minimum.reduceat(t[order], starts)
 
 
 def _aligned(old: np.ndarray, new: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chronofeat.operators import metrics, past
+from chronofeat.plans import graph
 from chronofeat.queries import QUERIES, SQL
 from chronofeat.sources.fixtures import stream
 
@@ -68,3 +69,30 @@ def test_window_sums_keep_small_values_beside_large_and_odd_ones(spark):
     for r in df.withColumn("s", past.sum_in_window(("k",), F.col("amount"), 20)).collect():
         want = sum((v for v in values[max(0, r.txn_id - 2) : r.txn_id] if v is not None), 0.0)
         assert r.s == want or (r.s != r.s and want != want) or abs(r.s - want) <= 1e-12 * abs(want), (r, want)
+
+
+def test_factors_of_a_long_and_narrow_graph_are_exact(monkeypatch):
+    rng = np.random.default_rng(4)
+    left, right = np.unique(np.stack([rng.integers(0, 9000, 60_000), rng.integers(0, 40, 60_000)]), axis=1)
+    x = np.zeros((9000, 40))
+    x[left, right] = 1 / np.sqrt(np.bincount(left, minlength=9000)[left] * np.bincount(right, minlength=40)[right])
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    for a, b in ((left, right), (right, left)):
+        p, q = graph.spectral_factors(a, b, a.max() + 1, b.max() + 1, 8, 3)
+        p, q = (p, q) if len(p) == 9000 else (q, p)
+        assert np.allclose(p @ q.T, (u[:, :8] * s[:8] ** 2) @ vt[:8], atol=1e-12)
+        assert np.allclose(q @ q.T, (vt[:8].T * s[:8] ** 2) @ vt[:8], atol=1e-12)
+    monkeypatch.setattr(graph, "NARROW", 0, raising=False)
+    p, q = graph.spectral_factors(left[:5000], right[:5000], 9000, 40, 8, 3)
+    monkeypatch.undo()
+    p1, q1 = graph.spectral_factors(left[:5000], right[:5000], 9000, 40, 8, 3)
+    assert np.allclose(p @ q.T, p1 @ q1.T, atol=1e-4)
+
+
+def test_embeddings_do_not_depend_on_the_order_of_edges(spark, sf):
+    df = graph.assign_snapshots(stream(spark, sf), least_rows=100)
+    one, two = ({(r.snap, r.cust, r.dev, r.merch): r for r in graph.embeddings(x, dim=8).collect()} for x in (df, df.orderBy(F.xxhash64("txn_id")).repartition(5)))
+    want = df.where("snap is not null").select("snap", "cust", "dev", "merch").distinct().count()
+    assert len(one) == want and one.keys() == two.keys()
+    for k, r in one.items():
+        assert all(a == b or (a != a and b != b) or abs(a - b) < 1e-7 for a, b in zip(r[4:], two[k][4:])), (r, two[k])
