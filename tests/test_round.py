@@ -4,9 +4,10 @@ import datetime as dt
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from chronofeat.operators import metrics, past
+from chronofeat.operators import components, metrics, past
 from chronofeat.plans import graph
 from chronofeat.queries import QUERIES, SQL
 from chronofeat.sources.fixtures import stream
@@ -96,3 +97,21 @@ def test_embeddings_do_not_depend_on_the_order_of_edges(spark, sf):
     assert len(one) == want and one.keys() == two.keys()
     for k, r in one.items():
         assert all(a == b or (a != a and b != b) or abs(a - b) < 1e-7 for a, b in zip(r[4:], two[k][4:])), (r, two[k])
+
+
+@pytest.mark.parametrize("known", [10, 500_000])
+def test_components_of_a_dense_graph_start_from_few_edges(spark, monkeypatch, known):
+    monkeypatch.setattr(components, "KNOWN", known, raising=False)
+    stored, store = [], components._store
+    monkeypatch.setattr(components, "_store", lambda df: (stored.append(x := store(df)), x)[1])
+    edges = spark.range(12_000).select(F.concat(F.lit("c"), F.col("id") % 300).alias("a"), F.concat(F.lit("d"), F.col("id") % 2 + 2 * (F.floor(F.col("id") / 300) % 20)).alias("b"))
+    edges = edges.union(spark.createDataFrame([("z", "z"), ("x", "y")], "a string, b string"))
+    got = {r.node: r.label for r in components.connected_components(edges).collect()}
+    up = {}
+    pairs = [tuple(r) for r in edges.collect() if r[0] != r[1]]
+    for _ in range(50):
+        for a, b in pairs:
+            up[a] = up[b] = min(up.get(a, a), up.get(b, b))
+    assert got == up
+    if known > 10:
+        assert stored[0].count() < len(set(pairs)) / 2
