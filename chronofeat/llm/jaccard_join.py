@@ -13,11 +13,17 @@ Exact reductions keep that near linear:
 * In a shingle's list, overlaps are first counted against one pivot (the document whose shingles are the
   most common). Such a sum is a lower bound, so what reaches the threshold is a link. Of a document's links of a
   round two go on, so that a group gives no more edges than twice its members. Documents already in
-  one component need no further comparison. What is left after the pivot rounds is compared pair by pair.
+  one component need no further comparison.
 * The shingles that a document shares with documents of other components (`shared`, counted in each round) bound
   its overlap with any of them, and so the size of what it can link with; shingles shared with documents of no such
-  size do not count in the next round. Two documents whose smaller bound can't reach the threshold aren't paired. In the
-  last step a fragment also leaves out pairs that can't reach it even if all they share elsewhere were in common.
+  size do not count in the next round. Two documents whose smaller bound can't reach the threshold aren't paired.
+* What is left after the pivot rounds is put in a second order, the rarest shingles first. A document links only with what has
+  0.8 n of its n shingles, so what two linked documents share begins, in this order, among the first of either:
+  of the u that it shares with others, the first u - 0.8 n + 1. Fragments pair documents by these alone, so lists of
+  frequent shingles give no pairs, and the pairs are compared by their whole sets.
+
+Documents pass from task to task as whole sets, and are cut into fragments many at a time: a row holds what a few thousand
+documents have in a fragment, so that rows don't grow with documents times fragments.
 
 Results for unusual input: null, empty or blank text: no shingles, linked with nothing; fewer than five
 words: the whole sequence is one shingle; very long texts: whole; repeated rows: each row is returned; rows of one
@@ -45,11 +51,10 @@ FRAGMENT, HEAD_FRAGMENT = 1_000_000, 2_000_000
 STAR_ROUNDS = 3
 #: Pivots of a list, and of a document, that a fragment reports in a pivot round.
 PIVOTS = 2
-#: Fragments that the last step makes at least.
-LEAST_FRAGMENTS = 4
 
 _U = np.uint64
 PARTIAL = "a long, b long, na long, nb long, overlap long"
+ENTRIES = "sids binary, ns binary, labels binary, counts binary, s binary"
 
 
 def shingle_sets(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -103,23 +108,33 @@ def fragment_of(s: np.ndarray, fragments: int) -> np.ndarray:
     return (((s >> _U(32)) * _U(fragments)) >> _U(32)).astype(np.int64)
 
 
+def _cut(key: np.ndarray, owner: np.ndarray, name: str, of_document: dict[str, np.ndarray], of_entry: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+    """Entries cut by key: one row for each with its documents (those of owner), how many entries each has, and the entries."""
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    rows = []
+    for a, b in zip(at, np.r_[at[1:], len(key)]):
+        own, counts = np.unique(owner[a:b], return_counts=True)
+        rows.append((int(key[a]), *(v[own].tobytes() for v in of_document.values()), counts.astype(np.int32).tobytes(), *(v[order[a:b]].tobytes() for v in of_entry.values())))
+    names = [name, *of_document, "counts", *of_entry]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * (len(names) - 1))], names) if rows else None
+
+
+def _joined(t: pa.Table, **kinds: type) -> list[np.ndarray]:
+    """Columns of bytes as arrays, rows one after another."""
+    return [np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()]) for name, kind in kinds.items()]
+
+
 def _head_segments(fragments: int):
     """Cuts heads into fragments: per batch and fragment one row with the documents, their sizes, counts and shingles."""
 
     def cut(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         s = np.concatenate([r[2] for r in rows])
         owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
-        sid, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-        f = fragment_of(s, fragments)
-        order = np.argsort(f, kind="stable")
-        s, owner, f = s[order], owner[order], f[order]
-        at = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.zeros(0, np.int64)
-        out = []
-        for a, b in zip(at, np.r_[at[1:], len(f)]):
-            own, counts = np.unique(owner[a:b], return_counts=True)
-            out.append((int(f[a]), sid[own].tobytes(), n[own].tobytes(), counts.astype(np.int32).tobytes(), s[a:b].tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] + [pa.binary()] * 4)], ["frag", "sids", "ns", "counts", "s"])
+        of_document = {"sids": np.array([r[0] for r in rows], np.int64), "ns": np.array([r[1] for r in rows], np.int32)}
+        if (out := _cut(fragment_of(s, fragments), owner, "frag", of_document, {"s": s})) is not None:
+            yield out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows, size = set(), [], 0
@@ -143,10 +158,9 @@ def _head_segments(fragments: int):
 
 def _own_shingles(t: pa.Table) -> pa.Table:
     """Of each document in a fragment: its shingles that no other document has, and the list lengths of all."""
-    join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()])
-    sids, ns, s = join("sids", np.int64), join("ns", np.int32), join("s", _U)
+    sids, ns, counts, s = _joined(t, sids=np.int64, ns=np.int32, counts=np.int32, s=_U)
     sid, index = np.unique(sids, return_index=True)
-    owner = np.repeat(np.searchsorted(sid, sids), join("counts", np.int32)).astype(np.int64)
+    owner = np.repeat(np.searchsorted(sid, sids), counts).astype(np.int64)
     order = np.lexsort((owner, s))
     s, owner = s[order], owner[order]
     fresh = np.ones(len(s), bool)  # copies of one set come from several tasks
@@ -161,22 +175,38 @@ def _own_shingles(t: pa.Table) -> pa.Table:
     return pa.table({"sid": sid, "n": ns[index].astype(np.int64), "single": single.astype(np.int64), "weight": weight})
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All shingles of the remaining documents."""
+    for batch in chunks(batches):
+        s, ends = shingle_sets(batch.column(1))
+        rows = zip(batch.column(0).to_pylist(), set_digests(s, ends).tolist(), np.r_[0, ends[:-1]], ends)
+        out = [(sid, s[a:b].tobytes()) for sid, digest, a, b in rows if digest == sid]  # not another text with this uid
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["sid", "s"])
+
+
 def _segments(fragments: int):
-    """All shingles of the remaining documents by fragment."""
+    """Cuts sets into fragments: per some documents and fragment one row with them, what is known of them, counts and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            s, ends = shingle_sets(batch.column(1))
-            out = []
-            for sid, digest, a, b in zip(batch.column(0).to_pylist(), set_digests(s, ends).tolist(), np.r_[0, ends[:-1]], ends):
-                if digest != sid:  # another text with this uid
-                    continue
-                cuts = np.searchsorted(s[a:b], [_U((i << 64) // fragments) for i in range(1, fragments)] if fragments > 1 else []) + a
-                for f, (x, y) in enumerate(zip(np.r_[a, cuts], np.r_[cuts, b])):
-                    if y > x:
-                        out.append((sid, f, s[int(x) : int(y)].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["sid", "frag", "s"])
+        rows, size = [], 0
+
+        def cut() -> Iterator[pa.RecordBatch]:
+            s = np.concatenate([r[-1] for r in rows])
+            columns = {c: np.array([r[i] for r in rows], np.int64) for i, c in enumerate(("sids", "ns", "labels", "weights", "shareds"))}
+            if (out := _cut(fragment_of(s, fragments), np.repeat(np.arange(len(rows)), [len(r[-1]) for r in rows]), "frag", columns, {"s": s})) is not None:
+                yield out
+
+        for batch in batches:
+            for *known, s in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append((*known, np.frombuffer(s, _U)))
+                size += len(rows[-1][-1])
+                if size > 1_000_000:
+                    yield from cut()
+                    rows, size = [], 0
+                    give_back()
+        if rows:
+            yield from cut()
 
     return run
 
@@ -199,8 +229,34 @@ def _most_of_others(value: np.ndarray, label: np.ndarray, which: np.ndarray, at:
     return np.where(label == first[which], second[which], v[at][which])
 
 
-def _partial_overlaps(every_pair: bool, round_: int = 0):
-    """Partial overlaps of one fragment: of each document with the pivots it meets most, or of every pair in different components.
+def _fragment(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """Documents of a fragment (ids ascending), what is known of them, and all their entries."""
+    sids, *known, counts, s = _joined(t, sids=np.int64, ns=np.int64, labels=np.int64, weights=np.int64, shareds=np.int64, counts=np.int32, s=_U)
+    sid, of_row, row = np.unique(sids, return_index=True, return_inverse=True)
+    return sid, *(x[of_row] for x in known), np.repeat(row, counts), s
+
+
+def _of_several(label: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are in lists of several labels, and which lists are."""
+    if not len(at):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    mixed = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)
+    return np.repeat(mixed, length), mixed
+
+
+def _useful(n: np.ndarray, label: np.ndarray, shared: np.ndarray, owner: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether an entry's list holds a document of another label that its owner could link with, by their sizes and by what either shares."""
+    if not len(owner):
+        return np.zeros(0, bool)
+    # what a document can link with at most, by its size: size * PERCENT <= (100 + PERCENT) * overlap - PERCENT * own size
+    most = (100 + PERCENT) * shared / PERCENT - n
+    which = np.repeat(np.arange(len(at)), length)
+    lab, size = label[owner], n[owner]
+    return (_most_of_others(most[owner], lab, which, at) >= size) & (-_most_of_others(-size.astype(np.float64), lab, which, at) <= most[owner])
+
+
+def _partial_overlaps(round_: int):
+    """Partial overlaps of one fragment: of each document with the pivots it meets most.
 
     Rows are (document a, pivot b, sizes, overlap), b before a in an order that all fragments share; rows with b = a
     hold in place of b's size the lengths of a's lists together, and as overlap the number of a's shingles that a document
@@ -210,12 +266,8 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
     """
 
     def run(t: pa.Table) -> pa.Table:
-        segments = [np.frombuffer(x, _U) for x in t["s"].to_pylist()]
-        # a group can hold several fragments
-        sid, of_row, row = np.unique(t["sid"].to_numpy(), return_index=True, return_inverse=True)
-        n, weight, label, shared = (t[c].to_numpy()[of_row] for c in ("n", "weight", "label", "shared"))
-        s, owner = np.concatenate(segments), np.repeat(row, [len(x) for x in segments])
-        del segments, t
+        sid, n, label, weight, shared, owner, s = _fragment(t)
+        del t
         m = len(sid)
         rank = np.empty(m, np.int64)
         by = {0: (sid, -weight), 1: (sid, -weight), 2: (sid, -(shared / n))}.get(round_, (mix(sid.view(_U) + _U(round_)),))
@@ -225,21 +277,10 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
         at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         length = np.diff(np.r_[at, len(s)])
         lists = np.bincount(owner, weights=np.repeat(np.minimum(length, 1_000_000), length), minlength=m).astype(np.int64)
-        lab = label[owner]
-        mixed = np.minimum.reduceat(lab, at) != np.maximum.reduceat(lab, at)
-        keep = np.repeat(mixed, length)
+        keep, mixed = _of_several(label[owner], at, length)
         owner, at, length = owner[keep], np.r_[0, np.cumsum(length[mixed])][:-1].astype(np.int64), length[mixed]
-        del s, order, lab, keep
-        # what a document can link with at most, by its size: size * PERCENT <= (100 + PERCENT) * overlap - PERCENT * own size
-        most = (100 + PERCENT) * shared / PERCENT - n
-        if len(owner):
-            which = np.repeat(np.arange(len(at)), length)
-            lab, size = label[owner], n[owner]
-            there = (_most_of_others(most[owner], lab, which, at) >= size) & (-_most_of_others(-size.astype(np.float64), lab, which, at) <= most[owner])
-            here = np.bincount(owner[there], minlength=m)
-            del which, lab, size, there
-        else:
-            here = np.zeros(m, np.int64)
+        del s, order, keep
+        here = np.bincount(owner[_useful(n, label, shared, owner, at, length)], minlength=m)
         own = np.arange(m)
         keys, sums = [own * m + own], [here]
 
@@ -254,34 +295,101 @@ def _partial_overlaps(every_pair: bool, round_: int = 0):
 
         if len(owner):
             place = np.arange(len(owner)) - np.repeat(at, length)
-            if every_pair:
-                left = np.repeat(length, length) - place  # entries from here to the list's end
-                i, shift = np.arange(len(owner)), 1
-                while len(i := i[left[i] > shift]):
-                    add(owner[i + shift], owner[i])
-                    shift += 1
-            else:
-                for pivot in range(1 if not round_ else PIVOTS):
-                    i = np.flatnonzero(place > pivot)
-                    add(owner[i], owner[i - place[i] + pivot])
+            for pivot in range(1 if not round_ else PIVOTS):
+                i = np.flatnonzero(place > pivot)
+                add(owner[i], owner[i - place[i] + pivot])
         k, c = grouped_sum(np.concatenate(keys), np.concatenate(sums).astype(np.int64))
         a, b = k // m, k % m
-        if every_pair:
-            # what the two share elsewhere is at most what either shares elsewhere with any document
-            rest = np.minimum(shared[a] - here[a], shared[b] - here[b])
-            possible = (a != b) & _enough(c + rest, n[a], n[b])
-            a, b, c = a[possible], b[possible], c[possible]
-        else:
-            order = np.lexsort((rank[b], -c, a == b, a))  # a document's pivots, best first; its own row last
-            place = np.arange(len(a)) - np.repeat(*((x := np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])), np.diff(np.r_[x, len(a)])))
-            order = order[(place < PIVOTS) | (a == b)[order]]
-            a, b, c = a[order], b[order], c[order]
+        order = np.lexsort((rank[b], -c, a == b, a))  # a document's pivots, best first; its own row last
+        place = np.arange(len(a)) - np.repeat(*((x := np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])), np.diff(np.r_[x, len(a)])))
+        order = order[(place < PIVOTS) | (a == b)[order]]
+        a, b, c = a[order], b[order], c[order]
         give_back()
         return pa.table({"a": sid[a], "b": sid[b], "na": n[a], "nb": np.where(a == b, lists[a], n[b]), "overlap": c})
 
     return run
 
 
+def _frequencies(buckets: int):
+    """Of a fragment's entries that a document of another component has: how many documents have them; documents dealt to buckets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sid, n, label, _, shared, owner, s = _fragment(t)
+        order = np.argsort(s, kind="stable")
+        s, owner = s[order], owner[order]
+        at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        length = np.diff(np.r_[at, len(s)])
+        keep, mixed = _of_several(label[owner], at, length)
+        s, owner, at, length = s[keep], owner[keep], np.r_[0, np.cumsum(length[mixed])][:-1].astype(np.int64), length[mixed]
+        df = np.repeat(length, length).astype(np.int64)
+        keep = _useful(n, label, shared, owner, at, length)
+        s, owner, df = s[keep], owner[keep], df[keep]
+        bucket = (mix(sid.view(_U)) % _U(buckets)).astype(np.int64)
+        out = _cut(bucket[owner], owner, "bucket", {"sids": sid, "ns": n, "labels": label}, {"s": s, "df": df})
+        give_back()
+        return pa.Table.from_batches([out]) if out else _FREQUENCIES.empty_table()
+
+    return run
+
+
+_FREQUENCIES = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("sids", "ns", "labels", "counts", "s", "df"))])
+_PREFIXES = pa.schema([("frag", pa.int32()), *((c, pa.binary()) for c in ("sids", "ns", "labels", "counts", "s", "left"))])
+
+
+def _prefixes(fragments: int):
+    """The entries by which a bucket's documents are paired, the rarest that they share, and how many such entries there are from each on."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sids, ns, labels, counts, s, df = _joined(t, sids=np.int64, ns=np.int64, labels=np.int64, counts=np.int32, s=_U, df=np.int64)
+        sid, of_row, row = np.unique(sids, return_index=True, return_inverse=True)
+        n, label, owner = ns[of_row], labels[of_row], np.repeat(row, counts)
+        order = np.lexsort((s, df, owner))
+        s, owner = s[order], owner[order]
+        u = np.bincount(owner, minlength=len(sid))
+        left = np.repeat(np.cumsum(u), u) - np.arange(len(owner))
+        keep = left >= ((PERCENT * n + 99) // 100)[owner]
+        s, owner, left = s[keep], owner[keep], left[keep]
+        out = _cut(fragment_of(s, fragments), owner, "frag", {"sids": sid, "ns": n, "labels": label}, {"s": s, "left": left})
+        give_back()
+        return pa.Table.from_batches([out]) if out else _PREFIXES.empty_table()
+
+    return run
+
+
+def _candidates(t: pa.Table) -> pa.Table:
+    """Pairs (a, b) of different components that share one of these entries and could link by their sizes and what is left in either."""
+    sids, ns, labels, counts, s, left = _joined(t, sids=np.int64, ns=np.int64, labels=np.int64, counts=np.int32, s=_U, left=np.int64)
+    sid, of_row, row = np.unique(sids, return_index=True, return_inverse=True)
+    n, label, owner = ns[of_row], labels[of_row], np.repeat(row, counts)
+    order = np.lexsort((n[owner], s))  # smaller documents first: a partner of over 100 / PERCENT times the size ends a search
+    s, owner, left = s[order], owner[order], left[order]
+    end = np.searchsorted(s, s, "right")
+    m, keys, i, shift = len(sid), [np.zeros(0, np.int64)], np.arange(len(s)), 1
+    while len(i := i[end[i] - i > shift]):
+        a, b = owner[i], owner[i + shift]
+        near = 100 * n[a] >= PERCENT * n[b]
+        i, a, b = i[near], a[near], b[near]
+        ok = (label[a] != label[b]) & _enough(np.minimum(left[i], left[i + shift]), n[a], n[b])
+        keys.append(np.unique(np.maximum(a, b)[ok] * m + np.minimum(a, b)[ok]))
+        if sum(map(len, keys[1:])) > 1_000_000:
+            keys = [np.unique(np.concatenate(keys))]
+        shift += 1
+    k = np.unique(np.concatenate(keys))
+    give_back()
+    return pa.table({"a": sid[k // m], "b": sid[k % m]})
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those rows (a, b and their sets) that link."""
+    for batch in batches:
+        a, b, left, right = batch.columns
+        ok = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(left, right)):
+            x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+            ok[i] = _enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
+        yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], ["a", "b"])
+
+
 def jaccard_components(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
@@ -307,11 +415,11 @@ def jaccard_components(docs: DataFrame, carry: bool = False) -> DataFrame:
     links = None
     if size:
         fragments = max(least, size // FRAGMENT)
-        kept = docs.join(fit_for_broadcast(alive.select(F.col("rep").alias("uid"), "sid")), "uid").select("sid", "text").mapInArrow(_segments(fragments), "sid long, frag int, s binary")
-        # rows that are equal in id and text give the same segments
-        segments = store(kept.dropDuplicates(["sid", "frag"]), "segments")
-        links = store(links, "links") if (links := _links(segments, alive, fragments)) is not None else None
-        release(segments)
+        kept = docs.join(fit_for_broadcast(alive.select(F.col("rep").alias("uid"), "sid")), "uid").select("sid", "text").mapInArrow(_sets, "sid long, s binary")
+        # rows that are equal in id and text give the same set
+        sets = store(kept.dropDuplicates(["sid"]), "sets")
+        links = store(links, "links") if (links := _links(sets, alive, fragments, least)) is not None else None
+        release(sets)
     found = components(links) if links is not None else None
     classes_ = classes.select("sid", "least_id")
     if found is not None:
@@ -327,12 +435,17 @@ def jaccard_components(docs: DataFrame, carry: bool = False) -> DataFrame:
     return out.select("doc_id", "n_shingles", component, *(["uid", "label"] if carry else []))
 
 
-def _links(segments: DataFrame, alive: DataFrame, fragments: int) -> DataFrame | None:
+def _links(sets: DataFrame, alive: DataFrame, fragments: int, least: int) -> DataFrame | None:
     """Edges (a, b) between set digests that connect what links at that similarity connect, and nothing else."""
     active = alive.select("sid", "n", "weight", "shared", F.col("sid").alias("label"))
     links = None
+
+    def segments(fragments: int) -> DataFrame:
+        known = sets.join(fit_for_broadcast(active), "sid").select("sid", "n", "label", "weight", "shared", "s")
+        return known.mapInArrow(_segments(fragments), "frag int, sids binary, ns binary, labels binary, weights binary, shareds binary, counts binary, s binary")
+
     for round_ in range(STAR_ROUNDS):
-        counted = segments.join(fit_for_broadcast(active), "sid").groupBy("frag").applyInArrow(_partial_overlaps(False, round_), PARTIAL)
+        counted = segments(fragments).groupBy("frag").applyInArrow(_partial_overlaps(round_), PARTIAL)
         # own rows' nb are added up, links' are equal
         counted = store(counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.sum("nb").alias("lists"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap")), "overlaps")
         new = counted.where(f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)")
@@ -353,12 +466,15 @@ def _links(segments: DataFrame, alive: DataFrame, fragments: int) -> DataFrame |
             return links
         if not any_new and round_:  # another pivot round would find nothing
             break
-    # what is left, pair by pair, in as few fragments as its size allows: the fewer, the more pairs each of them can rule out
-    few = min(fragments, max(LEAST_FRAGMENTS, (active.agg(F.sum("n")).first()[0] or 0) // FRAGMENT))
-    group = F.floor(F.col("frag") * few / fragments).alias("group")
-    counted = segments.join(fit_for_broadcast(active), "sid").groupBy(group).applyInArrow(_partial_overlaps(True), PARTIAL)
-    counted = counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap"))
-    new = store(counted.where(f"100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b"), "links")
+    # what is left, by its rarest shingles
+    few = max(least, (active.agg(F.sum("n")).first()[0] or 0) // FRAGMENT)
+    shared = segments(few).groupBy("frag").applyInArrow(_frequencies(few), f"bucket int, {ENTRIES}, df binary")
+    first = shared.groupBy("bucket").applyInArrow(_prefixes(few), f"frag int, {ENTRIES}, left binary")
+    pairs = store(first.groupBy("frag").applyInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    rest = sets.join(fit_for_broadcast(active.select("sid")), "sid")
+    of = lambda c: rest.select(F.col("sid").alias(c), F.col("s").alias(f"s{c}"))
+    new = store(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long"), "links")
+    release(pairs)
     of_label = lambda c: active.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}"))
     # edges between components, each once
     new = new.join(of_label("a"), "a").join(of_label("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()

@@ -3,6 +3,8 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from chronofeat.llm import jaccard_join
@@ -62,3 +64,36 @@ def test_groups_of_copies_that_nearly_link(spark, fragment, monkeypatch):
             rows.append(changed(rng, base, int(rng.integers(0, 5))) + (" " + prose(rng, int(rng.integers(0, 12))) if k % 3 == 0 else ""))
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(rows)), rows)]
     assert run(spark, rows) == components_by_force(rows)
+
+
+def passages(rng, documents):
+    """Documents of passages that many share, a few of which link; all begin with one passage, as with a notice."""
+    known = [prose(rng, 30) for _ in range(60)]
+    texts = [" ".join([known[0], *(known[i] for i in rng.choice(np.arange(1, 60), 9, replace=False))]) for _ in range(documents)]
+    return texts + [changed(rng, t, 2) for t in texts[:10]]
+
+
+def test_the_last_step_alone(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 0)
+    rng = np.random.default_rng(3)
+    base = prose(rng, 150)
+    texts = passages(rng, 60) + [changed(rng, base, int(rng.integers(0, 8))) for _ in range(30)] + [prose(rng, 100) for _ in range(5)]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+    assert run(spark, rows) == components_by_force(rows)
+
+
+def test_a_passage_of_all_documents_gives_no_pairs():
+    rng = np.random.default_rng(4)
+    s, ends = jaccard_join.shingle_sets(pa.array(passages(rng, 300)))
+    sets = [s[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)]
+    shared = [int(sum(np.isin(x, np.concatenate(sets[:i] + sets[i + 1 :])))) for i, x in enumerate(sets)]
+    rows = pa.RecordBatch.from_pylist([{"sid": i, "n": len(x), "label": i, "weight": 0, "shared": shared[i], "s": x.tobytes()} for i, x in enumerate(sets)])
+    tables = list(jaccard_join._segments(3)([rows]))
+    joined = lambda parts, name: [t.filter(pc.equal(t[name], k)) for t in [pa.concat_tables(parts)] for k in t[name].unique()]
+    found = pa.concat_tables(map(jaccard_join._frequencies(4), joined([pa.Table.from_batches(tables)], "frag")))
+    first = pa.concat_tables(map(jaccard_join._prefixes(3), joined([found], "bucket")))
+    pairs = {tuple(sorted(p.values())) for t in joined([first], "frag") for p in jaccard_join._candidates(t).to_pylist()}
+    overlap = lambda a, b: len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+    links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * overlap(a, b) >= 80 * (len(sets[a]) + len(sets[b]) - overlap(a, b))}
+    assert len(links) >= 10 and links <= pairs
+    assert len(pairs) < 0.25 * len(sets) * (len(sets) - 1) / 2  # all of them share the first passage
