@@ -97,3 +97,27 @@ def test_a_passage_of_all_documents_gives_no_pairs():
     links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * overlap(a, b) >= 80 * (len(sets[a]) + len(sets[b]) - overlap(a, b))}
     assert len(links) >= 10 and links <= pairs
     assert len(pairs) < 0.25 * len(sets) * (len(sets) - 1) / 2  # all of them share the first passage
+
+
+def test_own_shingles_count_a_set_once_that_comes_from_several_tasks():
+    rng = np.random.default_rng(5)
+    shared = prose(rng, 30)
+    s, ends = jaccard_join.shingle_sets(pa.array([f"{shared} {prose(rng, 20)}", f"{shared} {prose(rng, 40)}", prose(rng, 25)]))
+    rows = [{"sid": i, "n": int(b - a), "head": s[a:b].tobytes()} for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends))]
+    tasks = [pa.RecordBatch.from_pylist(part) for part in (rows, rows[1:], rows[:2])]
+    found = jaccard_join._own_shingles(pa.Table.from_batches([out for t in tasks for out in jaccard_join._head_segments(1)([t])]))
+    sets = [set(s[a:b].tolist()) for a, b in zip(np.r_[0, ends[:-1]], ends)]
+    df = {x: sum(x in y for y in sets) for y in sets for x in y}
+    assert found.to_pylist() == [{"sid": i, "n": len(x), "single": sum(df[y] == 1 for y in x), "weight": sum(df[y] for y in x)} for i, x in enumerate(sets)]
+
+
+def test_shingle_sets_are_sorted_and_distinct_text_by_text():
+    rng = np.random.default_rng(6)
+    known = [prose(rng, 6) for _ in range(4)]
+    texts = [None, "", "one two", *(" ".join(rng.choice(known, 30)) for _ in range(50)), "", prose(rng, 5)]
+    s, ends = jaccard_join.shingle_sets(pa.array(texts))
+    for text, a, b in zip(texts, np.r_[0, ends[:-1]], ends):
+        words = (text or "").lower().split()
+        expected = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        own = s[a:b]
+        assert len(own) == len(expected) and (own[1:] > own[:-1]).all()
