@@ -23,7 +23,8 @@ Exact reductions keep that near linear:
   frequent shingles give no pairs, and the pairs are compared by their whole sets.
 
 Documents pass from task to task as whole sets, and are cut into fragments many at a time: a row holds what a few thousand
-documents have in a fragment, so that rows don't grow with documents times fragments.
+documents have in a fragment, so that rows don't grow with documents times fragments. What a fragment counts goes on in the same way,
+to be added up for a bucket of documents; of the head only what is shared, as the rest is the document's own.
 
 Results for unusual input: null, empty or blank text: no shingles, linked with nothing; fewer than five
 words: the whole sequence is one shingle; very long texts: whole; repeated rows: each row is returned; rows of one
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofeat.llm._common import chunks, components, documents, fit_for_broadcast, give_back, grouped_sum, mix, release, store, word_hashes
+from chronofeat.llm._common import BROADCAST_ROWS, chunks, components, documents, fit_for_broadcast, give_back, grouped_sum, mix, release, store, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Part of the global order that is counted for every document.
@@ -51,9 +52,14 @@ FRAGMENT, HEAD_FRAGMENT = 1_000_000, 2_000_000
 STAR_ROUNDS = 3
 #: Pivots of a list, and of a document, that a fragment reports in a pivot round.
 PIVOTS = 2
+#: Documents for which one task adds up what the fragments counted, about.
+BUCKET = 10_000
+#: Bits of a document in a bitmap, at least, and how many of them it sets.
+BITS, SET = 16, 3
 
 _U = np.uint64
-PARTIAL = "a long, b long, na long, nb long, overlap long"
+SHARED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("sids", "shareds", "weights"))])
+PARTIAL = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "na", "nb", "overlap"))])
 ENTRIES = "sids binary, ns binary, labels binary, counts binary, s binary"
 
 
@@ -95,13 +101,14 @@ def set_digests(s: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id and uid of a row, number of shingles, digest of the set, and its head."""
+    """doc_id and uid of a row, number of shingles, digest of the set, how many shingles its head has, and the head."""
     bound = _U(int(HEAD * 2**64))
     for batch in chunks(batches):
         s, ends = shingle_sets(batch.column(2))
         starts = np.r_[0, ends[:-1]]
         heads = [s[a : a + np.searchsorted(s[a:b], bound)].tobytes() for a, b in zip(starts, ends)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ends - starts), pa.array(set_digests(s, ends)), pa.array(heads, pa.binary())], ["doc_id", "uid", "n", "sid", "head"])
+        own = [batch.column(0), batch.column(1), pa.array(ends - starts), pa.array(set_digests(s, ends)), pa.array([len(h) // 8 for h in heads], pa.int64()), pa.array(heads, pa.binary())]
+        yield pa.RecordBatch.from_arrays(own, ["doc_id", "uid", "n", "sid", "in_head", "head"])
 
 
 def fragment_of(s: np.ndarray, fragments: int) -> np.ndarray:
@@ -127,6 +134,16 @@ def _joined(t: pa.Table, **kinds: type) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()]) for name, kind in kinds.items()]
 
 
+def _dealt(key: np.ndarray, buckets: int, schema: pa.Schema, *columns: np.ndarray) -> pa.Table:
+    """Rows dealt by key: one row for each bucket with the bytes of its part of the columns."""
+    bucket = (mix(key.view(_U)) % _U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    parts = [[x[a:b].tobytes() for a, b in zip(at, np.r_[at[1:], len(bucket)])] for x in (c[order] for c in columns)]
+    return pa.Table.from_arrays([pa.array(bucket[at], pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], schema=schema)
+
+
 def _head_segments(fragments: int):
     """Cuts heads into fragments: per batch and fragment one row with the documents, their sizes, counts and shingles."""
 
@@ -175,14 +192,89 @@ def _own_shingles(t: pa.Table) -> pa.Table:
     return pa.table({"sid": sid, "n": ns[index].astype(np.int64), "single": single.astype(np.int64), "weight": weight})
 
 
+def _shared_shingles(buckets: int):
+    """Of each document in a fragment that shares shingles there: how many, and the lengths of their lists; documents dealt to buckets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        own = _own_shingles(t)
+        sid, single, weight = (own[c].to_numpy() for c in ("sid", "single", "weight"))
+        sids, counts = _joined(t, sids=np.int64, counts=np.int32)
+        shared = counts[np.unique(sids, return_index=True)[1]] - single
+        some = shared > 0
+        return _dealt(sid[some], buckets, SHARED, sid[some], shared[some].astype(np.int32), (weight - single)[some])
+
+    return run
+
+
+def _shared_in_all(t: pa.Table) -> pa.Table:
+    """What a bucket's documents share in all fragments."""
+    sids, shareds, weights = _joined(t, sids=np.int64, shareds=np.int32, weights=np.int64)
+    sid, shared, weight = grouped_sum(sids, shareds.astype(np.int64), weights)
+    return pa.table({"sid": sid, "common": shared, "weight": weight})
+
+
+def _places(uid: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The SET bits that a document sets in a bitmap of `bits` bits, a power of two."""
+    h, out = uid.view(_U), []
+    for _ in range(SET):
+        h = mix(h + _U(0x9E3779B97F4A7C15))
+        out.append((h & _U(bits - 1)).astype(np.int64))
+    return out
+
+
+def bitmap(uids: DataFrame, count: int) -> np.ndarray:
+    """A bitmap (as bytes) of count documents (uid), made on the executors; holds them all, and of others at most one in a hundred."""
+    bits, part = 1 << max(16, (BITS * count - 1).bit_length()), 1 << 16
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False), bits)))
+            cuts = np.flatnonzero(np.r_[True, np.diff(at // part) > 0]) if len(at) else np.zeros(0, np.int64)
+            rows = [(at[a:b] % part).astype("<u2").tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(at)])]
+            yield pa.RecordBatch.from_arrays([pa.array((at[cuts] // part).astype(np.int32)), pa.array(rows, pa.binary())], ["part", "at"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        on = np.zeros(part, bool)
+        for x in t["at"].to_pylist():
+            on[np.frombuffer(x, "<u2")] = True
+        return pa.table({"part": t["part"][:1], "bits": [np.packbits(on).tobytes()]})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in uids.mapInArrow(places, "part int, at binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect():
+        out[r.part * part // 8 : (r.part + 1) * part // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def held(bits: np.ndarray, uid: np.ndarray) -> np.ndarray:
+    """Whether a bitmap holds documents."""
+    ok = np.ones(len(uid), bool)
+    for at in _places(uid, 8 * len(bits)):
+        ok &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return ok
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All shingles of the remaining documents."""
+    """Digest and all shingles of the texts."""
     for batch in chunks(batches):
-        s, ends = shingle_sets(batch.column(1))
-        rows = zip(batch.column(0).to_pylist(), set_digests(s, ends).tolist(), np.r_[0, ends[:-1]], ends)
-        out = [(sid, s[a:b].tobytes()) for sid, digest, a, b in rows if digest == sid]  # not another text with this uid
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["sid", "s"])
+        s, ends = shingle_sets(batch.column(0))
+        sets = [s[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends)]
+        yield pa.RecordBatch.from_arrays([pa.array(set_digests(s, ends)), pa.array(sets, pa.binary())], ["sid", "s"])
+
+
+def _texts(docs: DataFrame, uids: DataFrame, count: int) -> DataFrame:
+    """The texts of docs (doc_id, uid, text) whose uid is in uids (count rows), if these are too many for a broadcast with a few others.
+
+    Texts are not shuffled for this.
+    """
+    if count <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(uids), "uid", "left_semi").select("text")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(uids, count))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(held(shared.value, batch.column(0).to_numpy(zero_copy_only=False))))], ["text"])
+
+    return docs.select("uid", "text").mapInArrow(some, "text string")
 
 
 def _segments(fragments: int):
@@ -255,8 +347,8 @@ def _useful(n: np.ndarray, label: np.ndarray, shared: np.ndarray, owner: np.ndar
     return (_most_of_others(most[owner], lab, which, at) >= size) & (-_most_of_others(-size.astype(np.float64), lab, which, at) <= most[owner])
 
 
-def _partial_overlaps(round_: int):
-    """Partial overlaps of one fragment: of each document with the pivots it meets most.
+def _partial_overlaps(round_: int, buckets: int):
+    """Partial overlaps of one fragment: of each document with the pivots it meets most; documents dealt to buckets.
 
     Rows are (document a, pivot b, sizes, overlap), b before a in an order that all fragments share; rows with b = a
     hold in place of b's size the lengths of a's lists together, and as overlap the number of a's shingles that a document
@@ -302,14 +394,27 @@ def _partial_overlaps(round_: int):
         a, b = k // m, k % m
         order = np.lexsort((rank[b], -c, a == b, a))  # a document's pivots, best first; its own row last
         place = np.arange(len(a)) - np.repeat(*((x := np.flatnonzero(np.r_[True, np.diff(a[order]) > 0])), np.diff(np.r_[x, len(a)])))
-        order = order[(place < PIVOTS) | (a == b)[order]]
+        order = order[((place < PIVOTS) | (a == b)[order]) & (c[order] > 0)]
         a, b, c = a[order], b[order], c[order]
         give_back()
-        return pa.table({"a": sid[a], "b": sid[b], "na": n[a], "nb": np.where(a == b, lists[a], n[b]), "overlap": c})
+        return _dealt(sid[a], buckets, PARTIAL, sid[a], sid[b], n[a].astype(np.int32), np.where(a == b, lists[a], n[b]), c.astype(np.int32))
 
     return run
 
 
+def _overlaps(t: pa.Table) -> pa.Table:
+    """What the fragments counted for a bucket's documents, added up: the links, and of each document that can still link its own row."""
+    a, b, na, nb, c = _joined(t, a=np.int64, b=np.int64, na=np.int32, nb=np.int64, overlap=np.int32)
+    order = np.lexsort((b, a))
+    a, b, na, nb, c = a[order], b[order], na[order].astype(np.int64), nb[order], c[order]
+    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    a, b, na, first, lists, c = a[at], b[at], na[at], nb[at], np.add.reduceat(nb, at), np.add.reduceat(c.astype(np.int64), at)
+    keep = np.where(a == b, 100 * c >= PERCENT * na, _enough(c, na, first))
+    out = pa.table({"a": a[keep], "b": b[keep], "na": na[keep], "lists": lists[keep], "overlap": c[keep]})
+    give_back()
+    return out
+
+
 def _frequencies(buckets: int):
     """Of a fragment's entries that a document of another component has: how many documents have them; documents dealt to buckets."""
 
@@ -398,27 +503,28 @@ def jaccard_components(docs: DataFrame, carry: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = documents(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    profile = store(docs.mapInArrow(_profile, "doc_id long, uid long, n long, sid long, head binary"), "profile")
-    total = profile.agg(F.sum("n")).first()[0] or 0
-    least = 2 * spark.sparkContext.defaultParallelism
+    profile = store(docs.mapInArrow(_profile, "doc_id long, uid long, n long, sid long, in_head long, head binary"), "profile")
+    rows, total = profile.agg(F.count("n"), F.sum("n")).first()
+    total, least = total or 0, 2 * spark.sparkContext.defaultParallelism
 
     # the head of the order, cut so that the head itself gives that many fragments
     wanted = max(least, int(total * HEAD) // HEAD_FRAGMENT)
     cut = profile.where("n > 0").select("sid", "n", "head").mapInArrow(_head_segments(int(wanted / HEAD) + 1), "frag int, sids binary, ns binary, counts binary, s binary")
-    heads = cut.groupBy("frag").applyInArrow(_own_shingles, "sid long, n long, single long, weight long")
-    stats = store(heads.groupBy("sid").agg(F.max("n").alias("n"), F.sum("single").alias("single"), F.sum("weight").alias("weight")), "stats")
-    members = profile.where("n > 0").groupBy("sid").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"))
-    classes = store(members.join(stats.select("sid", "single", "weight"), "sid", "left").fillna(0, ["single", "weight"]), "classes")
-    alive = classes.where(f"100 * (n - single) >= {PERCENT} * n")
-    alive = store(alive.select("sid", "rep", "n", (F.col("n") - F.col("single")).alias("shared"), (F.col("weight") * 1024 / F.col("n")).cast("long").alias("weight")), "alive")
-    size = alive.agg(F.sum("n")).first()[0] or 0
+    heads = cut.groupBy("frag").applyInArrow(_shared_shingles(max(least, rows // BUCKET)), "bucket int, sids binary, shareds binary, weights binary")
+    stats = store(heads.groupBy("bucket").applyInArrow(_shared_in_all, "sid long, common long, weight long"), "stats")
+    members = profile.where("n > 0").groupBy("sid").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.max("in_head").alias("in_head"))
+    classes = store(members.join(stats, "sid", "left").fillna(0, ["common", "weight"]), "classes")
+    single = F.col("in_head") - F.col("common")
+    alive = classes.where(100 * (F.col("n") - single) >= PERCENT * F.col("n"))
+    alive = store(alive.select("sid", "rep", "n", (F.col("n") - single).alias("shared"), ((F.col("weight") + single) * 1024 / F.col("n")).cast("long").alias("weight")), "alive")
+    left, size = alive.agg(F.count("n"), F.sum("n")).first()
     links = None
     if size:
         fragments = max(least, size // FRAGMENT)
-        kept = docs.join(fit_for_broadcast(alive.select(F.col("rep").alias("uid"), "sid")), "uid").select("sid", "text").mapInArrow(_sets, "sid long, s binary")
+        kept = _texts(docs, alive.select(F.col("rep").alias("uid")), left).mapInArrow(_sets, "sid long, s binary")
         # rows that are equal in id and text give the same set
-        sets = store(kept.dropDuplicates(["sid"]), "sets")
-        links = store(links, "links") if (links := _links(sets, alive, fragments, least)) is not None else None
+        sets = store(kept.dropDuplicates(["sid"]).join(fit_for_broadcast(alive.drop("rep")), "sid"), "sets")
+        links = store(links, "links") if (links := _links(sets, fragments, max(least, left // BUCKET), least)) is not None else None
         release(sets)
     found = components(links) if links is not None else None
     classes_ = classes.select("sid", "least_id")
@@ -435,25 +541,26 @@ def jaccard_components(docs: DataFrame, carry: bool = False) -> DataFrame:
     return out.select("doc_id", "n_shingles", component, *(["uid", "label"] if carry else []))
 
 
-def _links(sets: DataFrame, alive: DataFrame, fragments: int, least: int) -> DataFrame | None:
+def _links(sets: DataFrame, fragments: int, buckets: int, least: int) -> DataFrame | None:
     """Edges (a, b) between set digests that connect what links at that similarity connect, and nothing else."""
-    active = alive.select("sid", "n", "weight", "shared", F.col("sid").alias("label"))
-    links = None
+    every, sets = sets.withColumn("label", F.col("sid")), sets.select("sid", "s")
+    active, links = every.drop("s"), None
 
     def segments(fragments: int) -> DataFrame:
-        known = sets.join(fit_for_broadcast(active), "sid").select("sid", "n", "label", "weight", "shared", "s")
+        known = every if round_ == 0 else sets.join(fit_for_broadcast(active), "sid")
+        known = known.select("sid", "n", "label", "weight", "shared", "s")
         return known.mapInArrow(_segments(fragments), "frag int, sids binary, ns binary, labels binary, weights binary, shareds binary, counts binary, s binary")
 
-    for round_ in range(STAR_ROUNDS):
-        counted = segments(fragments).groupBy("frag").applyInArrow(_partial_overlaps(round_), PARTIAL)
-        # own rows' nb are added up, links' are equal
-        counted = store(counted.groupBy("a", "b").agg(F.max("na").alias("na"), F.sum("nb").alias("lists"), F.max("nb").alias("nb"), F.sum("overlap").alias("overlap")), "overlaps")
-        new = counted.where(f"a <> b and 100 * overlap >= {PERCENT} * (na + nb - overlap)")
+    round_ = 0
+    while round_ < STAR_ROUNDS:
+        counted = segments(fragments).groupBy("frag").applyInArrow(_partial_overlaps(round_, buckets), "bucket int, a binary, b binary, na binary, nb binary, overlap binary")
+        counted = store(counted.groupBy("bucket").applyInArrow(_overlaps, "a long, b long, na long, lists long, overlap long"), "overlaps")
+        new = counted.where("a <> b")
         # two links of a document go on; what the others would connect is compared again
         best = new.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("most"), F.min("b").alias("least"))
         new = store(best.select("a", F.explode(F.array_distinct(F.array("most.b", "least"))).alias("b")), "links")
         any_new = bool(new.take(1))
-        near = counted.where(f"a = b and 100 * overlap >= {PERCENT} * na").select(F.col("a").alias("sid"), F.col("na").alias("n"), F.col("overlap").alias("shared"), (F.col("lists") * 16 / F.col("na")).cast("long").alias("weight"))
+        near = counted.where("a = b").select(F.col("a").alias("sid"), F.col("na").alias("n"), F.col("overlap").alias("shared"), (F.col("lists") * 16 / F.col("na")).cast("long").alias("weight"))
         if any_new:
             labels = components(new if links is None else links.union(new)).withColumnRenamed("node", "sid")
             links = labels.select(F.col("sid").alias("a"), F.col("label").alias("b"))  # the same components in fewest edges
@@ -466,6 +573,7 @@ def _links(sets: DataFrame, alive: DataFrame, fragments: int, least: int) -> Dat
             return links
         if not any_new and round_:  # another pivot round would find nothing
             break
+        round_ += 1
     # what is left, by its rarest shingles
     few = max(least, (active.agg(F.sum("n")).first()[0] or 0) // FRAGMENT)
     shared = segments(few).groupBy("frag").applyInArrow(_frequencies(few), f"bucket int, {ENTRIES}, df binary")

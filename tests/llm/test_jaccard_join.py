@@ -121,3 +121,44 @@ def test_shingle_sets_are_sorted_and_distinct_text_by_text():
         expected = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
         own = s[a:b]
         assert len(own) == len(expected) and (own[1:] > own[:-1]).all()
+
+
+def test_what_fragments_count_is_added_up_in_buckets():
+    """A fragment hands on one row a bucket, whatever its documents, and nothing of documents that share nothing there."""
+    rng = np.random.default_rng(7)
+    known = [prose(rng, 30) for _ in range(10)]
+    texts = [" ".join([*rng.choice(known, 3, replace=False), prose(rng, 20)]) for _ in range(100)] + [prose(rng, 60) for _ in range(100)]
+    s, ends = jaccard_join.shingle_sets(pa.array(texts))
+    sets = [s[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)]
+    tasks = list(jaccard_join._head_segments(7)([pa.RecordBatch.from_pylist([{"sid": i, "n": len(x), "head": x.tobytes()} for i, x in enumerate(sets)])]))
+    parts = [t.filter(pc.equal(t["frag"], k)) for t in [pa.Table.from_batches(tasks)] for k in t["frag"].unique()]
+    counted = [jaccard_join._shared_shingles(3)(t) for t in parts]
+    assert len(counted) == 7 and all(len(t) <= 3 for t in counted)
+    counted = pa.concat_tables(counted)
+    found = pa.concat_tables([jaccard_join._shared_in_all(counted.filter(pc.equal(counted["bucket"], k))) for k in counted["bucket"].unique()])
+    df = Counter(x for y in sets for x in y.tolist())
+    expected = {i: (sum(df[x] > 1 for x in y.tolist()), sum(df[x] for x in y.tolist() if df[x] > 1)) for i, y in enumerate(sets)}
+    assert {r["sid"]: (r["common"], r["weight"]) for r in found.to_pylist()} == {i: v for i, v in expected.items() if v[0]}
+
+
+@pytest.mark.parametrize("most", [0, 400_000])
+def test_texts_are_not_shuffled_however_many_are_compared(spark, monkeypatch, capsys, most):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
+    docs = spark.range(5000).selectExpr("id AS doc_id", "id * 7919 AS uid", "concat('text ', id) AS text")
+    some = docs.where("doc_id % 5 = 0").select("uid")
+    kept = jaccard_join._texts(docs, some, 1000)
+    found = Counter(r.text for r in kept.collect())
+    assert max(found.values()) == 1 and {f"text {i}" for i in range(0, 5000, 5)} <= set(found) and len(found) <= 1040
+    kept.explain()
+    assert "hashpartitioning" not in capsys.readouterr().out
+
+
+def test_join_equals_brute_force_by_a_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 20)
+    monkeypatch.setattr(jaccard_join, "FRAGMENT", 500)
+    rng = np.random.default_rng(8)
+    bases = [prose(rng, 60) for _ in range(12)]
+    texts = [changed(rng, bases[i % 12], int(rng.integers(0, 4))) for i in range(150)] + [prose(rng, 40) for _ in range(50)] + ["", "one two"]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+    assert run(spark, rows) == components_by_force(rows)
