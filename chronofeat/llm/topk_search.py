@@ -2,13 +2,14 @@
 
 A component of a vector is a term, and a term's postings are the values of a shard's vectors there. As vectors are
 dense, nearly every vector is in every posting list: lists are kept as the columns of a matrix, without ids, and
-traversed STRIDE vectors at a time, where each list has its largest and smallest value. For a
-query, a list can add at most (query value x extreme value). Lists are put in order of that bound. Those
-whose bounds together stay below the k-th best score so far are non-essential: a vector whose sum over the
-others, the essential lists, leaves more to reach than that can't get in. Essential lists are traversed for all vectors, sums kept; the
-remaining lists are probed for the
-vectors that can still reach the k-th best score, which is checked again after every few lists. Shards are
-searched apart and their best k merged.
+traversed STRIDE vectors at a time for a block of queries at once, where each list has its largest and smallest value. For a
+query, a list can add at most (query value x extreme value). Lists are put in order of that bound, summed over the block's queries. For
+a query, those whose bounds together stay below its k-th best score so far are non-essential: a vector whose sum over the
+others, the essential lists, leaves more to reach than that can't get in. The lists that are essential for any query of
+the block are traversed for all vectors, as one product of matrices; the remaining lists are probed for the
+pairs of query and vector that can still reach the query's k-th best score, which is checked again after every few lists. Shards are
+searched apart and their best k merged. All pairs of a query and a vector are bounded or scored, so the work grows with the
+square of the rows; vectors travel in the smallest integers that hold them.
 
 Query blocks meet each shard as one row, so a task holds one shard and one block. Results for unusual input:
 vectors that are null, empty, or hold null or non-finite components take no part; vectors of different lengths are
@@ -29,43 +30,64 @@ from pyspark.sql import functions as F
 
 from chronofeat.llm._common import fit_for_broadcast, store
 
-SHARD, BLOCK = 8192, 512
-#: Vectors scored in one go; the k-th best score is brought up to date in between.
+SHARD, BLOCK = 8192, 1024
+#: Vectors scored in one go; the k-th best scores are brought up to date in between.
 STRIDE = 2048
 
 
-def maxscore(shard: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a shard for one query: scores descending, ids ascending among equals."""
-    top_s, top_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    largest = len(q) * int(np.abs(shard).max(initial=0)) * int(np.abs(q).max(initial=0))
+def best_of(row: np.ndarray, s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (row, score, id) of each row: rows ascending, scores descending, ids ascending among equals."""
+    order = np.lexsort((i, -s, row))
+    row, s, i = row[order], s[order], i[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], s[keep], i[keep]
+
+
+def maxscore(shard: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a shard for each query, as (place of the query, score, id), best first."""
+    largest = shard.shape[1] * int(np.abs(shard).max(initial=0)) * int(np.abs(queries).max(initial=0))
     kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64  # sums stay exact
+    fast, none = queries.astype(kind), np.iinfo(np.int64).min
+    top = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    theta = np.full(len(queries), none)
     for at in range(0, len(ids), STRIDE):
         v, vid = shard[at : at + STRIDE], ids[at : at + STRIDE]
-        most = np.maximum(0, np.maximum(q * v.max(0), q * v.min(0)))  # bound of a term's positive contribution
-        terms = np.argsort(-most, kind="stable")
-        rest = np.r_[np.cumsum(most[terms][::-1])[::-1], 0]  # bound of a term and all after it
-        theta = top_s[-1] if len(top_s) == k else None
-        essential = len(terms) if theta is None else max(1, int(np.searchsorted(-rest, -theta, "left")))
-        first = terms[:essential]
-        score = v[:, first].astype(kind) @ q[first].astype(kind)
-        alive = np.flatnonzero(vid != qid)
-        if theta is not None:
-            # a vector in no essential list has no positive contribution there
-            alive = alive[score[alive] + rest[essential] >= theta]
-        done = essential
-        while done < len(terms) and len(alive):
+        most = np.maximum(0, np.maximum(queries * v.max(0), queries * v.min(0)))  # bound of a term's positive contribution
+        terms = np.argsort(-most.sum(0, dtype=np.float64), kind="stable")
+        rest = np.zeros((len(queries), len(terms) + 1), np.int64)  # bound of a term and all after it
+        rest[:, :-1] = np.cumsum(most[:, terms][:, ::-1], axis=1)[:, ::-1]
+        # a vector in no essential list has no positive contribution there
+        essential = max(1, int((rest >= theta[:, None]).sum(1).max(initial=0)))
+        essential = min(essential, len(terms))
+        fast_v = v.astype(kind)
+        score = fast[:, terms[:essential]] @ fast_v[:, terms[:essential]].T
+        alive = vid != query_ids[:, None]
+        known = theta > none
+        if known.any():
+            alive &= (score >= (theta - rest[:, essential]).astype(np.int64)[:, None]) | ~known[:, None]
+        if not known.all() and len(vid) > k and essential == len(terms):
+            # the k-th best of a query's others, as one that isn't among them may be its own row
+            own = np.where(alive, score, kind(-largest - 1) if kind is not np.int64 else none)
+            alive &= score >= np.partition(own, len(vid) - k, axis=1)[:, len(vid) - k][:, None]
+        row, column = np.nonzero(alive)
+        found, done = score[row, column], essential
+        while done < len(terms) and len(row):
             some = terms[done : done + 8]
-            score[alive] += v[np.ix_(alive, some)].astype(kind) @ q[some].astype(kind)
+            found = found + (fast[:, some][row] * fast_v[:, some][column]).sum(1, dtype=kind)
             done += len(some)
-            alive = alive[score[alive] + rest[done] >= theta]
-        s, i = np.r_[top_s, score[alive].astype(np.int64)], np.r_[top_i, vid[alive]]
-        if len(s) > k:
-            cut = np.partition(-s, k - 1)[k - 1]
-            keep = -s <= cut
-            s, i = s[keep], i[keep]
-        order = np.lexsort((i, -s))[:k]
-        top_s, top_i = s[order], i[order]
-    return top_s, top_i
+            keep = found >= np.where(known[row], theta[row] - rest[row, done], none)
+            row, column, found = row[keep], column[keep], found[keep]
+        top = best_of(np.r_[top[0], row], np.r_[top[1], found.astype(np.int64)], np.r_[top[2], vid[column]], k)
+        last = np.flatnonzero(np.r_[top[0][1:] != top[0][:-1], True]) if len(top[0]) else np.zeros(0, np.int64)
+        full = last[np.diff(np.r_[-1, last]) == k]
+        theta[top[0][full]] = top[1][full]
+    return top
+
+
+def smallest(m: np.ndarray) -> np.ndarray:
+    """m in the smallest integers that hold it."""
+    low, high = int(m.min(initial=0)), int(m.max(initial=0))
+    return m.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
 def quantise(vectors: DataFrame, scale: int, column: str) -> DataFrame:
@@ -87,7 +109,7 @@ def topk(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, colu
     def pack(t: pa.Table) -> pa.Table:
         order = np.argsort(t["vec_id"].to_numpy(), kind="stable")
         m = np.array(t["q"].combine_chunks().flatten()).reshape(len(order), -1)[order]
-        return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1], "ids": [t["vec_id"].to_numpy()[order].tobytes()], "vectors": [m.tobytes()]})
+        return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1], "ids": [t["vec_id"].to_numpy()[order].tobytes()], "vectors": [smallest(m).tobytes()]})
 
     def packed(df: DataFrame, count: str) -> DataFrame:
         dealt = df.join(few, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "q"), F.col(count)).cast("int"))
@@ -100,16 +122,16 @@ def topk(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20, colu
     tasks = 2 * spark.sparkContext.defaultParallelism
     shards = sizes.agg(F.sum("shards")).first()[0] or 1
 
+    def unpack(data: pa.BinaryScalar, rows: int, dim: int) -> np.ndarray:
+        raw = np.frombuffer(data.as_buffer(), np.uint8)
+        return raw.view(f"i{len(raw) // (rows * dim)}").reshape(rows, dim).astype(np.int64)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, ids, vectors_, query_ids, queries_ in zip(*(c for c in batch.columns)):
-                ids, m = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(vectors_.as_py(), np.int64).reshape(-1, dim.as_py())
-                qs = np.frombuffer(queries_.as_py(), np.int64).reshape(-1, dim.as_py())
-                out = [(qid, *maxscore(m, ids, q, qid, k)) for qid, q in zip(np.frombuffer(query_ids.as_py(), np.int64), qs)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([x[0] for x in out], [len(x[1]) for x in out])), pa.array(np.concatenate([x[2] for x in out])), pa.array(np.concatenate([x[1] for x in out]))],
-                    ["query_id", "vec_id", "score"],
-                )
+                ids, query_ids = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(query_ids.as_py(), np.int64)
+                row, score, vec_id = maxscore(unpack(vectors_, len(ids), dim.as_py()), ids, unpack(queries_, len(query_ids), dim.as_py()), query_ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(vec_id), pa.array(score)], ["query_id", "vec_id", "score"])
 
     found = pairs.repartition(max(shards, tasks)).mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

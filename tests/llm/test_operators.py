@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronofeat.llm import decontamination, packing, suffix_dedup
+from chronofeat.llm import decontamination, packing, suffix_dedup, topk_search
 from chronofeat.llm.queries import LLM_QUERIES, LLM_SQL
 from chronofeat.llm.tokenization import path_of
 from chronofeat.llm.topk_search import topk
@@ -279,6 +279,21 @@ def test_top_k_equals_brute_force_with_ties(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("stride", [7, 64, 2048])
+@pytest.mark.parametrize("largest", [2, 100, 10**5, 10**9])
+def test_a_block_of_queries_finds_what_brute_force_finds(monkeypatch, stride, largest):
+    """Sums in float32, float64 and integers; equal ids and scores; terms of all sizes, so that few are essential."""
+    monkeypatch.setattr(topk_search, "STRIDE", stride)
+    rng = np.random.default_rng(stride + largest)
+    for skewed in (False, True):
+        m = (rng.integers(-largest, largest + 1, (300, 20)) * (rng.random(20) ** 8 if skewed else 1)).astype(np.int64)
+        ids, of = np.sort(rng.integers(0, 500, 300)), rng.integers(0, 300, 40)
+        row, score, vec_id = topk_search.maxscore(topk_search.smallest(m).astype(np.int64), ids, m[of], ids[of], 20)
+        for place, i in enumerate(of):
+            best = sorted((-int(s), int(j)) for s, j in zip(m @ m[i], ids) if j != ids[i])[:20]
+            assert [(-int(s), int(j)) for s, j in zip(score[row == place], vec_id[row == place])] == best
+
+
 def test_odd_vectors_take_no_part(spark, tables):
     out = LLM_QUERIES["op4_topk_search"](spark, f"{tables.root}/edge").collect()
     assert {r.vec_id for r in out} <= {0, 1, 20} and all(r.query_id != r.vec_id for r in out)
