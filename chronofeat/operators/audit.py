@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofeat.config import BANNED, SUSPICIOUS
+from chronofeat.operators.components import delete, store
 from chronofeat.operators.metrics import single_feature_ap
 from chronofeat.operators.past import ordered
 
+#: Rows of a task, where their windows make them wide.
+TASK_ROWS = 100_000
+
 
 class LeakageError(ValueError):
     """A feature knows what it must not."""
@@ -33,21 +37,45 @@ def first_row_null(df: DataFrame, key: str, features: list[str]) -> DataFrame:
     return _unpivot(first, features).groupBy("feature").agg(F.count("v").alias("n_filled"))
 
 
-def truncation_mismatches(build: Callable[[DataFrame], DataFrame], df: DataFrame, cutoff: str, features: list[str], atol: float = 1e-5, rtol: float = 1e-4) -> DataFrame:
-    """feature, n_mismatched: rows up to the cutoff whose value changes when later rows are taken away; all rows are compared."""
-    early = F.col("ts") <= F.lit(cutoff).cast("timestamp")
-    whole = build(df).where(early).select("txn_id", *features)
-    cut = build(df.where(early)).select("txn_id", *(F.col(f).alias(f"__{f}") for f in features))
+def _mismatches(whole: DataFrame, cut: DataFrame, features: list[str], atol: float, rtol: float) -> DataFrame:
+    """One row: for each feature the rows of both tables whose values differ."""
+    cut = cut.select("txn_id", *(F.col(f).alias(f"__{f}") for f in features))
 
     def differs(f: str) -> Column:
         a, b = F.col(f).cast("double"), F.col(f"__{f}").cast("double")
         far = F.abs(a - b) > atol + rtol * F.abs(b)
         return F.count_if((a.isNull() != b.isNull()) | F.coalesce(far, F.lit(False))).cast("long")
 
-    one = whole.join(cut, "txn_id").agg(*(differs(f).alias(f) for f in features))
+    return whole.select("txn_id", *features).join(cut, "txn_id").agg(*(differs(f).alias(f) for f in features))
+
+
+def truncation_mismatches(build: Callable[[DataFrame], DataFrame], df: DataFrame, cutoff: str, features: list[str], atol: float = 1e-5, rtol: float = 1e-4) -> DataFrame:
+    """feature, n_mismatched: rows up to the cutoff whose value changes when later rows are taken away; all rows are compared."""
+    early = F.col("ts") <= F.lit(cutoff).cast("timestamp")
+    one = _mismatches(build(df).where(early), build(df.where(early)), features, atol, rtol)
     return one.selectExpr(f"stack({len(features)}, " + ", ".join(f"'{f}', `{f}`" for f in features) + ") AS (feature, n_mismatched)")
 
 
+def truncation_mismatches_of_parts(parts: Callable[[DataFrame, int], Iterable[DataFrame]], df: DataFrame, cutoff: str, features: list[str], atol: float = 1e-5, rtol: float = 1e-4) -> DataFrame:
+    """The same for a matrix in parts: tables (txn_id, ts, some features), each compared alone, so no wide row is ever made.
+
+    parts(df, tasks): tasks in which no rows are many. The comparison runs here, part after part; the stream is stored once.
+    """
+    early = F.col("ts") <= F.lit(cutoff).cast("timestamp")
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    path, df = store(df.repartition(tasks))
+    counts = {}
+    for whole, cut in zip(parts(df, tasks), parts(df.where(early), tasks), strict=True):
+        here = [f for f in features if f in whole.columns and f not in counts]
+        if here:
+            counts |= _mismatches(whole.where(early), cut, here, atol, rtol).first().asDict()
+    delete(spark, path)
+    if lacking := [f for f in features if f not in counts]:
+        raise ValueError(f"in no part: {lacking}")
+    return spark.createDataFrame([(f, counts[f]) for f in features], "feature string, n_mismatched long")
+
+
 def boundary_continuity(df: DataFrame, features: list[str], train_end: str, test_start: str, days: int = 14, max_shift: float = 0.35, least: int = 100) -> DataFrame:
     """Shift of the medians across the train/test boundary in units of the pooled standard deviation."""
     end, start = F.lit(train_end).cast("timestamp"), F.lit(test_start).cast("timestamp")

@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame) -> tuple[str, DataFrame]:
+    """A folder that driver and executors share, and the rows as they are read from there."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
@@ -21,15 +22,26 @@ def _store(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/components-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def _store(df: DataFrame) -> DataFrame:
+    return store(df)[1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Nodes that a task knows at a time while it looks for cycles.
 KNOWN = 500_000
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) without those that close a cycle in their task: what is connected stays so.
+def forest(edges: DataFrame, by: str | None = None) -> DataFrame:
+    """Edges (u, v, ...) without those that close a cycle in their task: what is connected stays so.
+
+    by: a column; then what edges up to any value of it connect stays connected by those kept up to it.
 
     A task sees all edges of its v, so dense graphs lose nearly all edges in this one pass. When a task knows KNOWN nodes it
     forgets them and begins anew, which keeps more edges and loses no link.
@@ -53,12 +65,13 @@ def _forest(edges: DataFrame) -> DataFrame:
             if len(up) > KNOWN:
                 up.clear()
 
-    return edges.repartition("v").mapInArrow(run, edges.schema)
+    dealt = edges.repartition("v")
+    return (dealt.sortWithinPartitions(by) if by else dealt).mapInArrow(run, edges.schema)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node of the component; edges (a, b) of any one orderable type."""
-    e = _store(_forest(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")).distinct())
+    e = _store(forest(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")).distinct())
     last = None
     while True:
         both = e.union(e.select("v", "u"))

@@ -49,19 +49,45 @@ def sum_in_window(keys: tuple[str, ...], value: Column, seconds: int, whole: boo
     less = lambda x: n0(F.sum(x).over(now)) - n0(F.sum(x).over(gone))
     if whole:
         return less(value)
+    pieces, odd = _pieces(value)
+    return _total([less(x) for x in pieces], [F.max(x).over(now) for x in odd], seconds)
+
+
+#: Values whose sums are kept apart, in the order of _pieces.
+ODD = (float("inf"), -float("inf"), float("nan"))
+
+
+def _pieces(value: Column) -> tuple[list[Column], list[Column]]:
+    """Multiples of COARSE, ten-thousandths and the rest of a finite value; and the row's time where it is one of ODD."""
     value = value.cast("double")
     finite = F.when(~F.isnan(value) & (F.abs(value) < LARGEST), value)
     coarse = F.rint(finite / COARSE)
     fine = finite - coarse * COARSE
     units = F.rint(fine * UNITS)
-    total = less(coarse) * COARSE + (less(units) / UNITS + less(fine - units / UNITS))
-    for odd in (float("inf"), -float("inf"), float("nan")):
-        here = F.isnan(value) if odd != odd else (value >= LARGEST) & ~F.isnan(value) if odd > 0 else value <= -LARGEST
-        seen = F.max(F.when(here, F.col("ts_epoch"))).over(now) >= F.col("ts_epoch") - seconds
-        total = total + F.when(seen, F.lit(odd)).otherwise(0.0)
+    here = [F.isnan(value) if x != x else (value >= LARGEST) & ~F.isnan(value) if x > 0 else value <= -LARGEST for x in ODD]
+    return [coarse, units, fine - units / UNITS], [F.when(x, F.col("ts_epoch")) for x in here]
+
+
+def _total(pieces: list[Column], last: list[Column], seconds: int) -> Column:
+    coarse, units, rest = pieces
+    total = coarse * COARSE + (units / UNITS + rest)
+    for x, t in zip(ODD, last):
+        total = total + F.when(t >= F.col("ts_epoch") - seconds, F.lit(x)).otherwise(0.0)
     return total
 
 
+def sums_in_windows(df: DataFrame, keys: tuple[str, ...], value: Column, windows: dict[str, int]) -> DataFrame:
+    """Adds sum_in_window for each name and its seconds; what all windows share is summed once."""
+    pieces, odd = _pieces(value)
+    df = df.withColumns({f"__v{i}": x for i, x in enumerate(pieces)} | {f"__o{i}": x for i, x in enumerate(odd)})
+    now = past(*keys)
+    df = df.withColumns({f"__s{i}": n0(F.sum(f"__v{i}").over(now)) for i in range(3)} | {f"__l{i}": F.max(f"__o{i}").over(now) for i in range(3)})
+    gone = lambda i, seconds: n0(F.sum(f"__v{i}").over(_out_of_reach(keys, seconds)))
+    last = [F.col(f"__l{i}") for i in range(3)]
+    df = df.withColumns({name: _total([F.col(f"__s{i}") - gone(i, seconds) for i in range(3)], last, seconds) for name, seconds in windows.items()})
+    return df.drop(*(f"__{x}{i}" for x in "vosl" for i in range(3)))
+
+
 def prev_gap(keys: tuple[str, ...], lag: int = 1) -> Column:
     return (F.col("ts_epoch") - F.lag("ts_epoch", lag).over(ordered(*keys))).cast("double")
 

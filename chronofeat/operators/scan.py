@@ -51,11 +51,10 @@ def bucketed_range_count(df: DataFrame, keys: Sequence[str], windows: dict[str,
     slim = [F.col(c) if c in {*keys, "ts_epoch", *ORDER} else F.lit(None).cast(t).alias(c) for c, t in df.dtypes]
     guest = (df if base is None else base).select(*slim, (F.floor(F.col("ts_epoch") / longest) + 1).cast("long").alias(b), F.lit(True).alias(lent))
     both = own.unionByName(guest)
-    out = {}
-    same = Window.partitionBy(*keys, b, "ts_epoch").orderBy(*ORDER).rowsBetween(START, -1)
-    for name, seconds in windows.items():
-        before = Window.partitionBy(*keys, b).orderBy("ts_epoch").rangeBetween(-seconds, -1)
-        out[name] = (F.count(F.lit(1)).over(before) + F.count(F.lit(1)).over(same)).cast("long")
+    # growing frames: a sliding one is counted anew for each row
+    met = F.row_number().over(Window.partitionBy(*keys, b).orderBy(*ORDER)) - 1
+    gone = lambda seconds: F.count(F.lit(1)).over(Window.partitionBy(*keys, b).orderBy("ts_epoch").rangeBetween(START, -seconds - 1))
+    out = {name: (met - gone(seconds)).cast("long") for name, seconds in windows.items()}
     return both.withColumns(out).where(~F.col(lent)).drop(b, lent)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofeat.config import EMBED_DIM, GRAPH_LEAST_ROWS
-from chronofeat.operators.components import connected_components
+from chronofeat.operators.components import connected_components, forest
 
 DEGREES = ["g_cust_degree_dev", "g_dev_degree_cust", "g_cust_degree_merch", "g_dev_share_of_cust"]
 TWO_HOP = ["g_cust_2hop", "g_dev_2hop"]
@@ -111,39 +111,65 @@ def two_hops(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return _attach(df, _two_hop(cd, "dev", "cust", "g_dev_2hop"), ["dev"], {"g_dev_2hop": 0})
 
 
-def _component_columns(df: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
+def _lifetime_links(df: DataFrame) -> DataFrame:
+    """(snap, cust, dev): of lifetime_edges those that link what all do, before each snapshot.
+
+    An edge that closes a cycle with none that come later links nothing new in any week, so edges are thinned out
+    before they are repeated for each week after their first.
+    """
+    first = df.groupBy("cust", "dev").agg(F.min("ts_epoch").alias("t"))
+    node = lambda side, c: F.format_string(f"{side}%s", F.col(c).cast("string"))
+    kept = forest(first.select(node("d", "dev").alias("u"), node("c", "cust").alias("v"), (week_start(F.col("t")) + WEEK_S).alias("week")), "week")
+    kept = kept.join(F.broadcast(_snapshots(df)), F.col("week") <= F.col("snap"))  # a row for each week
+    return kept.select("snap", F.expr("substring(v, 2)").alias("cust"), F.expr("substring(u, 2)").alias("dev"))
+
+
+def _component_tables(edges: DataFrame, cust: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """(snap, cust, label, size, customers) and (snap, dev, label); cust: the type of customers."""
     node = lambda side, c: F.format_string(f"%020d{side}%s", F.col("snap"), F.col(c).cast("string"))
     found = connected_components(edges.select(node("c", "cust").alias("a"), node("d", "dev").alias("b")))
     is_cust = F.substring("node", 21, 1) == "c"
-    size = found.groupBy("label").agg(F.count(F.lit(1)).alias("__size"), F.count_if(is_cust).alias("__nc"))
-    nodes = found.join(size, "label").select(F.substring("node", 1, 20).cast("long").alias("snap"), is_cust.alias("is_cust"), F.expr("substring(node, 22)").alias("id"), "label", "__size", "__nc")
-    custs = nodes.where("is_cust").select("snap", F.col("id").alias("__id"), F.col("label").alias("__lc"), "__size", "__nc")
-    devs = nodes.where("not is_cust").select("snap", F.col("id").alias("__did"), F.col("label").alias("__ld"))
-    df = df.withColumns({"__id": F.col("cust").cast("string"), "__did": F.col("dev").cast("string")})
-    df = df.join(custs, ["snap", "__id"], "left").join(devs, ["snap", "__did"], "left")
+    size = found.groupBy("label").agg(F.count(F.lit(1)).alias(f"__{prefix}size"), F.count_if(is_cust).alias(f"__{prefix}nc"))
+    nodes = found.join(size, "label").select(F.substring("node", 1, 20).cast("long").alias("snap"), is_cust.alias("is_cust"), F.expr("substring(node, 22)").alias("id"), "label", f"__{prefix}size", f"__{prefix}nc")
+    custs = nodes.where("is_cust").select("snap", F.col("id").try_cast(cust).alias("cust"), F.col("label").alias(f"__{prefix}lc"), f"__{prefix}size", f"__{prefix}nc")
+    return custs, nodes.where("not is_cust").select("snap", F.col("id").alias("dev"), F.col("label").alias(f"__{prefix}ld"))
+
+
+def _component_columns(df: DataFrame, prefix: str) -> DataFrame:
+    """Columns from those of the two tables, which df was joined to."""
     here = F.col("snap").isNotNull()
+    size, nc, lc, ld = (F.col(f"__{prefix}{x}") for x in ("size", "nc", "lc", "ld"))
     df = df.withColumns(
         {
-            f"{prefix}comp_size": F.when(here, F.coalesce("__size", F.lit(1)).cast("double")),
-            f"{prefix}comp_n_cust": F.when(here, F.coalesce("__nc", F.lit(1)).cast("double")),
-            f"{prefix}comp_n_dev": F.when(here, F.coalesce(F.col("__size") - F.col("__nc"), F.lit(0)).cast("double")),
-            f"{prefix}same_component": F.when(here, F.coalesce(F.col("__lc") == F.col("__ld"), F.lit(False)).cast("double")),
+            f"{prefix}comp_size": F.when(here, F.coalesce(size, F.lit(1)).cast("double")),
+            f"{prefix}comp_n_cust": F.when(here, F.coalesce(nc, F.lit(1)).cast("double")),
+            f"{prefix}comp_n_dev": F.when(here, F.coalesce(size - nc, F.lit(0)).cast("double")),
+            f"{prefix}same_component": F.when(here, F.coalesce(lc == ld, F.lit(False)).cast("double")),
         }
     )
-    return df.drop("__id", "__did", "__lc", "__ld", "__size", "__nc")
+    return df.drop(*(f"__{prefix}{x}" for x in ("size", "nc", "lc", "ld")))
 
 
-def components(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    base = df if base is None else base
+def _with_components(df: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
+    custs, devs = _component_tables(edges, dict(df.dtypes)["cust"], prefix)
+    return _component_columns(df.join(custs, ["snap", "cust"], "left").join(devs, ["snap", "dev"], "left"), prefix)
+
+
+def _frac(df: DataFrame, base: DataFrame) -> DataFrame:
     nodes = base.agg(F.countDistinct("cust").alias("c"), F.countDistinct("dev").alias("d")).select((F.col("c") + F.col("d")).alias("__nodes"))
-    df = _component_columns(df, lifetime_edges(base, "cust", "dev"), "g_").crossJoin(F.broadcast(nodes))  # one row
+    df = df.crossJoin(F.broadcast(nodes))  # one row
     return df.withColumn("g_comp_size_frac", F.col("g_comp_size") / F.greatest("__nodes", F.lit(1))).drop("__nodes")
 
 
+def components(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
+    return _frac(_with_components(df, _lifetime_links(base), "g_"), base)
+
+
 def recent(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     base = df if base is None else base
     r = recent_edges(base)
-    df = _component_columns(df, r, "gr_")
+    df = _with_components(df, r, "gr_")
     df = _attach(df, _degree(r, "cust", "gr_cust_degree_dev"), ["cust"], {"gr_cust_degree_dev": 0})
     df = _attach(df, _degree(r, "dev", "gr_dev_degree_cust"), ["dev"], {"gr_dev_degree_cust": 0})
     df = _attach(df, _two_hop(r, "cust", "dev", "gr_cust_2hop"), ["cust"], {"gr_cust_2hop": 0})
@@ -347,8 +373,24 @@ def embedded(df: DataFrame, base: DataFrame | None = None, **options) -> DataFra
 
 
 def build(df: DataFrame, use_embeddings: bool = True, base: DataFrame | None = None, **options) -> DataFrame:
+    """All columns; tables of customers are joined first and those of devices then, so rows are dealt out twice in all."""
     base = df if base is None else base
     df, base = assign_snapshots(df, base=base), assign_snapshots(base)
-    df = recent(components(two_hops(degrees(df, base), base), base), base)
+    life, now = lifetime_edges(base, "cust", "dev"), recent_edges(base)
+    components_of = {p: _component_tables(e, dict(df.dtypes)["cust"], p) for p, e in (("g_", _lifetime_links(base)), ("gr_", now))}
+    met = lambda key, other, name: (lifetime_degree(base, base, key, other, name), name)
+    hops = lambda edges, key, other, name: (_two_hop(edges, key, other, name), name)
+    of = {
+        "cust": [met("cust", "dev", "g_cust_degree_dev"), met("cust", "merch", "g_cust_degree_merch"), hops(life, "cust", "dev", "g_cust_2hop"), (_degree(now, "cust", "gr_cust_degree_dev"), "gr_cust_degree_dev"), hops(now, "cust", "dev", "gr_cust_2hop")],
+        "dev": [met("dev", "cust", "g_dev_degree_cust"), hops(life, "dev", "cust", "g_dev_2hop"), (_degree(now, "dev", "gr_dev_degree_cust"), "gr_dev_degree_cust")],
+    }
+    for i, (key, tables) in enumerate(of.items()):
+        for table, name in tables:
+            df = _attach(df, table, [key], {name: 0})
+        for both in components_of.values():
+            df = df.join(both[i], ["snap", key], "left")
+    for prefix in components_of:
+        df = _component_columns(df, prefix)
+    df = _frac(df, base).withColumns({"g_dev_share_of_cust": F.col("g_dev_degree_cust") / F.greatest("g_cust_degree_dev", F.lit(1.0)), "gr_dev_degree_ratio": F.col("gr_dev_degree_cust") / F.greatest("g_dev_degree_cust", F.lit(1.0))})
     df = df.withColumn("days_since_graph_snapshot", (F.col("ts_epoch") - F.col("snap")) / 86_400.0)
     return (embedded(df, base, **options) if use_embeddings else df).drop("snap")

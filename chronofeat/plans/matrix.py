@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,35 +17,54 @@ BLOCKS = {"temporal": temporal, "amount": amount, "velocity": velocity, "entity"
 FEATURES = [n for b in BLOCKS.values() for n in b.NAMES]
 
 
-def build_label_free(df: DataFrame) -> DataFrame:
-    """The four blocks that read no label and no snapshot.
+def label_free_parts(df: DataFrame, tasks: int | None = None) -> Iterator[DataFrame]:
+    """The four blocks that read no label and no snapshot, as narrow tables (txn_id, ts, features) of one key each.
 
-    All windows of customers, alone or with another key, follow one exchange by customer. Devices, merchants,
-    locations, hours and days are of other keys: each is a narrow table, made from the source columns it needs, and
-    joined by txn_id, so wide rows are shuffled once.
+    A table reads the source columns it needs, so that no window sorts or copies rows that are wide with others' features.
+    tasks: how many tasks the rows of customers and of devices are dealt to; adaptive execution sees how little is read,
+    not how wide its windows make it.
     """
-    cust = amount.contexts(amount.ratios(df))
-    cust = velocity.pair(velocity.by_entity(cust, "cust"))
-    cust = entity.movement(entity.diversity(entity.novelty(cust)))
-    cust = temporal.circular(entity.age_of(cust, "cust", df))
-    cust = amount.roundness(temporal.calendar(cust))
-
-    device = df.select("txn_id", "ts", "ts_epoch", "cust", "dev", "loc", "amount")
-    dev = velocity.by_entity(device, "dev", median=False).join(velocity.typical_gap(device, "dev"), "txn_id")
-    dev = entity.age_of(entity.sharing_of_devices(dev), "dev", device)
-    dev = dev.withColumn("dev_dt_vs_typical", safe_div(F.col("dev_dt"), F.col("__typical")))
 
+    def of(key: str, *columns: str) -> DataFrame:
+        x = df.select("txn_id", "ts", "ts_epoch", key, *columns)
+        return x.repartition(tasks, key) if tasks else x
+
+    yield amount.roundness(amount.contexts(amount.ratios(of("cust", "mcat", "ttype", "pay", "amount"))))
+    yield velocity.pair(velocity.by_entity(of("cust", "dev", "amount", "account_age_days"), "cust"))
+    yield entity.movement(entity.diversity(entity.novelty(of("cust", *entity.ENTITIES.values()))))
+    yield temporal.calendar(temporal.circular(entity.age_of(of("cust", "account_age_days"), "cust", df)))
+    device, typical = of("dev", "cust", "loc", "amount"), velocity.typical_gap(df, "dev")
+    dev = entity.age_of(entity.sharing_of_devices(velocity.by_entity(device, "dev", median=False)), "dev", df)
+    yield dev.join(typical, "txn_id").withColumn("dev_dt_vs_typical", safe_div(F.col("dev_dt"), F.col("__typical")))
     merchant = df.select("txn_id", "ts", "ts_epoch", "cust", "dev", "merch")
-    merch = entity.age_of(entity.sharing_of_merchants(velocity.by_hub(merchant, "merch"), merchant), "merch", merchant)
-    loc = velocity.by_hub(df.select("txn_id", "ts", "ts_epoch", "loc"), "loc")
-    hour = temporal.volume_share(df.select("txn_id", "ts", "ts_epoch"))
-    ranks = amount.trailing_ranks(df.select("txn_id", "ts", "ts_epoch", "amount"))
+    yield entity.age_of(entity.sharing_of_merchants(velocity.by_hub(merchant, "merch"), merchant), "merch", merchant)
+    yield velocity.by_hub(df.select("txn_id", "ts", "ts_epoch", "loc"), "loc")
+    yield temporal.volume_share(df.select("txn_id", "ts", "ts_epoch"))
+    yield amount.trailing_ranks(df.select("txn_id", "ts", "ts_epoch", "amount"))
+
+
+def parts(df: DataFrame, cutoff: str, use_embeddings: bool | None = None, config: EngineConfig = EngineConfig(), tasks: int | None = None) -> Iterator[DataFrame]:
+    """All tables that the matrix is joined of, by txn_id; each may be computed alone."""
+    yield from label_free_parts(df, tasks)
+    labelled = df.select("txn_id", "ts", "ts_epoch", "is_test", "label", "merch", *encoding.COLUMNS.values())
+    yield encoding.build(labelled, cutoff, config.te_alpha, config.te_halflife_d)
+    if config.use_signup_inconsistency:
+        yield temporal.signup_inconsistency(df.select("txn_id", "ts", "ts_epoch", "cust", "account_age_days"))
+    linked = df.select("txn_id", "ts", "ts_epoch", "cust", "dev", "merch")
+    yield graph.build(linked, config.use_embeddings if use_embeddings is None else use_embeddings, dim=config.embed_dim, seed=config.seed)
 
-    wanted = [n for b in (temporal, amount, velocity, entity) for n in b.NAMES]
-    out = cust
-    for side in (dev, merch, loc, hour, ranks):
-        out = out.join(side.select("txn_id", *(c for c in side.columns if c in wanted and c not in out.columns)), "txn_id")
-    return out.select(*df.columns, *(n for n in wanted if n not in df.columns))
+
+def _joined(df: DataFrame, tables: Iterator[DataFrame], wanted: list[str]) -> DataFrame:
+    """The stream with the tables' wanted columns, in their order; all joins are by txn_id, so wide rows are shuffled by nothing else."""
+    out = df
+    for t in tables:
+        out = out.join(t.select("txn_id", *(c for c in t.columns if c in wanted and c not in out.columns)), "txn_id")
+    return out.select(*df.columns, *(n for n in wanted if n in out.columns and n not in df.columns))
+
+
+def build_label_free(df: DataFrame) -> DataFrame:
+    """The stream with the features of the four blocks that read no label and no snapshot."""
+    return _joined(df, label_free_parts(df), [n for b in (temporal, amount, velocity, entity) for n in b.NAMES])
 
 
 def build_matrix(df: DataFrame, cutoff: str, use_embeddings: bool | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -51,10 +72,7 @@ def build_matrix(df: DataFrame, cutoff: str, use_embeddings: bool | None = None,
 
     cutoff: the last time whose labels may be read.
     """
-    out = encoding.build(build_label_free(df), cutoff, config.te_alpha, config.te_halflife_d, df)
-    if config.use_signup_inconsistency:
-        out = temporal.signup_inconsistency(out)
-    return graph.build(out, config.use_embeddings if use_embeddings is None else use_embeddings, df, dim=config.embed_dim, seed=config.seed)
+    return _joined(df, parts(df, cutoff, use_embeddings, config), [*FEATURES, "signup_inconsistency_d"])
 
 
 def manifest(df: DataFrame, features: list[str] | None = None) -> list[dict]:

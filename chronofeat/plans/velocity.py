@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronofeat.config import VELOCITY_WINDOWS, WINDOWS_S
 from chronofeat.functions.scalar import n0, safe_div
 from chronofeat.operators.median import running_median
-from chronofeat.operators.past import count_in_window, expanding, prev_gap, prior_count, sum_in_window
+from chronofeat.operators.past import count_in_window, expanding, prev_gap, prior_count, sums_in_windows
 from chronofeat.operators.scan import bucketed_range_count, prefix_scan
 
 
@@ -35,8 +35,8 @@ def by_entity(df: DataFrame, k: str, median: bool = True) -> DataFrame:
     df = df.withColumn(f"{k}_log_dt", F.log1p(f"{k}_dt"))
     if median:  # the first gap is no gap; it enters the history as 0
         df = df.withColumn(f"{k}_dt_vs_typical", safe_div(F.col(f"{k}_dt"), expanding(key, n0(F.col(f"{k}_dt")), "median")))
-    every = {f"{k}_n_{w}": count_in_window(key, WINDOWS_S[w]) for w in VELOCITY_WINDOWS[k]} | {f"{k}_amt_sum_{w}": sum_in_window(key, F.col("amount"), WINDOWS_S[w]) for w in VELOCITY_WINDOWS[k]}
-    df = df.withColumns(every)
+    df = df.withColumns({f"{k}_n_{w}": count_in_window(key, WINDOWS_S[w]) for w in VELOCITY_WINDOWS[k]})
+    df = sums_in_windows(df, key, F.col("amount"), {f"{k}_amt_sum_{w}": WINDOWS_S[w] for w in VELOCITY_WINDOWS[k]})
     df = df.withColumns({f"{k}_amt_mean_{w}": safe_div(F.col(f"{k}_amt_sum_{w}"), F.col(f"{k}_n_{w}")) for w in VELOCITY_WINDOWS[k]})
     burst = {f"{k}_burst_1h_24h": safe_div(F.col(f"{k}_n_1h"), F.col(f"{k}_n_24h"))}
     if k == "cust":

@@ -305,7 +305,7 @@ add("audit_near_perfect", "b", lambda df: audit.near_perfect(df, ["amount", "acc
     " UNION ALL ".join(f"SELECT feature, {r('greatest(x, y)', 'best_ap', 9)}, greatest(x, y) > 0.85 AS failed FROM (SELECT '{n}' AS feature, {AP(f'CAST({n} AS DOUBLE)')} AS x, {AP(f'-CAST({n} AS DOUBLE)')} AS y)" for n in ("amount", "account_age_days")), key="", digits=9)
 # every feature that may read the past only; the audit must find no row of any that later rows change
 TRUNCATED = [f for f in matrix.FEATURES if f not in {*graph.SPECTRAL, *graph.GNN, "g_comp_size_frac"}]
-add("audit_truncation", "a", lambda df: audit.truncation_mismatches(lambda x: matrix.build_matrix(x, "2024-01-15 00:00:00", use_embeddings=False), df, "2024-01-15 00:00:00", TRUNCATED), ["feature", "n_mismatched"],
+add("audit_truncation", "a", lambda df: audit.truncation_mismatches_of_parts(lambda x, tasks: matrix.parts(x, "2024-01-15 00:00:00", use_embeddings=False, tasks=tasks), df, "2024-01-15 00:00:00", TRUNCATED), ["feature", "n_mismatched"],
     " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST(0 AS BIGINT) AS n_mismatched" for f in TRUNCATED), key="")
 
 

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronofeat.operators import components, metrics, past
-from chronofeat.plans import graph
+from chronofeat.operators import audit, components, metrics, past
+from chronofeat.plans import graph, matrix, velocity
 from chronofeat.queries import QUERIES, SQL
 from chronofeat.sources.fixtures import stream
 
@@ -115,3 +115,42 @@ def test_components_of_a_dense_graph_start_from_few_edges(spark, monkeypatch, kn
     assert got == up
     if known > 10:
         assert stored[0].count() < len(set(pairs)) / 2
+
+
+def test_truncation_of_parts_counts_as_for_one_table(spark, sf):
+    df = stream(spark, sf)
+    leaky = lambda x: x.crossJoin(x.agg(F.count(F.lit(1)).alias("top"))).select("txn_id", "ts", "top")
+    sound = lambda x: x.select("txn_id", "ts", "amount", F.when(F.col("txn_id") % 3 > 0, 1.0).alias("some"))
+    cutoff, names = "2024-01-10 00:00:00", ["amount", "top", "some"]
+    got = audit.truncation_mismatches_of_parts(lambda x, tasks: iter((leaky(x), sound(x))), df, cutoff, names)
+    want = audit.truncation_mismatches(lambda x: leaky(x).join(sound(x).drop("ts"), "txn_id"), df, cutoff, names)
+    early = df.where(f"ts <= '{cutoff}'").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("amount", 0), ("some", 0), ("top", early)]
+    with pytest.raises(ValueError):
+        audit.truncation_mismatches_of_parts(lambda x, tasks: iter((sound(x),)), df, cutoff, names)
+
+
+def test_parts_of_the_matrix_are_narrow_and_hold_all_features(spark, sf):
+    tables = list(matrix.parts(stream(spark, sf), "2024-01-15 00:00:00", use_embeddings=False))
+    assert {c for t in tables for c in t.columns} >= {f for f in matrix.FEATURES if f not in {*graph.SPECTRAL, *graph.GNN}}
+    assert max(len(t.columns) for t in tables) < 70
+
+
+def test_counts_of_hubs_have_no_sliding_frame(spark, sf):
+    plan = velocity.by_hub(stream(spark, sf), "merch")._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "specifiedwindowframe(RangeFrame, -86400, -1)" not in plan
+
+
+def test_thinned_edges_link_what_all_edges_do_in_each_week(spark, sf):
+    df = graph.assign_snapshots(stream(spark, sf).withColumn("cust", F.col("cust") % 40).withColumn("dev", F.concat(F.lit("D"), F.col("txn_id") % 5)), least_rows=100)
+    labels = []
+    for edges in (graph.lifetime_edges(df, "cust", "dev"), graph._lifetime_links(df)):
+        found = components.connected_components(edges.select(F.format_string("%020dc%s", "snap", F.col("cust").cast("string")).alias("a"), F.format_string("%020dd%s", "snap", "dev").alias("b")))
+        labels.append((edges.count(), sorted(map(tuple, found.collect()))))
+    assert labels[0][1] == labels[1][1] and labels[1][0] < labels[0][0]
+
+
+def test_sums_of_several_windows_equal_single_ones(spark, sf):
+    df = stream(spark, sf).withColumn("amount", F.when(F.col("txn_id") % 11 > 0, F.col("amount")).otherwise(float("inf")))
+    out = past.sums_in_windows(df, ("cust",), F.col("amount"), {"a": 3600, "b": 604_800}).withColumns({n: past.sum_in_window(("cust",), F.col("amount"), w) for n, w in (("x", 3600), ("y", 604_800))})
+    assert out.where("not (a <=> x) or not (b <=> y)").count() == 0
