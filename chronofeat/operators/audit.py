@@ -46,7 +46,8 @@ def _mismatches(whole: DataFrame, cut: DataFrame, features: list[str], atol: flo
         far = F.abs(a - b) > atol + rtol * F.abs(b)
         return F.count_if((a.isNull() != b.isNull()) | F.coalesce(far, F.lit(False))).cast("long")
 
-    return whole.select("txn_id", *features).join(cut, "txn_id").agg(*(differs(f).alias(f) for f in features))
+    # a row for each transaction on both sides: no table to broadcast
+    return whole.select("txn_id", *features).hint("merge").join(cut, "txn_id").agg(*(differs(f).alias(f) for f in features))
 
 
 def truncation_mismatches(build: Callable[[DataFrame], DataFrame], df: DataFrame, cutoff: str, features: list[str], atol: float = 1e-5, rtol: float = 1e-4) -> DataFrame:
